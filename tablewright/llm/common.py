@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows handed to one Python step at most; bounds the memory of a worker whatever Arrow's batch size.
 STEP_ROWS = 512
@@ -62,18 +63,12 @@ def partitions(spark: SparkSession, times: int = 1) -> int:
     return max(2, int(spark.conf.get("spark.sql.shuffle.partitions")) * times)
 
 
-def arrow_rows(build: Callable[[pa.RecordBatch], dict | None], schema: pa.Schema) -> Callable:
-    """A ``mapInArrow`` function: ``build`` turns a slice of at most STEP_ROWS rows into columns (or None)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, STEP_ROWS):
-                if (columns := build(batch.slice(at, STEP_ROWS))) is not None:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(columns[f.name], type=f.type) for f in schema], schema=schema
-                    )
-
-    return run
+def extended(df: DataFrame, *fields: tuple[str, T.DataType | str]) -> T.StructType:
+    """df's schema with more fields (df.schema itself is shared, so it must not be added to)."""
+    out = T.StructType(list(df.schema.fields))
+    for name, kind in fields:
+        out.add(name, kind)
+    return out
 
 
 def ranked_within(df: DataFrame, group: list[str], rank: str, order: list[str]) -> DataFrame:
@@ -114,7 +109,7 @@ def sorted_with_offsets(df: DataFrame, order: list[str], size: str, start: str)
     base, total = {}, 0
     for p, s in sorted((r["p"], int(r["s"] or 0)) for r in totals):
         base[p], total = total, total + s
-    schema = ranged.schema.add(start, "long", False)
+    schema = extended(ranged, (start, "long"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import oracle
-from .common import table
+from .bestfit_pack import pack_documents
+from .common import scratch_root, table
 from .quality_rules import quality_rules
 from .rendezvous import rendezvous_shards
+from .secrets import BASE, scan_secrets
+from .token_store import digests, write_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -20,6 +24,13 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+@query
+def op3_content_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{scratch_root(spark)}/token-store-{uuid.uuid4().hex}"
+    write_store(table(spark, sf_dir, "documents"), path)
+    return digests(spark, path)
+
+
 @query
 def op5_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
@@ -36,6 +47,29 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def joined(spans):
+        parts = F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"]))
+        return F.array_join(parts, ",")
+
+    def count(kind: str):
+        return F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    out = scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select(
+        "doc_id",
+        *(count(k) for k in BASE),
+        F.sha2(joined(F.filter("secrets", lambda s: s["kind"].isin(*BASE))), 256).alias("base_sha256"),
+        joined(F.col("secrets")).alias("spans"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
