@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from . import oracle
 from .bestfit_pack import pack_documents
 from .common import scratch_root, table
+from .decontaminate import find_contamination
+from .html_density import extract_main_text
 from .quality_rules import quality_rules
 from .rendezvous import rendezvous_shards
 from .secrets import BASE, scan_secrets
@@ -24,6 +26,11 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+@query
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 @query
 def op3_content_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{scratch_root(spark)}/token-store-{uuid.uuid4().hex}"
@@ -52,6 +59,11 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+@query
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     def joined(spans):
