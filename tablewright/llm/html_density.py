@@ -17,6 +17,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -89,17 +90,25 @@ class Tree:
 
 def parse(page: str) -> Tree:
     tree, stack, at = Tree(), [0], 0
-    tag_of = tree.tag
+    once: set[str] = set()
+    tag_of, opened = tree.tag, Counter()  # how many elements of a name are open: most searches of the stack end here
+
+    def cut(depth: int) -> None:
+        for node in stack[depth:]:
+            opened[tag_of[node]] -= 1
+        del stack[depth:]
 
     def close(names, bounds) -> None:
         """Ends the outermost open element among names above the nearest bound."""
+        if not any(opened[name] for name in names):
+            return
         for depth in range(len(stack) - 1, 0, -1):
             name = tag_of[stack[depth]]
             if name in names:
                 lowest = depth
                 while lowest > 1 and tag_of[stack[lowest - 1]] in names:
                     lowest -= 1
-                del stack[lowest:]
+                cut(lowest)
                 return
             if name in bounds:
                 return
@@ -115,9 +124,9 @@ def parse(page: str) -> Tree:
         if end:
             if name == "br":
                 tree.add("br", stack[-1], "")
-            for depth in range(len(stack) - 1, 0, -1):
+            for depth in range(len(stack) - 1, 0, -1) if opened[name] else ():
                 if tag_of[stack[depth]] == name:
-                    del stack[depth:]
+                    cut(depth)
                     break
                 if name == "p" and tag_of[stack[depth]] in ("td", "th", "button"):
                     break
@@ -126,8 +135,10 @@ def parse(page: str) -> Tree:
             close({"p"}, {"button", "td", "th", "caption", "table"})
         if name in IMPLIED:
             close(*IMPLIED[name])
-        if name in ("html", "body", "head") and name in tag_of:
+        if name in ("html", "body", "head") and name in once:
             continue
+        if name in ("html", "body", "head"):
+            once.add(name)
         node = tree.add(name, stack[-1], attrs)
         if name in RAW:
             stop = re.compile(rf"</{name}[\s/>]", re.I).search(page, at)
@@ -140,6 +151,7 @@ def parse(page: str) -> Tree:
                 at = gt + 1 if gt >= 0 else len(page)
         elif name not in VOID:
             stack.append(node)
+            opened[name] += 1
     if at < len(page):
         tree.items[stack[-1]].append(page[at:])
     return tree
