@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -58,6 +59,12 @@ def drop_stored(*frames: DataFrame) -> None:
                 path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Has the driver collect its garbage, so that shuffle files nobody needs any more leave the executors' disks."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def partitions(spark: SparkSession, times: int = 1) -> int:
     """The cluster's own setting for shuffles: it grows with the input, and so does all that is dealt by it."""
     return max(2, int(spark.conf.get("spark.sql.shuffle.partitions")) * times)

@@ -13,6 +13,7 @@ from .bestfit_pack import pack_documents
 from .common import scratch_root, table
 from .decontaminate import find_contamination
 from .html_density import extract_main_text
+from .ngram_join import similar_components
 from .quality_rules import quality_rules
 from .rendezvous import rendezvous_shards
 from .secrets import BASE, scan_secrets
@@ -31,6 +32,11 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+@query
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_components(table(spark, sf_dir, "documents"))
+
+
 @query
 def op3_content_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{scratch_root(spark)}/token-store-{uuid.uuid4().hex}"
