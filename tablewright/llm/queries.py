@@ -13,6 +13,7 @@ from .bestfit_pack import pack_documents
 from .common import scratch_root, table
 from .decontaminate import find_contamination
 from .html_density import extract_main_text
+from .license_scan import scan_licenses
 from .ngram_join import similar_components
 from .quality_rules import quality_rules
 from .rendezvous import rendezvous_shards
@@ -52,6 +53,13 @@ def op5_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+@query
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = F.concat_ws("/", F.coalesce("source", F.lit("_")), F.coalesce("lang", F.lit("_")))
+    path = F.concat(folder, F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    return scan_licenses(table(spark, sf_dir, "documents").select("doc_id", path.alias("path"), "text"))
+
+
 @query
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text"))
