@@ -1,8 +1,9 @@
 """Exact, cached encoding with a tokenizer file of the ``tokenizers`` library.
 
 The word tokenizers used here split at white space before any merge, so a text's ids are the ids of its
-white-space-separated words, one after the other. Each worker keeps the ids of words it has met, and of the runs of
-letters inside them, in two dictionaries of bounded size; only unseen pieces go through the tokenizer, many at a time.
+white-space-separated words, one after the other. Each worker keeps the ids of words it has met in a dictionary of
+bounded size; only unseen ones go through the tokenizer: plain lower-case words straight to its merges, all others
+through the whole of it.
 ``tests/llm/test_tokens.py`` holds this against plain whole-text encoding.
 """
 
@@ -12,12 +13,18 @@ import os
 import re
 import zlib
 
-#: Entries at which a dictionary is emptied.
-MAX_WORDS, MAX_PIECES = 250_000, 700_000
+#: Entries at which the dictionary is emptied.
+MAX_WORDS = 800_000
+#: A comma or full stop between a plain letter and white space is a piece of its own; so is the word before it.
+POINT = re.compile(rb"[.,](?=[ \n])(?:(?<=[a-z].)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].))")
 #: Words of plain Latin letters with ASCII punctuation behind them fall into two independent pieces.
 PLAIN = re.compile(r"([a-zA-ZÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
-#: A digit is always a piece of its own: it separates pieces that are encoded together.
-MARK = "0"
+#: How byte-level merges spell those letters: a byte above 160 as the character of that number, but for 173;
+#: 173 and those below have no visible character and stand in order from 256 on.
+SPELLING = {
+    c: "".join(chr(323 if b == 173 else b if b > 160 else 162 + b) for b in chr(c).encode())
+    for c in [*range(0xDF, 0xF7), *range(0xF8, 0x100)]
+}
 
 
 def default_path() -> str:
@@ -33,60 +40,53 @@ class Encoder:
 
         self.model = Tokenizer.from_file(path)
         self.words: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-        self.mark = self.model.encode(MARK, add_special_tokens=False).ids
-        assert len(self.mark) == 1
 
-    def _bytes(self, texts: list[str]) -> list[bytes]:
+    def _whole(self, texts: list[str]) -> list[bytes]:
         import numpy as np
 
         found = self.model.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, "<u4").tobytes() for x in found]
 
-    def _learn_pieces(self, pieces: list[str]) -> None:
-        import numpy as np
-
-        for at in range(0, len(pieces), 2000):
-            part = pieces[at : at + 2000]
-            raw = self._bytes([f" {MARK} ".join(part)])[0]
-            cut = np.flatnonzero(np.frombuffer(raw, "<u4") == self.mark[0]).tolist()
-            if len(cut) != len(part) - 1:
-                self.pieces.update(zip(part, self._bytes(part), strict=True))
-                continue
-            ends = [*cut, len(raw) // 4]
-            for piece, begin, end in zip(part, [0, *(c + 1 for c in cut)], ends, strict=True):
-                self.pieces[piece] = raw[4 * begin : 4 * end]
-
     def _learn(self, missing: set[bytes]) -> None:
         if len(self.words) + len(missing) > MAX_WORDS:
             self.words.clear()
-        if len(self.pieces) > MAX_PIECES:
-            self.pieces.clear()
-        plain, odd, new = [], [], set()
-        for word in missing:
-            if m := PLAIN.fullmatch(word.decode()):
-                plain.append((word, *m.groups()))
-                new.update(p for p in m.groups() if p and p not in self.pieces)
+        words, joined, odd = self.words, [], []
+        letters = {w: w.decode() for w in missing if w.isalpha()}
+        for word in missing.difference(letters):
+            m = PLAIN.fullmatch(text := word.decode())
+            if not m:
+                odd.append(text)
+            elif m[2]:
+                joined.append((word, *(x.encode() for x in m.groups())))
+                letters[joined[-1][1]] = m[1]
             else:
-                odd.append(word)
-        self._learn_pieces(sorted(new))
-        for word, letters, rest in plain:
-            self.words[word] = self.pieces[letters] + (self.pieces[rest] if rest else b"")
-        self.words.update(zip(odd, self._bytes([w.decode() for w in odd]), strict=True))
+                letters[word] = text
+        # plain letters: nothing is left to do but lower-casing, spelling and the merges
+        merge = self.model.model.tokenize
+        for word, text in letters.items():
+            if word not in words:
+                if not text.isascii():
+                    text = text.lower().translate(SPELLING)
+                words[word] = b"".join([t.id.to_bytes(4, "little") for t in merge(text)])
+        odd += [x.decode() for x in {x for _, _, x in joined}.difference(words)]
+        words.update(zip([x.encode() for x in odd], self._whole(odd), strict=True))
+        for word, first, marks in joined:
+            words[word] = words[first] + words[marks]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers; a null text has none."""
         out: list[bytes] = []
         for at in range(0, len(texts), 64):
-            # the tokenizer lower-cases by itself; doing so for ASCII beforehand only makes the dictionaries smaller
-            split = [(t or "").encode().lower().split() for t in texts[at : at + 64]]
-            if missing := set().union(*split).difference(self.words):
-                known = len(self.words)
-                self._learn(missing)
-                if len(self.words) < known:  # it was emptied: words of these texts may be gone
-                    self._learn(set().union(*split).difference(self.words))
-            words = self.words
-            out += [b"".join([words[w] for w in s]) for s in split]
+            # the tokenizer lower-cases by itself; doing so for ASCII beforehand only makes the dictionary smaller
+            split = [POINT.sub(rb" \g<0> ", (t or "").encode().lower()).split() for t in texts[at : at + 64]]
+            get = self.words.get
+            found = [list(map(get, s)) for s in split]
+            lacking = [i for i, f in enumerate(found) if None in f]
+            if lacking:
+                self._learn({w for i in lacking for w, x in zip(split[i], found[i]) if x is None})
+                for i in lacking:  # what was found before stays, even if the dictionary was emptied since
+                    found[i] = [get(w) if x is None else x for w, x in zip(split[i], found[i])]
+            out += map(b"".join, found)
         return out
 
 

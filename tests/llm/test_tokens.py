@@ -33,9 +33,13 @@ def test_any_text(both, texts):
     both([t.encode("utf-8", "ignore").decode() for t in texts])
 
 
+def test_every_plain_letter(both):
+    letters = [chr(c) for c in [*range(65, 91), *range(97, 123), *range(0xC0, 0x100)]]
+    both([" ".join(f"x{c}y{c}., {c}, {c}.\nc {c}{c}!? {c}" for c in letters), " ".join(letters), "".join(letters)])
+
+
 def test_bounded_dictionaries(monkeypatch):
     monkeypatch.setattr(tokens, "MAX_WORDS", 20)
-    monkeypatch.setattr(tokens, "MAX_PIECES", 10)
     e = tokens.Encoder(tokens.default_path())
     texts = [" ".join(f"word{chr(97 + (i * j) % 26)}{'xyz'[j % 3]}" for j in range(9)) for i in range(200)]
     plain = [np.array(e.model.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
