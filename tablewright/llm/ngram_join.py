@@ -42,9 +42,9 @@ SLICE = 2048
 KEY_BITS = 40
 
 SCATTERED = (
-    "block int, doc_id long, n long, sig long, sigs binary, counts binary, low binary, high binary"
+    "block int, row long, doc_id long, n long, sig long, sigs binary, counts binary, low binary, high binary"
 )
-GATHERED = "doc_id long, n long, sig long, block int, low binary, high binary, held binary"
+GATHERED = "row long, doc_id long, n long, sig long, block int, low binary, high binary, held binary"
 
 
 def mixed(x):
@@ -74,13 +74,13 @@ def shingles(text: str | None, size: int = WORDS):
 
 
 def scatter(docs: DataFrame, blocks: int, size: int) -> DataFrame:
-    """Rows of two kinds: (block, doc_id, n, sig) for each document, and for each slice of documents and block the
+    """Rows of two kinds: (block, row, doc_id, n, sig) for each document, and for each slice of documents and block the
     shingles of that block: digests of the sets, how many each has, and the shingles' 32 low and 8 high bits."""
     names = [x.split()[0] for x in SCATTERED.split(", ")]
-    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), *[pa.binary()] * 4]
+    kinds = [pa.int32(), *[pa.int64()] * 4, *[pa.binary()] * 4]
     schema = pa.schema(list(zip(names, kinds)))
 
-    def rows_of(ids: list, texts: list) -> Iterator[pa.RecordBatch]:
+    def rows_of(rows: list, ids: list, texts: list) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
         sets, sigs, seen, first = [], [], set(), []
@@ -96,7 +96,7 @@ def scatter(docs: DataFrame, blocks: int, size: int) -> DataFrame:
         home = [(n or 0) % blocks for n in numbers]
         empty = [None] * len(ids)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(c, k) for c, k in zip((home, ids, sets, numbers, *[empty] * 4), kinds)], schema=schema
+            [pa.array(c, k) for c, k in zip((home, rows, ids, sets, numbers, *[empty] * 4), kinds)], schema=schema
         )
         if not first:
             return
@@ -121,16 +121,16 @@ def scatter(docs: DataFrame, blocks: int, size: int) -> DataFrame:
             begin = end
         none = [None] * len(columns[0])
         yield pa.RecordBatch.from_arrays(
-            [pa.array(c, k) for c, k in zip((columns[0], none, none, none, *columns[1:]), kinds)], schema=schema
+            [pa.array(c, k) for c, k in zip((columns[0], *[none] * 4, *columns[1:]), kinds)], schema=schema
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
-                yield from rows_of(part.column(0).to_pylist(), part.column(1).to_pylist())
+                yield from rows_of(*(part.column(i).to_pylist() for i in range(3)))
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCATTERED)
+    return docs.select("row", F.col("doc_id").cast("long"), "text").mapInArrow(run, SCATTERED)
 
 
 def gather(scattered: DataFrame) -> DataFrame:
@@ -144,8 +144,8 @@ def gather(scattered: DataFrame) -> DataFrame:
         is_doc = pa.compute.is_null(table["low"])
         docs, rows = table.filter(is_doc), table.filter(pa.compute.invert(is_doc))
         none = pa.nulls(len(docs))
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), *[pa.binary()] * 3]
-        out = pa.table([docs["doc_id"], docs["n"], docs["sig"], *(none.cast(k) for k in kinds[3:])], names=names)
+        kinds = [*[pa.int64()] * 4, pa.int32(), *[pa.binary()] * 3]
+        out = pa.table([*(docs[c] for c in names[:4]), *(none.cast(k) for k in kinds[4:])], names=names)
         if not len(rows):
             return out
         sigs = np.concatenate([np.frombuffer(x.as_buffer(), "<i8") for x in rows["sigs"]])
@@ -185,7 +185,7 @@ def gather(scattered: DataFrame) -> DataFrame:
         n = len(ends)
         found = pa.table(
             [
-                pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(sets[row[begin]], pa.int64()),
+                *[pa.nulls(n, pa.int64())] * 3, pa.array(sets[row[begin]], pa.int64()),
                 pa.array(np.full(n, block, np.int32)), cut(low, 4), cut(high, 1), cut(held, 4),
             ],
             names=names,
@@ -243,15 +243,36 @@ def linked(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     return both.where(overlap * (100 + percent) >= percent * (F.col("nu") + F.col("nv"))).select("u", "v")
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with ``row``, a number of its own for every row. docs must be a table that is read the same each time."""
+    return docs.withColumn("row", F.monotonically_increasing_id())
+
+
 def similar_components(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles and component_id for every row of ``docs`` (doc_id, text)."""
+    """doc_id, n_shingles and component_id for every row of ``docs`` (doc_id, text), and whether it is the ``first``
+    of its component (one row of each is: that of the least doc_id)."""
+    return _components(numbered(docs.select("doc_id", "text")), size, percent).drop("row")
+
+
+def deduplicate(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The first document of each component, with docs' own columns. Only the numbers of rows to leave out meet the
+    texts again."""
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    rows = numbered(docs.select(F.struct(*own).alias("kept"), "doc_id", "text"))
+    out = _components(rows.select("row", "doc_id", "text"), size, percent).where("NOT first").select("row")
+    release(docs.sparkSession)
+    return rows.join(out, "row", "left_anti").select("kept.*")
+
+
+def _components(docs: DataFrame, size: int, percent: int) -> DataFrame:
     spark = docs.sparkSession
     blocks = partitions(spark)
     gathered = stored(gather(scatter(docs, blocks, size)), "shingles")
     release(spark)
-    named = gathered.where("low IS NULL").select("doc_id", "n", "sig")
+    named = gathered.where("low IS NULL").select("row", "doc_id", "n", "sig")
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     classes = checkpointed(
-        named.where("sig IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"))
+        named.where("sig IS NOT NULL").groupBy("sig").agg(F.min(rank).alias("least"), F.first("n").alias("n"))
     )
     rows = stored(rows_of_interest(gathered, classes, percent), "rows")
 
@@ -305,16 +326,18 @@ def similar_components(docs: DataFrame, size: int = WORDS, percent: int = PERCEN
     edges = checkpointed(first.unionByName(second))
     component = connected_components(edges)
 
-    named_component = (
-        component.join(classes, component["node"] == classes["sig"])
-        .groupBy("component")
-        .agg(F.min("least").alias("component_id"))
+    heads = (
+        component.join(classes, component["node"] == classes["sig"]).groupBy("component").agg(F.min("least").alias("head"))
     )
     of_class = classes.join(
-        component.join(named_component, "component").select(F.col("node").alias("sig"), "component_id"), "sig", "left"
-    ).select("sig", F.coalesce("component_id", "least").alias("component_id"))
+        component.join(heads, "component").select(F.col("node").alias("sig"), "head"), "sig", "left"
+    ).select("sig", F.coalesce("head", "least").alias("head"))
     out = named.join(of_class, "sig", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
+        "row",
+        "doc_id",
+        F.col("n").alias("n_shingles"),
+        F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("head.doc_id")).alias("component_id"),
+        F.coalesce(F.col("head.row") == F.col("row"), F.lit(True)).alias("first"),
     )
     out = checkpointed(out)
     drop_stored(gathered, rows, cells)

@@ -35,7 +35,7 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar_components(table(spark, sf_dir, "documents"))
+    return similar_components(table(spark, sf_dir, "documents")).drop("first")
 
 
 @query

@@ -69,15 +69,26 @@ def test_query_against_brute_force(spark, docs_of, table_dir, seed):
 
 def test_small_cases(spark, docs_of):
     empty = ngram_join.similar_components(docs_of([]).limit(0))
-    assert empty.columns == ["doc_id", "n_shingles", "component_id"] and empty.count() == 0
+    assert empty.columns == ["doc_id", "n_shingles", "component_id", "first"] and empty.count() == 0
     df = spark.createDataFrame(
         [(5, "a b c d e f", 1), (5, "a b c d e f", 1), (None, "a b c d e f", 1), (9, "A b c d e f", 1), (None, None, 1)],
         "doc_id long, text string, sig int",
     )
-    rows = sorted(map(tuple, ngram_join.similar_components(df).collect()), key=str)
+    found = ngram_join.similar_components(df).collect()
+    rows = sorted((tuple(r)[:3] for r in found), key=str)
+    assert sum(r.first for r in found) == 2 and ngram_join.deduplicate(df).columns == df.columns
+    assert sorted(map(tuple, ngram_join.deduplicate(df).collect()), key=str) == [(5, "a b c d e f", 1), (None, None, 1)]
     assert rows == sorted([(5, 2, 5), (5, 2, 5), (None, 2, 5), (9, 2, 5), (None, 0, None)], key=str)
 
 
+def test_deduplicate_keeps_one_of_each_group(spark, docs_of, table_dir):
+    texts = corpus(9)
+    want = sorted({c if n else i for i, (n, c) in brute(texts).items()})
+    docs = spark.read.parquet(table_dir(docs_of(texts).repartition(3)) + "/documents.parquet")
+    out = ngram_join.deduplicate(docs)
+    assert out.columns == docs.columns and sorted(r.doc_id for r in out.collect()) == want
+
+
 def test_least_overlap():
     for n in range(1, 40):
         for m in range(1, 40):
