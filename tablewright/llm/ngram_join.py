@@ -29,6 +29,7 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -141,8 +142,8 @@ def gather(scattered: DataFrame) -> DataFrame:
     def block_of(table: pa.Table) -> pa.Table:
         import numpy as np
 
-        is_doc = pa.compute.is_null(table["low"])
-        docs, rows = table.filter(is_doc), table.filter(pa.compute.invert(is_doc))
+        is_doc = pc.is_null(table["low"])
+        docs, rows = table.filter(is_doc), table.filter(pc.invert(is_doc))
         none = pa.nulls(len(docs))
         kinds = [*[pa.int64()] * 4, pa.int32(), *[pa.binary()] * 3]
         out = pa.table([*(docs[c] for c in names[:4]), *(none.cast(k) for k in kinds[4:])], names=names)

@@ -18,6 +18,7 @@ from .ngram_join import similar_components
 from .quality_rules import quality_rules
 from .rendezvous import rendezvous_shards
 from .secrets import BASE, scan_secrets
+from .suffix_dedup import remove_repeats
 from .token_store import digests, write_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,6 +46,18 @@ def op3_content_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(spark, path)
 
 
+@query
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["begin"])
+    return remove_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        "n_bytes",
+        removed.alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 @query
 def op5_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
