@@ -32,12 +32,12 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back: lineage ends here, and a lost executor costs
     no recomputation of what came before."""
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.enable.dictionary", "false").option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

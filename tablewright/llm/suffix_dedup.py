@@ -39,7 +39,7 @@ from .ngram_join import mixed, numbered
 from .suffix_sort import suffix_array
 
 #: Bytes of a repeated string, of the strings that anchors are chosen among, and the places a window has for them.
-LENGTH, GRAM = 100, 36
+LENGTH, GRAM = 100, 48
 PLACES = LENGTH - GRAM + 1
 #: Bytes of text that are hashed at a time.
 SLICE_BYTES = 1 << 20
@@ -47,19 +47,17 @@ LAST = 2**63 - 1
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the GRAM bytes from each place on (from 36 = 32 + 4 bytes, by doubling)."""
+    """A 64-bit hash of the GRAM bytes from each place on (48 = 32 + 16, by doubling)."""
     h = mixed(data.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
-    span, four = 1, None
-    while span < 32:
-        if len(h) <= span:
-            return np.empty(0, np.uint64)
-        h = h[:-span] * np.uint64(0x9E3779B97F4A7C15 * (2 * span + 1) % 2**64 | 1) + h[span:]
-        span *= 2
-        four = h if span == 4 else four
     n = len(data) - GRAM + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    return mixed(h[:n] * np.uint64(0xD1342543DE82EF95) + four[32 : 32 + n])
+    span, half = 1, h
+    while span < 32:
+        h = h[:-span] * np.uint64(0x9E3779B97F4A7C15 * (2 * span + 1) % 2**64 | 1) + h[span:]
+        span *= 2
+        half = h if span == 16 else half
+    return mixed(h[:n] * np.uint64(0xD1342543DE82EF95) + half[32 : 32 + n])
 
 
 def sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
@@ -72,12 +70,22 @@ def sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
     return pick(out[: len(out) - rest], out[rest:]) if rest else out
 
 
-def anchors(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The least hash of each window, and the places of anchors: those that are the least hash of some window."""
-    least = sliding(hashes, PLACES, np.minimum)
+def anchors(raws: list[bytes]) -> tuple[np.ndarray, ...]:
+    """All documents of a slice at once, as one string: the hashes at all places, the least hash of each window (0 for
+    windows that reach from one document into the next), the places of anchors, which are the least hash of some
+    window, and where the documents begin."""
+    sizes = np.array([len(r) for r in raws], np.int64)
+    ends = np.cumsum(sizes)
+    hashes = gram_hashes(np.frombuffer(b"".join(raws), np.uint8))
+    if len(hashes) < PLACES:
+        return hashes, np.empty(0, np.uint64), np.empty(0, np.int64), ends - sizes
+    np.maximum(hashes, np.uint64(1), out=hashes)
+    least = sliding(hashes, PLACES, np.minimum).copy()
+    for end in ends.tolist():
+        least[max(0, end - LENGTH + 1) : end] = 0
     edge = np.zeros(PLACES - 1, np.uint64)
     most = sliding(np.concatenate([edge, least, edge]), PLACES, np.maximum)
-    return least, np.flatnonzero(most == hashes)
+    return hashes, least, np.flatnonzero(most == hashes), ends - sizes
 
 
 def _slices(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
@@ -121,14 +129,10 @@ def scatter_anchors(docs: DataFrame, blocks: int) -> DataFrame:
             once = {d: r for d, r in zip(digests, raws) if len(r) >= LENGTH}  # of equal documents one is enough
             if not once:
                 continue
-            found, places, owner = [], [], []
-            for i, raw in enumerate(once.values()):
-                hashes = gram_hashes(np.frombuffer(raw, np.uint8))
-                at = anchors(hashes)[1]
-                found.append(hashes[at])
-                places.append(at)
-                owner.append(np.full(len(at), i))
-            found, places, owner = np.concatenate(found), np.concatenate(places), np.concatenate(owner)
+            hashes, _, places, begins = anchors(list(once.values()))
+            found = hashes[places]
+            owner = np.searchsorted(begins, places, side="right") - 1
+            places = places - begins[owner]
             block = ((found >> np.uint64(40)) % np.uint64(blocks)).astype(np.int64)
             order = np.argsort(block, kind="stable")
             found, places, owner = found[order], places[order].astype("<u4"), owner[order]
@@ -195,41 +199,49 @@ def gather_anchors(scattered: DataFrame) -> DataFrame:
     return scattered.groupBy("block").applyInArrow(block_of, GATHERED)
 
 
-SEGMENTS = "block int, digest binary, row long, doc_id long, at long, starts int, bytes binary"
-
-
-def segments(rows: DataFrame, blocks: int) -> DataFrame:
+SEGMENTS = "anchor long, digest binary, row long, doc_id long, at long, starts int, bytes binary"
+
+
+def runs_of_windows(raws: list[bytes], repeated: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+    """(document, first window, number of windows, hash) for each run of windows with a common anchor, of those that
+    each document has ``repeated``, places in it."""
+    hashes, least, places, begins = anchors(raws)
+    windows = np.flatnonzero(least)
+    if not len(windows):
+        return tuple(np.empty(0, np.int64) for _ in range(4))
+    wanted = np.concatenate([p.astype(np.int64) + b for p, b in zip(repeated, begins.tolist())])
+    # the first anchor in a window that is its least hash
+    k, found, least = np.searchsorted(places, windows), hashes[places], least[windows]
+    while len(wrong := np.flatnonzero(found[k] != least)):
+        k[wrong] += 1
+    new = np.concatenate([[True], (k[1:] != k[:-1]) | (windows[1:] != windows[:-1] + 1)])
+    first = np.flatnonzero(new)
+    n = np.diff(np.concatenate([first, [len(k)]]))
+    own, start = k[first], windows[first]
+    kept = np.isin(places[own], wanted)
+    own, start, n = own[kept], start[kept], n[kept]
+    document = np.searchsorted(begins, start, side="right") - 1
+    return document, start - begins[document], n, found[own].astype(np.int64)
+
+
+def segments(rows: DataFrame) -> DataFrame:
     """From (row, doc_id, text, parts), parts being lists of anchors' places, one row for each run of windows that
     have such an anchor in common."""
     names = [x.split()[0] for x in SEGMENTS.split(", ")]
-    kinds = [pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+    kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _slices(batches, 2):
-            out: list[tuple] = []
-            for row, doc_id, text, parts in zip(*(part.column(i).to_pylist() for i in range(4))):
-                raw = text.encode()
-                hashes = gram_hashes(np.frombuffer(raw, np.uint8))
-                least = sliding(hashes, PLACES, np.minimum)
-                places = np.sort(np.concatenate([np.frombuffer(p, "<u4") for p in parts]).astype(np.int64))
-                # the windows that hold a repeated anchor which is their least hash: from place - PLACES + 1 to place
-                first = np.maximum(0, places - PLACES + 1)
-                last = np.minimum(len(least) - 1, places)
-                taken = 0
-                for place, lo, hi in zip(places.tolist(), first.tolist(), last.tolist()):
-                    lo = max(lo, taken)  # of equal hashes in a window the first one is its anchor
-                    if lo > hi:
-                        continue
-                    mine = np.flatnonzero(least[lo : hi + 1] == hashes[place])
-                    if not len(mine):
-                        continue
-                    begin, end = lo + int(mine[0]), lo + int(mine[-1])
-                    taken = end + 1
-                    body = raw[begin : end + LENGTH]
-                    block = int(hashes[place] >> np.uint64(40)) % blocks
-                    out.append((block, _digest(body), row, doc_id, begin, end - begin + 1, body))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
+            rows, doc_ids, texts, parts = (part.column(i).to_pylist() for i in range(4))
+            raws = [t.encode() for t in texts]
+            repeated = [np.concatenate([np.frombuffer(p, "<u4") for p in ps]) for ps in parts]
+            document, begins, n, hashes = runs_of_windows(raws, repeated)
+            document = document.tolist()
+            bodies = [raws[d][b : b + k + LENGTH - 1] for d, b, k in zip(document, begins.tolist(), n.tolist())]
+            if bodies:
+                of = [[c[d] for d in document] for c in (rows, doc_ids)]
+                listed = [hashes, [_digest(b) for b in bodies], *of, begins, n, bodies]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(listed, kinds)], names=names)
 
     return rows.mapInArrow(run, SEGMENTS)
 
@@ -273,30 +285,40 @@ def repeats_in(bodies: list[bytes], order: list[tuple]) -> list[bytes]:
 SORTED = "digest binary, row long, doc_id long, at long, repeats binary"
 
 
-def sorted_blocks(distinct: DataFrame) -> DataFrame:
-    """``distinct``: (block, digest, bytes, doc_id, row, at), the earliest place of every different segment."""
+def sorted_blocks(distinct: DataFrame, blocks: int) -> DataFrame:
+    """``distinct``: (anchor, digest, bytes, doc_id, row, at), the earliest place of every different segment.
+
+    Windows of one segment are never equal, for their common anchor stands at another place in each. So a segment that
+    shares its anchor with no other has no repeats to look for (NULL), and all others of a block are sorted together."""
 
     def block_of(table: pa.Table) -> pa.Table:
-        keys = [
-            (LAST if d is None else d, r, a) for d, r, a in zip(*(table[c].to_pylist() for c in ("doc_id", "row", "at")))
-        ]
-        found = repeats_in(table["bytes"].to_pylist(), keys)
+        anchor = table["anchor"].to_numpy()
+        _, group, size = np.unique(anchor, return_inverse=True, return_counts=True)
+        chosen = np.flatnonzero(size[group] > 1)
+        out: list[bytes | None] = [None] * len(anchor)
+        if len(chosen):
+            some = table.take(pa.array(chosen))
+            places = zip(*(some[c].to_pylist() for c in ("doc_id", "row", "at")))
+            keys = [(LAST if d is None else d, r, a) for d, r, a in places]
+            for i, bits in zip(chosen.tolist(), repeats_in(some["bytes"].to_pylist(), keys)):
+                out[i] = bits
         return pa.table(
-            [table["digest"], table["row"], table["doc_id"], table["at"], pa.array(found, pa.binary())],
+            [table["digest"], table["row"], table["doc_id"], table["at"], pa.array(out, pa.binary())],
             names=[x.split()[0] for x in SORTED.split(", ")],
         )
 
-    return distinct.groupBy("block").applyInArrow(block_of, SORTED)
+    block = F.pmod("anchor", F.lit(blocks)).cast("int")
+    return distinct.withColumn("block", block).groupBy("block").applyInArrow(block_of, SORTED)
 
 
-def covered(starts: np.ndarray) -> list[tuple[int, int]]:
-    """The maximal runs of bytes that strings of LENGTH bytes at the sorted starts cover."""
-    if not len(starts):
+def covered(begins: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
+    """The maximal runs that intervals cover together."""
+    if not len(begins):
         return []
-    gap = np.flatnonzero(np.diff(starts) > LENGTH)
-    begins = starts[np.concatenate([[0], gap + 1])]
-    ends = starts[np.concatenate([gap, [len(starts) - 1]])] + LENGTH
-    return list(zip(begins.tolist(), ends.tolist()))
+    order = np.argsort(begins, kind="stable")
+    begins, ends = begins[order], np.maximum.accumulate(ends[order])
+    gap = np.flatnonzero(begins[1:] > ends[:-1])
+    return list(zip(begins[np.concatenate([[0], gap + 1])].tolist(), ends[np.concatenate([gap, [len(ends) - 1]])].tolist()))
 
 
 def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -315,37 +337,38 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     marked = gathered.where("places IS NOT NULL").groupBy("digest").agg(F.collect_list("places").alias("parts"))
     wanted = marked.join(heads, "digest").select(F.col("least.row").alias("row"), "parts")
     texts = docs.select("row", F.col("doc_id").cast("long"), "text").join(wanted, "row")
-    pieces = stored(segments(texts.select("row", "doc_id", "text", "parts"), blocks * 4), "segments")
+    pieces = stored(segments(texts.select("row", "doc_id", "text", "parts")), "segments", "zstd")
     release(spark)
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "at")
     distinct = pieces.groupBy("digest").agg(
-        F.first("block").alias("block"), F.first("bytes").alias("bytes"), F.min(first).alias("f")
-    ).select("block", "digest", "bytes", "f.doc_id", "f.row", "f.at")
-    found = stored(sorted_blocks(distinct), "repeats")
+        F.first("anchor").alias("anchor"), F.first("bytes").alias("bytes"), F.min(first).alias("f")
+    ).select("anchor", "digest", "bytes", "f.doc_id", "f.row", "f.at")
+    found = stored(sorted_blocks(distinct, blocks * 4), "repeats")
     release(spark)
-    judged = found.select(
-        "digest", F.col("row").alias("row0"), F.col("at").alias("at0"), "repeats"
-    )
+    judged = found.select("digest", F.col("row").alias("row0"), F.col("at").alias("at0"), "repeats")
     head = (F.col("row") == F.col("row0")) & (F.col("at") == F.col("at0"))
-    hits = pieces.select("digest", "row", "at", "starts").join(judged, "digest").select(
-        "row", F.struct("at", "starts", F.when(head, F.col("repeats")).alias("repeats")).alias("p")
-    )
-    parts = checkpointed(hits.groupBy("row").agg(F.collect_list("p").alias("parts")))
+    # every segment but the earliest of its kind repeats as a whole (no bit map)
+    hits = pieces.select("digest", "row", "at", "starts").join(judged, "digest").where(
+        ~head | F.col("repeats").isNotNull()
+    ).select("row", F.struct("at", "starts", F.when(head, F.col("repeats")).alias("repeats")).alias("p"))
+    parts = stored(hits.groupBy("row").agg(F.collect_list("p").alias("parts")), "parts", "zstd")
     drop_stored(gathered, pieces, found)
     release(spark)
     return parts, named
 
 
-def starts_of(parts: list[dict]) -> np.ndarray:
-    """Sorted places of repeated windows; a part without a bit map repeats as a whole."""
-    out = []
-    for p in parts:
-        if p["repeats"] is None:
-            out.append(np.arange(p["at"], p["at"] + p["starts"]))
-        else:
-            bits = np.unpackbits(np.frombuffer(p["repeats"], np.uint8), count=p["starts"])
-            out.append(np.flatnonzero(bits) + p["at"])
-    return np.sort(np.concatenate(out)) if out else np.empty(0, np.int64)
+def intervals(at: np.ndarray, starts: np.ndarray, repeats: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes that repeated windows cover, as intervals. A part without a bit map repeats as a whole."""
+    begins, ends = [], []
+    whole = np.array([r is None for r in repeats], bool)
+    begins.append(at[whole])
+    ends.append(at[whole] + starts[whole] + LENGTH - 1)
+    for i in np.flatnonzero(~whole).tolist():
+        bits = np.unpackbits(np.frombuffer(repeats[i], np.uint8), count=int(starts[i])).astype(np.int8)
+        edges = np.diff(np.concatenate([[0], bits, [0]]))
+        begins.append(at[i] + np.flatnonzero(edges == 1))
+        ends.append(at[i] + np.flatnonzero(edges == -1) + LENGTH - 1)
+    return np.concatenate(begins), np.concatenate(ends)
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -362,9 +385,20 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _slices(batches, 2):
             sizes, spans, kept = [], [], []
-            for copy, text, parts in zip(*(part.column(i).to_pylist() for i in (1, 2, 3))):
+            parts = part.column(3)
+            offsets = np.asarray(parts.offsets, np.int64).tolist()
+            at_, starts = (np.asarray(parts.values.field(k)).astype(np.int64) for k in (0, 1))
+            repeats = parts.values.field(2)
+            for i, (copy, text) in enumerate(zip(part.column(1).to_pylist(), part.column(2).to_pylist())):
                 raw = (text or "").encode()
-                runs = [(0, len(raw))] if copy and len(raw) >= LENGTH else covered(starts_of(parts)) if parts else []
+                here = slice(offsets[i], offsets[i + 1])
+                if copy and len(raw) >= LENGTH:
+                    runs = [(0, len(raw))]
+                elif here.start == here.stop:
+                    runs = []
+                else:
+                    bits = repeats.slice(here.start, here.stop - here.start).to_pylist()
+                    runs = covered(*intervals(at_[here], starts[here], bits))
                 at, rest = 0, []
                 for begin, end in runs:
                     rest.append(raw[at:begin])

@@ -74,15 +74,17 @@ def test_small_slices_and_many_blocks(spark, docs_of, table_dir, monkeypatch):
 
 def test_anchors_are_the_least_hashes():
     rng = np.random.default_rng(1)
-    data = rng.integers(0, 3, 1500).astype(np.uint8)
-    hashes = d.gram_hashes(data)
-    assert len(hashes) == len(data) - d.GRAM + 1
-    least, places = d.anchors(hashes)
-    assert least.tolist() == [hashes[i : i + d.PLACES].min() for i in range(len(data) - d.LENGTH + 1)]
-    want = {int(i + j) for i in range(len(least)) for j in np.flatnonzero(hashes[i : i + d.PLACES] == least[i])}
-    assert set(places.tolist()) == want
-    again = d.gram_hashes(data[700:])
-    assert again.tolist() == hashes[700:].tolist()
+    raws = [rng.integers(0, 3, n).astype(np.uint8).tobytes() for n in (1500, 0, 99, 100, 40, 700)]
+    hashes, least, places, begins = d.anchors(raws)
+    want = set()
+    for raw, begin in zip(raws, begins.tolist()):
+        own = d.gram_hashes(np.frombuffer(raw, np.uint8))
+        assert hashes[begin : begin + len(own)].tolist() == own.tolist()
+        for i in range(len(raw) - d.LENGTH + 1):
+            low = own[i : i + d.PLACES].min()
+            assert least[begin + i] == low
+            want |= {begin + i + int(j) for j in np.flatnonzero(own[i : i + d.PLACES] == low)}
+    assert set(places.tolist()) == want and int((least > 0).sum()) == sum(max(0, len(r) - 99) for r in raws)
 
 
 def test_empty_null_ids_and_extra_columns(spark, docs_of, table_dir):
