@@ -193,9 +193,9 @@ def choose_features(
         clash = [n for n in feature["names"] if n in taken]
         for n in clash:
             log(n, "skipped_duplicate_feature", f"There is a column {n} already; the feature was left out", "warning")
-        if clash and feature["kind"] not in ("text", "tfidf") or len(clash) == len(feature["names"]):
+        if len(clash) == len(feature["names"]):
             return
-        if clash:  # a text's other columns stay useful without the one whose name is taken
+        if clash:  # the other columns stay useful without the one whose name is taken
             feature = feature | {"leave_out": clash}
         taken.update(feature["names"])
         out.append(feature)

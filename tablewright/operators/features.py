@@ -63,11 +63,14 @@ def fit_tfidf(df: DataFrame, column: str, top_k: int) -> Feature | None:
     """The most frequent terms (ties by the alphabet) with their weights; None if there is no term at all."""
     listed = df.select(tokens(fc.named(column)).alias("t"))
     n = listed.count()
-    # one row for each term of a text, so a term is counted by texts and by uses in the same shuffle
-    per_text = listed.select(
-        F.explode(F.array_distinct("t")).alias("term"), "t"
-    ).select("term", F.size(F.filter("t", lambda x: x == F.col("term"))).alias("uses"))
-    counted = per_text.groupBy("term").agg(F.sum("uses").alias("uses"), F.count(F.lit(1)).alias("texts"))
+    # every use of a term, and every term of a text once more: uses and texts are summed in the same shuffle
+    seen = F.concat(
+        F.transform("t", lambda t: F.struct(t.alias("term"), F.lit(1).alias("use"), F.lit(0).alias("text"))),
+        F.transform(F.array_distinct("t"), lambda t: F.struct(t.alias("term"), F.lit(0).alias("use"), F.lit(1).alias("text"))),
+    )
+    counted = listed.select(F.explode(seen).alias("s")).groupBy("s.term").agg(
+        F.sum("s.use").alias("uses"), F.sum("s.text").alias("texts")
+    )
     top = counted.orderBy(F.desc("uses"), "term").limit(top_k).collect()
     if not top:
         return None

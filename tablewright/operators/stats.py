@@ -18,6 +18,8 @@ from pyspark.sql import types as T
 from ..functions import columns as fc
 
 EXACT_ROWS = 10_000_000
+#: Up to so many rows one pass counts distinct values at once; up to so many distinct values are collected as a set.
+SMALL_ROWS, FEW = 50_000, 5_000
 #: Relative error of sketches beyond.
 ERROR = 0.01
 ACCURACY = 10_000
@@ -46,16 +48,29 @@ def quantiles(c: Column, points: list[float], rows: int) -> Column:
     return F.percentile(c, wanted) if rows <= EXACT_ROWS else F.percentile_approx(c, points, ACCURACY)
 
 
+def distinct_counts(df: DataFrame, columns: list[str], estimates: dict[str, int]) -> dict[str, int]:
+    """Exact distinct counts. Columns of few values are collected as sets inside the one aggregate; only the others are
+    expanded and shuffled value by value."""
+    few = [c for c in columns if estimates[c] <= FEW]
+    many = [c for c in columns if estimates[c] > FEW]
+    out: dict[str, int] = {}
+    if few:
+        out |= dict(zip(few, df.agg(*(F.size(F.collect_set(fc.named(c))).alias(f"d{i}") for i, c in enumerate(few))).first()))
+    if many:
+        out |= dict(zip(many, df.agg(*(F.countDistinct(fc.named(c)).alias(f"d{i}") for i, c in enumerate(many))).first()))
+    return out
+
+
 def column_stats(df: DataFrame, columns: list[str], limits: tuple[int, ...] = (1, 2, 20)) -> dict[str, ColumnStats]:
     """Statistics of the columns. Near ``limits``, and near 95 % of the rows, distinct counts are always exact."""
     kinds = {f.name: f.dataType for f in df.schema}
     rows = df.count()
-    exact = rows <= EXACT_ROWS
+    exact, small = rows <= EXACT_ROWS, rows <= SMALL_ROWS
     asked: list[Column] = []
     for i, c in enumerate(columns):
         col, kind = fc.named(c), kinds[c]
         asked.append(F.count(col).alias(f"n{i}"))
-        asked.append((F.countDistinct(col) if exact else F.approx_count_distinct(col, ERROR)).alias(f"d{i}"))
+        asked.append((F.countDistinct(col) if small else F.approx_count_distinct(col, ERROR)).alias(f"d{i}"))
         if fc.is_string(kind):
             asked += [F.avg(F.length(col)).alias(f"l{i}"), F.avg(fc.words(col)).alias(f"w{i}")]
         elif fc.is_numeric(kind):
@@ -68,16 +83,14 @@ def column_stats(df: DataFrame, columns: list[str], limits: tuple[int, ...] = (1
         out[c] = ColumnStats(
             c, kinds[c], rows, row[f"n{i}"], row[f"d{i}"], row.get(f"l{i}"), row.get(f"w{i}"), q[0], q[1], row.get(f"v{i}")
         )
-    if not exact:
+    if not small:
         near = [
             c
             for c, s in out.items()
-            if s.distinct <= 2 * max(limits) or abs(s.distinct - 0.95 * s.present) <= 5 * ERROR * rows
+            if exact or s.distinct <= 2 * max(limits) or abs(s.distinct - 0.95 * s.present) <= 5 * ERROR * rows
         ]
-        if near:
-            sure = df.agg(*(F.countDistinct(fc.named(c)).alias(f"d{i}") for i, c in enumerate(near))).first()
-            for i, c in enumerate(near):
-                out[c].distinct = sure[i]
+        for c, n in distinct_counts(df, near, {c: out[c].distinct for c in near}).items():
+            out[c].distinct = n
     return out
 
 
