@@ -4,8 +4,8 @@ Every (key, shard) pair gets a uniform number u from a hash of the key and the s
 largest ``weight / -ln(u)``. A new shard competes with scores of its own and changes nobody else's, so it only takes
 rows into itself, on average its share by weight. The choice is a projection: no shuffle and no state.
 
-Places inside shards (``slot``) are numbered in small cells and shifted (``ranked_within``), so a shard with any
-share of the rows is never sorted in one task.
+Places inside shards (``slot``, the key's rank) are numbered in small cells, ranges of keys, and shifted
+(``ranked_within``), so a shard with any share of the rows is never sorted in one task.
 
 Defined results: a null key is a key like any other (the text "null" is not it); a null text has size 1 and the crc32
 of no bytes; repeated rows get the same shard and different slots; an empty table gives an empty result.
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, ranked_within
+from .common import checkpointed, partitions, ranked_within
 
 #: Hex digits of the hash that make u: 52 bits, which a double holds exactly.
 DIGITS = 13
@@ -51,4 +51,8 @@ def rendezvous_shards(
         shard_of(F.col(key), weights).alias("shard"),
         (shard_of(F.col(key), grown) if grown else F.lit(None).cast("int")).alias("grown_shard"),
     )
-    return ranked_within(checkpointed(out), ["shard"], "slot", [key])
+    # by ranges of the key, so that a slot is the key's rank in its shard; the tag splits a key with very many rows
+    ranged = out.withColumn("__tag", F.monotonically_increasing_id()).repartitionByRange(
+        partitions(df.sparkSession), key, "__tag"
+    )
+    return ranked_within(checkpointed(ranged), ["shard"], "slot", [key, "__tag"]).drop("__tag")
