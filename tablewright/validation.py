@@ -29,6 +29,8 @@ def check_inputs(
         raise ValueError("The DataFrame has only one column; it needs a feature besides the target.")
     if len(set(df.columns)) < len(df.columns):
         raise ValueError("The DataFrame has duplicate column names; each name may stand once.")
+    if df.sparkSession.conf.get("spark.sql.caseSensitive") != "true" and len({c.lower() for c in df.columns}) < len(df.columns):
+        raise ValueError("Column names differ only in case; rename them, or set spark.sql.caseSensitive to true.")
     if task not in ("classification", "regression"):
         raise ValueError(f"The task must be 'classification' or 'regression', not '{task}'.")
     if model_hint is not None and model_hint not in ("tree", "linear"):

@@ -51,6 +51,11 @@ def test_duplicates_flat_columns_and_methods(spark):
         cleaning.fences("mad", 1, 2, 1, 1)
 
 
+def test_maps_are_carried_through_deduplication(spark):
+    df = spark.createDataFrame([(1, {"a": 1}), (1, {"a": 1}), (2, None)], "x long, m map<string,int>")
+    assert cleaning.drop_duplicates(df).count() == 2
+
+
 def test_many_rare_values_are_told_by_the_frequent_ones(spark, monkeypatch):
     monkeypatch.setattr(cleaning, "MOST_RARE", 3)
     rows = [(f"rare{i}",) for i in range(90)] + [("Often",)] * 30

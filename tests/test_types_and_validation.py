@@ -46,6 +46,8 @@ def test_checks_in_order(spark):
         check_inputs(df.select("y"), "y", "regression")
     with pytest.raises(ValueError, match="duplicate"):
         check_inputs(df.select("x", "x", "y"), "y", "regression")
+    with pytest.raises(ValueError, match="case"):
+        check_inputs(df.selectExpr("x", "y AS Y", "y"), "y", "regression")
     with pytest.raises(ValueError, match="task"):
         check_inputs(df, "y", "ranking")
     with pytest.raises(ValueError, match="model_hint"):
