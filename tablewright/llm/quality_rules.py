@@ -1,8 +1,9 @@
 """Quality rules: a threshold table compiled into one Spark projection.
 
-``RULES`` is the table: each row bounds ``100 * numerator / denominator`` or a plain count. ``measure`` adds the counts
-and ``verdict`` turns the table into a single boolean column, so the whole operator is one scan and one projection:
-no shuffle, no user function, and no state that grows with the table.
+``RULES`` is the table: each row bounds ``100 * numerator / denominator`` or a plain count. ``measures`` is one
+expression that gives all counts of a text, ``verdict`` turns the table into one boolean of them, so the whole operator
+is one scan and one projection: no shuffle, no user function, and no state that grows with the table. Whatever several
+counts share is bound to a variable inside the expression, so it is computed once wherever the optimizer moves it.
 
 Defined results: a null or empty text has no words, so it fails; ties do not occur (rows are judged one by one);
 repeated rows are judged alike; extra columns pass through untouched unless they carry the name of a measure, which
@@ -11,6 +12,8 @@ is then replaced in ``measure``'s output.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -87,54 +90,55 @@ def repeated_words(words: Column) -> Column:
     return F.when(F.size(words) < 4, F.lit(0)).otherwise(_bound(windows(words), covered))
 
 
-def measure(df: DataFrame, text: str = "text") -> DataFrame:
-    """Adds the measures (long) to df."""
-    body = F.coalesce(F.col(text), F.lit(""))
+def measures(text: Column) -> Column:
+    """A struct with all MEASURES of a text."""
+    body = F.coalesce(text, F.lit(""))
     words = F.filter(F.split(body, f"[{SPACE}]+"), lambda w: w != "")
     lines = F.filter(F.split(body, "\n"), lambda x: x.rlike(f"[^{SPACE}]"))
     listed = sorted({*STOP_WORDS, *(w.title() for w in STOP_WORDS)})
-    kept = [F.col(f"`{c}`") for c in df.columns if c not in MEASURES]
-    split = df.select(*kept, words.alias("__words"), lines.alias("__lines"))
-    counts = {
-        "n_words": F.size("__words"),
-        "word_chars": F.length(F.regexp_replace(body, f"[{SPACE}]+", "")),
-        "n_symbols": F.length(body) - F.length(F.translate(body, SYMBOLS, "")),
-        "n_lines": F.size("__lines"),
-        "n_dup_lines": F.size("__lines") - F.size(F.array_distinct("__lines")),
-        "n_stop_words": F.size(F.filter("__words", lambda w: w.isin(listed))),
-        "n_repeat_words": repeated_words(F.col("__words")),
-    }
-    return split.select(*kept, *(counts[m].cast("long").alias(m) for m in MEASURES))
-
-
-def holds(rule: Rule) -> Column:
-    top = F.col(rule.top) if rule.bottom is None else 100 * F.col(rule.top)
-    bottom = F.lit(1) if rule.bottom is None else F.col(rule.bottom)
+
+    def count(split: Column) -> Column:
+        w, x = split["words"], split["lines"]
+        counts = {
+            "n_words": F.size(w),
+            "word_chars": F.length(F.regexp_replace(body, f"[{SPACE}]+", "")),
+            "n_symbols": F.length(body) - F.length(F.translate(body, SYMBOLS, "")),
+            "n_lines": F.size(x),
+            "n_dup_lines": F.size(x) - F.size(F.array_distinct(x)),
+            "n_stop_words": F.size(F.filter(w, lambda v: v.isin(listed))),
+            "n_repeat_words": repeated_words(w),
+        }
+        return F.struct(*(counts[m].cast("long").alias(m) for m in MEASURES))
+
+    return _bound(F.struct(words.alias("words"), lines.alias("lines")), count)
+
+
+def holds(rule: Rule, m: Column) -> Column:
+    top = m[rule.top] if rule.bottom is None else 100 * m[rule.top]
+    bottom = F.lit(1) if rule.bottom is None else m[rule.bottom]
     parts = [top >= rule.low * bottom] if rule.low is not None else []
     parts += [top <= rule.high * bottom] if rule.high is not None else []
-    out = parts[0]
-    for p in parts[1:]:
-        out &= p
-    return out
+    return reduce(and_, parts)
 
 
-def verdict(rules: tuple[Rule, ...]) -> Column:
-    """The table as one boolean."""
-    out = holds(rules[0])
-    for r in rules[1:]:
-        out &= holds(r)
-    return out
+def verdict(rules: tuple[Rule, ...], m: Column) -> Column:
+    """The table as one boolean of the measures."""
+    return reduce(and_, (holds(r, m) for r in rules))
 
 
 def quality_rules(df: DataFrame, text: str = "text", base=BASE, rules=RULES) -> DataFrame:
-    """df with the measures, ``base_failed`` and ``kept``."""
-    measured = measure(df.drop("base_failed", "kept"), text)
-    return measured.withColumns({"base_failed": ~verdict(base), "kept": verdict(base) & verdict(rules)})
+    """df with the measures (long), ``base_failed`` and ``kept``."""
+    new = (*MEASURES, "base_failed", "kept")
+    own = [F.col(f"`{c}`") for c in df.columns if c not in new]
+    m = F.col("__measures")
+    return df.select(*own, measures(F.col(f"`{text}`")).alias("__measures")).select(
+        *own,
+        *(m[x].alias(x) for x in MEASURES),
+        (~verdict(base, m)).alias("base_failed"),
+        (verdict(base, m) & verdict(rules, m)).alias("kept"),
+    )
 
 
-def keep(df: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of df that pass, with df's own columns."""
-    own = [F.col(f"`{c}`") for c in df.columns]
-    return df.select(F.struct(*own).alias("__row"), F.col(text).alias("__text")).transform(
-        lambda d: quality_rules(d, "__text").where("kept").select("__row.*")
-    )
+def keep(df: DataFrame, text: str = "text", base=BASE, rules=RULES) -> DataFrame:
+    """The rows of df that pass, with df's own columns: one filter of one expression."""
+    return df.where(_bound(measures(F.col(f"`{text}`")), lambda m: verdict(base, m) & verdict(rules, m)))
