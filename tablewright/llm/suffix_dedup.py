@@ -212,8 +212,10 @@ def runs_of_windows(raws: list[bytes], repeated: list[np.ndarray]) -> tuple[np.n
     wanted = np.concatenate([p.astype(np.int64) + b for p, b in zip(repeated, begins.tolist())])
     # the first anchor in a window that is its least hash
     k, found, least = np.searchsorted(places, windows), hashes[places], least[windows]
-    while len(wrong := np.flatnonzero(found[k] != least)):
+    wrong = np.flatnonzero(found[k] != least)
+    while len(wrong):
         k[wrong] += 1
+        wrong = wrong[found[k[wrong]] != least[wrong]]
     new = np.concatenate([[True], (k[1:] != k[:-1]) | (windows[1:] != windows[:-1] + 1)])
     first = np.flatnonzero(new)
     n = np.diff(np.concatenate([first, [len(k)]]))
@@ -338,6 +340,8 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     wanted = marked.join(heads, "digest").select(F.col("least.row").alias("row"), "parts")
     texts = docs.select("row", F.col("doc_id").cast("long"), "text").join(wanted, "row")
     pieces = stored(segments(texts.select("row", "doc_id", "text", "parts")), "segments", "zstd")
+    drop_stored(gathered)
+    del texts, wanted, marked
     release(spark)
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "at")
     distinct = pieces.groupBy("digest").agg(
@@ -352,7 +356,7 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         ~head | F.col("repeats").isNotNull()
     ).select("row", F.struct("at", "starts", F.when(head, F.col("repeats")).alias("repeats")).alias("p"))
     parts = stored(hits.groupBy("row").agg(F.collect_list("p").alias("parts")), "parts", "zstd")
-    drop_stored(gathered, pieces, found)
+    drop_stored(pieces, found)
     release(spark)
     return parts, named
 
