@@ -109,7 +109,7 @@ def token_pieces(docs: DataFrame, capacity: int, path: str, end_id: int, ids: bo
             for at in range(0, batch.num_rows, STEP_ROWS):
                 part = batch.slice(at, STEP_ROWS)
                 rows = []
-                for doc_id, raw in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist())):
+                for doc_id, raw in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).cast(pa.binary()).to_pylist())):
                     raw += end
                     for k, begin in enumerate(range(0, len(raw), 4 * capacity)):
                         piece = raw[begin : begin + 4 * capacity]

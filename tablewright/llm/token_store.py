@@ -25,41 +25,48 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import STEP_ROWS, drop_stored, sorted_with_offsets, stored
+from .common import drop_stored, partitions, sorted_with_offsets, stored
 
 #: Ids under the rolling window, and the least, usual and largest number of ids in a chunk.
-WINDOW, LEAST, MASK, MOST = 16, 64, 255, 2048
+WINDOW, LEAST, MASK, MOST = 16, 128, 511, 2048
+#: Documents that are hashed at a time: few enough for their ids to stay in a processor's cache.
+GROUP = 64
+#: Addresses that a task remembers.
+MET = 200_000
 
 
-def scrambled(ids):
-    """A 64-bit number for each id (the finalizer of splitmix64)."""
+def gear(vocabulary: int):
+    """A 32-bit number for each id: what the rolling hash adds up (the finalizer of a 32-bit murmur hash)."""
     import numpy as np
 
-    x = ids.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x = np.arange(vocabulary, dtype=np.uint32) + np.uint32(0x9E3779B9)
+    x = (x ^ (x >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+    x = (x ^ (x >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+    return x ^ (x >> np.uint32(16))
 
 
-def cuts(ids) -> list[int]:
-    """Where chunks end, the last one at len(ids)."""
+def marks(ids, table):
+    """Places after which a chunk may end: where a rolling hash of the last WINDOW ids has its top bits clear."""
     import numpy as np
 
-    n = len(ids)
-    if n <= LEAST:
-        return [n] if n else []
-    gear = scrambled(ids)
-    rolled = gear.copy()
-    for k in range(1, min(WINDOW, n)):
-        rolled[k:] += gear[:-k] << np.uint64(k)
-    marks = np.flatnonzero(((rolled >> np.uint64(40)) & np.uint64(MASK)) == 0) + 1
+    rolled, span = table[ids], 1
+    while span < min(WINDOW, len(ids)):  # from windows of a span to windows of twice the span
+        twice = rolled.copy()
+        twice[span:] += rolled[:-span] << np.uint32(span)
+        rolled, span = twice, 2 * span
+    return np.flatnonzero(rolled < np.uint32(2**32 // (MASK + 1))) + 1
+
+
+def cuts(n: int, places: list[int]) -> list[int]:
+    """Where the chunks of n ids end, the last one at n, from the places that may end one. The first LEAST ids of a
+    chunk are never cut, so a window reaches back into what stands before the ids at no cut."""
     out, last = [], 0
-    for mark in [*marks.tolist(), n]:
-        while mark - last > MOST:
+    for place in [*places, n]:
+        while place - last > MOST:
             last += MOST
             out.append(last)
-        if mark - last >= LEAST or mark == n and mark > last:
-            last = mark
+        if place - last >= LEAST or place == n and place > last:
+            last = place
             out.append(last)
     return out
 
@@ -74,11 +81,14 @@ def merkle_root(leaves: list[bytes]) -> bytes:
 
 
 def _encoded(docs: DataFrame, path: str, end_id: int, width: int) -> DataFrame:
+    """A recipe for each document, with the bytes of those of its chunks that its task has not met lately: however
+    many copies a chunk has, a task sends it on about once."""
     end, kind = tokens.end_bytes(end_id), f"<u{width}"
     schema = pa.schema(
         [
             ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("chunk_ids", pa.list_(pa.binary())),
-            ("sizes", pa.list_(pa.int32())), ("root", pa.binary()), ("payload", pa.binary()),
+            ("sizes", pa.list_(pa.int32())), ("root", pa.binary()),
+            ("fresh", pa.list_(pa.struct([("chunk_id", pa.binary()), ("n_ids", pa.int32()), ("payload", pa.binary())]))),
         ]
     )
 
@@ -86,43 +96,61 @@ def _encoded(docs: DataFrame, path: str, end_id: int, width: int) -> DataFrame:
         import numpy as np
 
         encoder = tokens.encoder(path)
+        table = gear(max(encoder.model.get_vocab_size(), end_id + 1))
+        met: set[bytes] = set()
         for batch in batches:
-            for at in range(0, batch.num_rows, STEP_ROWS):
-                part = batch.slice(at, STEP_ROWS)
+            for at in range(0, batch.num_rows, GROUP):
+                part = batch.slice(at, GROUP)
                 rows = []
-                for doc_id, raw in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist())):
-                    ids = np.frombuffer(raw + end, "<u4")
-                    payload, begin, names, sizes = ids.astype(kind).tobytes(), 0, [], []
-                    for stop in cuts(ids):
-                        names.append(hashlib.sha256(payload[begin * width : stop * width]).digest())
-                        sizes.append(stop - begin)
-                        begin = stop
-                    rows.append((doc_id, len(ids), names, sizes, merkle_root(names), payload))
+                raws = [raw + end for raw in encoder.encode(part.column(1).cast(pa.binary()).to_pylist())]
+                ids = np.frombuffer(b"".join(raws), "<u4")
+                stops = np.cumsum([len(raw) // 4 for raw in raws]).tolist()
+                payloads, places, seen = ids.astype(kind).tobytes(), marks(ids, table), 0
+                bounds = np.searchsorted(places, stops, side="right").tolist()
+                places, first = places.tolist(), 0
+                for doc_id, stop, bound in zip(part.column(0).to_pylist(), stops, bounds):
+                    begin, names, sizes, fresh = first, [], [], []
+                    for here in cuts(stop - first, [p - first for p in places[seen:bound]]):
+                        payload = payloads[begin * width : (first + here) * width]
+                        names.append(name := hashlib.sha256(payload).digest())
+                        sizes.append(first + here - begin)
+                        if name not in met:
+                            met.add(name)
+                            fresh.append((name, sizes[-1], payload))
+                        begin = first + here
+                    rows.append((doc_id, stop - first, names, sizes, merkle_root(names), fresh))
+                    first, seen = stop, bound
+                if len(met) > MET:
+                    met.clear()
                 if rows:
                     columns = [pa.array(c, type=f.type) for c, f in zip(zip(*rows), schema)]
                     yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    ddl = "doc_id long, n_tokens long, chunk_ids array<binary>, sizes array<int>, root binary, payload binary"
+    ddl = "doc_id long, n_tokens long, chunk_ids array<binary>, sizes array<int>, root binary, " \
+        "fresh array<struct<chunk_id:binary,n_ids:int,payload:binary>>"
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, ddl)
 
 
+def _first_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Equal addresses hold equal bytes and stand in one partition: the first of each stays."""
+    met: set[bytes] = set()
+    for batch in batches:
+        new = []
+        for name in batch.column(0).to_pylist():
+            new.append(name not in met)
+            met.add(name)
+        yield batch.filter(pa.array(new, pa.bool_()))
+
+
 def write_store(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = 1) -> int:
     """Encodes ``doc_id, text`` and writes the store at ``path``, where nothing may be yet. Returns the ids written."""
     tokenizer = tokenizer or tokens.default_path()
     width = 2 if tokens.encoder(tokenizer).model.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else 4
     encoded = stored(_encoded(docs, tokenizer, end_id, width), "encoded")
-    begins = F.transform("sizes", lambda _, i: F.aggregate(F.slice("sizes", 1, i), F.lit(0), lambda a, s: a + s))
-    parts = encoded.select(
-        "payload", F.explode(F.arrays_zip("chunk_ids", "sizes", begins.alias("begins"))).alias("c")
-    ).select(
-        F.col("c.chunk_ids").alias("chunk_id"),
-        F.col("c.sizes").alias("n_ids"),
-        F.expr(f"substring(payload, c.begins * {width} + 1, c.sizes * {width})").alias("payload"),
-    )
-    # equal addresses hold equal bytes: one copy is kept, already within each task before the shuffle
-    unique = parts.groupBy("chunk_id").agg(F.first("n_ids").alias("n_ids"), F.first("payload").alias("payload"))
-    unique.write.option("compression", "zstd").parquet(f"{path}/chunks")
-    recipes, total = sorted_with_offsets(encoded.drop("payload"), ["doc_id"], "n_tokens", "start")
+    parts = encoded.select(F.inline("fresh")).repartition(partitions(docs.sparkSession), "chunk_id")
+    unique = parts.mapInArrow(_first_of_each, parts.schema)
+    unique.write.option("compression", "zstd").option("parquet.enable.dictionary", "false").parquet(f"{path}/chunks")
+    recipes, total = sorted_with_offsets(encoded.drop("fresh"), ["doc_id"], "n_tokens", "start")
     recipes = recipes.withColumn("part", F.spark_partition_id())
     recipes.write.option("compression", "zstd").parquet(f"{path}/recipes")
     manifest(docs.sparkSession, path).write.parquet(f"{path}/manifest")
@@ -134,7 +162,6 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
     """A Merkle root for each partition of the recipes, over its documents' roots by start: computed in blocks of
     documents whose roots are then joined, so no task holds more than one block of them."""
     recipes = spark.read.parquet(f"{path}/recipes")
-    block = 4096
 
     def roots(rows: pa.Table) -> pa.Table:
         leaves = [r for _, r in sorted(zip(rows["start"].to_pylist(), rows["root"].to_pylist()))]
@@ -147,7 +174,7 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
         )
 
     # documents hold a token or more each, so a block of starts has at most this many of them
-    blocks = recipes.select("part", F.floor(F.col("start") / (block * 16)).alias("block"), "start", "root", "n_tokens")
+    blocks = recipes.select("part", F.shiftright("start", 20).alias("block"), "start", "root", "n_tokens")
     found = blocks.groupBy("part", "block").applyInArrow(
         roots, "part int, block long, root binary, n_docs long, n_tokens long"
     )
@@ -174,23 +201,20 @@ def verified_chunks(spark: SparkSession, path: str) -> DataFrame:
 def verified_recipes(spark: SparkSession, path: str) -> DataFrame:
     """The recipes; one whose chunk list does not give its root raises an error, and so does a partition that the
     manifest does not know in this form."""
-    known = spark.read.parquet(f"{path}/manifest")
-    again = manifest(spark, path)
-    wrong = known.exceptAll(again).limit(1).count() + again.exceptAll(known).limit(1).count()
-    if wrong:
+    known = spark.read.parquet(f"{path}/manifest").select("part", "root", "n_docs", "n_tokens").collect()
+    if sorted(known) != sorted(manifest(spark, path).collect()):  # a row for each partition of the recipes
         raise ValueError(f"the recipes at {path} do not match the manifest")
 
-    @F.udf("binary")
-    def root_of(names):
-        return merkle_root([bytes(x) for x in names])
-
     recipes = spark.read.parquet(f"{path}/recipes")
-    return recipes.withColumn(
-        "doc_id",
-        F.when(root_of("chunk_ids") == F.col("root"), F.col("doc_id")).otherwise(
-            _fail("a recipe does not match its root").cast("long")
-        ),
-    )
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            listed, roots = batch.column("chunk_ids").to_pylist(), batch.column("root").to_pylist()
+            if any(merkle_root(names) != root for names, root in zip(listed, roots)):
+                raise ValueError("a recipe does not match its root")
+            yield batch
+
+    return recipes.mapInArrow(check, recipes.schema)
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -208,41 +232,33 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     ).select("doc_id", "start", "n_tokens", "ids")
 
 
-def shift_tables(n_bytes: int) -> list[int]:
-    """The linear map that ``n_bytes`` zero bytes apply to a crc32, as the images of its 32 bits."""
-
-    def times(m: list[int], v: int) -> int:
-        out, i = 0, 0
-        while v:
-            if v & 1:
-                out ^= m[i]
-            v >>= 1
-            i += 1
-        return out
-
-    step = [0xEDB88320, *(1 << i for i in range(31))]  # one zero bit (the polynomial is fixed by crc32)
-    out, bits = [1 << i for i in range(32)], 8 * n_bytes
-    while bits:
-        if bits & 1:
-            out = [times(step, v) for v in out]
-        step = [times(step, v) for v in step]
-        bits >>= 1
+def shift_tables():
+    """For every chunk size, the linear map that so many zero ids apply to a crc32: the images of its 32 bits."""
+    import numpy as np
+
+    zeros = bytes(4 * MOST)
+    out = np.zeros((MOST + 1, 32), np.uint32)
+    for n in range(MOST + 1):
+        none = zlib.crc32(zeros[: 4 * n])
+        out[n] = [zlib.crc32(zeros[: 4 * n], 1 << bit) ^ none for bit in range(32)]
     return out
 
 
-def joined_crc(parts: list[tuple[int, int]], tables: dict[int, list[int]]) -> int:
-    """The crc32 of a concatenation from (crc32, bytes) of its parts."""
-    out = 0
-    for value, n in parts:
-        if n not in tables:
-            tables[n] = shift_tables(n)
-        shift, i, moved = tables[n], 0, 0
-        while out:
-            if out & 1:
-                moved ^= shift[i]
-            out >>= 1
-            i += 1
-        out = moved ^ value
+def joined_crcs(crcs, sizes, offsets, tables):
+    """The crc32 of concatenations, from the crc32 and number of ids of their parts: concatenation i has the parts
+    ``offsets[i]`` to ``offsets[i + 1]``. All concatenations go forward together, a part at a time."""
+    import numpy as np
+
+    counts = np.diff(offsets)
+    out = np.zeros(len(counts), np.uint32)
+    order = np.argsort(-counts, kind="stable")
+    for k in range(int(counts.max(initial=0))):
+        order = order[: np.searchsorted(-counts[order], -k)]  # those with more than k parts
+        at = offsets[order] + k
+        table, now, moved = tables[sizes[at]], out[order], np.zeros(len(order), np.uint32)
+        for bit in range(32):
+            moved ^= table[:, bit] * (now >> np.uint32(bit) & np.uint32(1))
+        out[order] = moved ^ crcs[at]
     return out
 
 
@@ -256,14 +272,16 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
 
         for batch in batches:
             values = []
-            for n, payload in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            for name, n, payload in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if hashlib.sha256(payload).digest() != name:
+                    raise ValueError("a chunk does not match its address")
                 ids = np.frombuffer(payload, f"<u{len(payload) // n}")
                 values.append(zlib.crc32(ids.astype("<u4").tobytes()))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(values, pa.int64())], names=["chunk_id", "crc"]
             )
 
-    chunks = verified_chunks(spark, path).select("chunk_id", "n_ids", "payload").mapInArrow(
+    chunks = spark.read.parquet(f"{path}/chunks").select("chunk_id", "n_ids", "payload").mapInArrow(
         crcs, "chunk_id binary, crc long"
     )
     listed = verified_recipes(spark, path).select(
@@ -279,13 +297,17 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
     )
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables: dict[int, list[int]] = {}
+        import numpy as np
+
+        tables = shift_tables()
         for batch in batches:
-            values = [
-                joined_crc([(p["crc"], 4 * p["n"]) for p in parts], tables) for parts in batch.column(3).to_pylist()
-            ]
+            parts = batch.column(3)
+            offsets = np.asarray(parts.offsets, np.int64)
+            crcs, sizes = (np.asarray(parts.values.field(k)) for k in (1, 2))
+            values = joined_crcs(crcs.astype(np.uint32), sizes, offsets, tables)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:3], pa.array(values, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"]
+                [*batch.columns[:3], pa.array(values.astype(np.int64))],
+                names=["doc_id", "start", "n_tokens", "ids_crc32"],
             )
 
     return whole.select("doc_id", "start", "n_tokens", "parts").mapInArrow(

@@ -33,6 +33,10 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def utf8(text: str | bytes | None) -> bytes:
+    return text if isinstance(text, bytes) else (text or "").encode()
+
+
 class Encoder:
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -73,15 +77,17 @@ class Encoder:
         for word, first, marks in joined:
             words[word] = words[first] + words[marks]
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers; a null text has none."""
+    def encode(self, texts: list[str | bytes | None]) -> list[bytes]:
+        """The ids of each text (or of its UTF-8 bytes) as little-endian unsigned 32-bit integers; a null text has
+        none."""
         out: list[bytes] = []
         for at in range(0, len(texts), 64):
             # the tokenizer lower-cases by itself; doing so for ASCII beforehand only makes the dictionary smaller
-            split = [POINT.sub(rb" \g<0> ", (t or "").encode().lower()).split() for t in texts[at : at + 64]]
+            split = [POINT.sub(rb" \g<0> ", utf8(t).lower()).split() for t in texts[at : at + 64]]
             get = self.words.get
             found = [list(map(get, s)) for s in split]
-            lacking = [i for i, f in enumerate(found) if None in f]
+            # all() is quick, and false also for a word without ids, which is then found not to be None
+            lacking = [i for i, f in enumerate(found) if not all(f) and any(x is None for x in f)]
             if lacking:
                 self._learn({w for i in lacking for w, x in zip(split[i], found[i]) if x is None})
                 for i in lacking:  # what was found before stays, even if the dictionary was emptied since

@@ -59,21 +59,32 @@ def test_round_trip_and_tampering(spark, docs_of, texts, tmp_path):
 
 
 def test_cuts_follow_content():
+    table = token_store.gear(49408)
+    cut = lambda ids: token_store.cuts(len(ids), token_store.marks(ids, table).tolist())
     rng = np.random.default_rng(1)
-    ids = rng.integers(0, 49408, 20000).astype("<u4")
-    a, b = token_store.cuts(ids), token_store.cuts(np.concatenate([ids[:777] * 0 + 5, ids]))
-    assert a[-1] == 20000 and all(x < y for x, y in zip(a, a[1:]))
+    ids = rng.integers(0, 49408, 40000).astype("<u4")
+    a, b = cut(ids), cut(np.concatenate([ids[:777] * 0 + 5, ids]))
+    assert a[-1] == 40000 and all(x < y for x, y in zip(a, a[1:]))
     shared = {x + 777 for x in a} & set(b)
     assert len(shared) > 0.8 * len(a)
-    assert token_store.cuts(ids[:0]) == [] and token_store.cuts(ids[:1]) == [1]
-    same = token_store.cuts(np.zeros(10000, "<u4"))
+    assert cut(ids[:0]) == [] and cut(ids[:1]) == [1]
+    same = cut(np.zeros(10000, "<u4"))
     assert same[-1] == 10000 and max(np.diff([0, *same])) <= token_store.MOST
+    # neighbours in a batch do not matter: marks of a document count from LEAST ids on, beyond the window
+    alone, behind = token_store.marks(ids, table), token_store.marks(np.concatenate([ids[:50], ids]), table) - 50
+    assert set(alone[alone >= token_store.LEAST]) == set(behind[behind >= token_store.LEAST])
 
 
-def test_joined_crc():
+def test_joined_crcs():
     rnd = random.Random(2)
-    parts = [rnd.randbytes(rnd.choice([4, 40, 1024, 8192])) for _ in range(20)]
-    assert token_store.joined_crc([(zlib.crc32(p), len(p)) for p in parts], {}) == zlib.crc32(b"".join(parts))
+    tables = token_store.shift_tables()
+    texts = [[rnd.randbytes(4 * rnd.choice([1, 10, 256, 2048])) for _ in range(k)] for k in (1, 0, 20, 3, 1)]
+    parts = [p for t in texts for p in t]
+    crcs = np.array([zlib.crc32(p) for p in parts], np.uint32)
+    sizes = np.array([len(p) // 4 for p in parts])
+    offsets = np.cumsum([0, *map(len, texts)])
+    got = token_store.joined_crcs(crcs, sizes, offsets, tables)
+    assert got.tolist() == [zlib.crc32(b"".join(t)) for t in texts]
 
 
 def test_empty_table_and_null_ids(spark, docs_of, table_dir, tmp_path):
