@@ -146,7 +146,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str | None = None, end_id
     """Encodes ``doc_id, text`` and writes the store at ``path``, where nothing may be yet. Returns the ids written."""
     tokenizer = tokenizer or tokens.default_path()
     width = 2 if tokens.encoder(tokenizer).model.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else 4
-    encoded = stored(_encoded(docs, tokenizer, end_id, width), "encoded")
+    encoded = stored(_encoded(docs, tokenizer, end_id, width), "encoded", "zstd")
     parts = encoded.select(F.inline("fresh")).repartition(partitions(docs.sparkSession), "chunk_id")
     unique = parts.mapInArrow(_first_of_each, parts.schema)
     unique.write.option("compression", "zstd").option("parquet.enable.dictionary", "false").parquet(f"{path}/chunks")
