@@ -154,6 +154,9 @@ def run_cleaner(
             elif p in low:
                 asked.append(F.mode(c, deterministic=True).alias(f"f{i}"))
         first = once.agg(*asked).first().asDict() if asked else {}
+        of = [i for i, p in enumerate(watched) if p in numeric]
+        middles = [(fc.number(shaped(fc.named(watched[i].name), steps[watched[i].name])), [0.5]) for i in of]
+        first |= {f"f{i}": q for i, q in zip(of, st.settled(once, middles, [first[f"f{i}"] for i in of], rows))}
         rate = {p.name: first[f"m{i}"] or 0.0 for i, p in enumerate(watched)}
         fill = {}
         for i, p in enumerate(watched):
@@ -196,9 +199,10 @@ def run_cleaner(
         for p in spread:
             asked += [st.quantiles(value[p.name], [0.25, 0.75], rows), F.avg(value[p.name]), F.stddev_samp(value[p.name])]
         second = once.agg(*(e.alias(f"s{i}") for i, e in enumerate(asked))).first() if asked else []
+        quarters = st.settled(once, [(value[p.name], [0.25, 0.75]) for p in spread], list(second[::3]), rows)
         bounds = {}
         for i, p in enumerate(spread):
-            q, mean, std = second[3 * i : 3 * i + 3]
+            q, (mean, std) = quarters[i], second[3 * i + 1 : 3 * i + 3]
             if q is None or q[0] == q[1]:
                 bounds[p.name] = None
             else:

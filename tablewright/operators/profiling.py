@@ -162,8 +162,7 @@ def run_profiler(
     for c in df.columns:
         if not fc.is_plain(kinds[c]):
             log(c, "flagged_mixed_types", f"Columns of type {kinds[c].simpleString()} are carried along as they are", "warning")
-    limits = (1, 2, cardinality_threshold)
-    stats = st.column_stats(df, [*features, target], limits)
+    stats = st.column_stats(df, [*features, target])
 
     # texts that are numbers
     coercions = find_coercions(df, [c for c in features if fc.is_string(kinds[c])])
@@ -186,7 +185,7 @@ def run_profiler(
         df = df.select(
             *((fc.coerced(fc.named(c), accepted[c].unit) if c in accepted else fc.named(c)).alias(c) for c in df.columns)
         )
-        stats |= st.column_stats(df, list(accepted), limits)
+        stats |= st.column_stats(df, list(accepted))
 
     types = infer_types(df, {c: stats[c] for c in features}, cardinality_threshold)
     types |= {c: SemanticType.NUMERIC_ID for c in forced_ids if stats[c].distinct > 2}

@@ -1,13 +1,14 @@
 """Statistics of many columns in few passes.
 
 Everything that is asked of a table is put into one wide aggregate per pass, so a table is read a fixed number of times
-however many columns it has. Up to ``EXACT_ROWS`` rows distinct counts and quantiles are exact. Beyond, quantiles come
-from a sketch, and distinct counts too, but for the columns whose estimate lies near one of the limits that decide a
-column's type: those are counted exactly in a pass of their own.
+however many columns it has. Distinct counts and quantiles are exact at every size. Up to ``EXACT_ROWS`` rows quantiles
+are part of that aggregate, which holds all distinct values of a column in one task. Beyond, a sketch only says between
+which values a quantile lies; those are counted and ranked in passes of their own (``selected``).
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,10 +18,11 @@ from pyspark.sql import types as T
 
 from ..functions import columns as fc
 
+#: More rows change how quantiles are found, not what they are.
 EXACT_ROWS = 10_000_000
 #: Up to so many rows one pass counts distinct values at once; up to so many distinct values are collected as a set.
 SMALL_ROWS, FEW = 50_000, 5_000
-#: Relative error of sketches beyond.
+#: Relative error of the sketches that say how to count and where to look.
 ERROR = 0.01
 ACCURACY = 10_000
 
@@ -44,8 +46,81 @@ class ColumnStats:
 
 
 def quantiles(c: Column, points: list[float], rows: int) -> Column:
-    wanted = F.array(*map(F.lit, points))
-    return F.percentile(c, wanted) if rows <= EXACT_ROWS else F.percentile_approx(c, points, ACCURACY)
+    """Part of an aggregate; beyond ``EXACT_ROWS`` NULL, for ``settled`` to fill in."""
+    if rows > EXACT_ROWS:
+        return F.lit(None).cast("array<double>")
+    return F.percentile(c, F.array(*map(F.lit, points)))
+
+
+def settled(
+    df: DataFrame, asked: list[tuple[Column, list[float]]], found: list[list[float] | None], rows: int
+) -> list[list[float] | None]:
+    """The quantiles of each column asked for, given what ``quantiles`` found for it."""
+    return selected(df, asked) if rows > EXACT_ROWS and asked else found
+
+
+def selected(df: DataFrame, asked: list[tuple[Column, list[float]]]) -> list[list[float] | None]:
+    """Exact quantiles, interpolated as ``percentile`` does, without holding a column's values in one task: a sketch
+    gives a narrow range for each, and the values inside it are counted and ranked. A range that proves not to hold its
+    quantile is opened to the whole column."""
+    xs = [c.cast("double") for c, _ in asked]
+    spread = 2 / ACCURACY
+    first: list[Column] = []
+    for x, (_, points) in zip(xs, asked):
+        ends = [min(1.0, max(0.0, p + d)) for p in points for d in (-spread, spread)]
+        first += [F.count(x), F.percentile_approx(x, ends, ACCURACY)]
+    row = df.agg(*(e.alias(f"a{i}") for i, e in enumerate(first))).first()
+    todo = {}
+    for i, (_, points) in enumerate(asked):
+        n, ends = row[2 * i], row[2 * i + 1]
+        for j, p in enumerate(points if n else []):
+            low = ends[2 * j] if p - spread > 0 else None
+            high = ends[2 * j + 1] if p + spread < 1 else None
+            todo[i, j] = (p * (n - 1), low, high)
+    held: dict[tuple[int, int, int], float] = {}
+    for _ in range(2):
+        keys = [k for k, (at, _, _) in todo.items() if not {(*k, math.floor(at)), (*k, math.ceil(at))} <= held.keys()]
+        if not keys:
+            break
+        held |= _ranked(df, xs, {k: todo[k] for k in keys})
+        todo |= {k: (todo[k][0], None, None) for k in keys}
+    out: list[list[float] | None] = []
+    for i, (_, points) in enumerate(asked):
+        values = []
+        for j in range(len(points) if row[2 * i] else 0):
+            at = todo[i, j][0]
+            low, high = math.floor(at), math.ceil(at)
+            a, b = held[i, j, low], held[i, j, high]
+            values.append(a if a == b or low == high else (high - at) * a + (at - low) * b)
+        out.append(values or None)
+    return out
+
+
+def _ranked(
+    df: DataFrame, xs: list[Column], todo: dict[tuple[int, int], tuple[float, float | None, float | None]]
+) -> dict[tuple[int, int, int], float]:
+    """The values at the ranks on both sides of a place, for each (place, low, high): those that lie in its range."""
+    keys, below, cells = list(todo), [], []
+    for k, (key, (_, low, high)) in enumerate(todo.items()):
+        x = xs[key[0]]
+        inside = x.isNotNull()
+        if low is not None:
+            inside = inside & (x >= low)
+        if high is not None:
+            inside = inside & (x <= high)
+        below.append((F.count_if(x < low) if low is not None else F.max(F.lit(0))).alias(f"b{k}"))
+        cells.append(F.when(inside, F.struct(F.lit(k).alias("k"), x.alias("x"))))
+    before = df.agg(*below).first()
+    counted = df.select(F.explode(F.array_compact(F.array(*cells))).alias("c")).groupBy("c.k", "c.x").count()
+    upto = F.sum("count").over(Window.partitionBy("k").orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = counted.withColumn("upto", upto)
+    ends = []
+    for k, key in enumerate(keys):
+        for rank in {math.floor(todo[key][0]), math.ceil(todo[key][0])}:
+            rest = rank - before[k]
+            ends.append(F.when((F.col("k") == k) & (F.col("upto") > rest) & (F.col("upto") - F.col("count") <= rest), F.lit(rank)))
+    hits = ranked.select("k", "x", F.explode(F.array_compact(F.array(*ends))).alias("rank")).collect()
+    return {(*keys[r.k], r["rank"]): r.x for r in hits}
 
 
 def distinct_counts(df: DataFrame, columns: list[str], estimates: dict[str, int]) -> dict[str, int]:
@@ -61,11 +136,11 @@ def distinct_counts(df: DataFrame, columns: list[str], estimates: dict[str, int]
     return out
 
 
-def column_stats(df: DataFrame, columns: list[str], limits: tuple[int, ...] = (1, 2, 20)) -> dict[str, ColumnStats]:
-    """Statistics of the columns. Near ``limits``, and near 95 % of the rows, distinct counts are always exact."""
+def column_stats(df: DataFrame, columns: list[str]) -> dict[str, ColumnStats]:
+    """Statistics of the columns."""
     kinds = {f.name: f.dataType for f in df.schema}
     rows = df.count()
-    exact, small = rows <= EXACT_ROWS, rows <= SMALL_ROWS
+    small = rows <= SMALL_ROWS
     asked: list[Column] = []
     for i, c in enumerate(columns):
         col, kind = fc.named(c), kinds[c]
@@ -77,6 +152,9 @@ def column_stats(df: DataFrame, columns: list[str], limits: tuple[int, ...] = (1
             x = fc.number(col)
             asked += [quantiles(x, [0.25, 0.75], rows).alias(f"q{i}"), F.var_samp(x).alias(f"v{i}")]
     row = df.agg(*asked).first().asDict() if asked else {}
+    numeric = [i for i in range(len(columns)) if f"q{i}" in row]
+    quarters = [(fc.number(fc.named(columns[i])), [0.25, 0.75]) for i in numeric]
+    row |= {f"q{i}": q for i, q in zip(numeric, settled(df, quarters, [row[f"q{i}"] for i in numeric], rows))}
     out = {}
     for i, c in enumerate(columns):
         q = row.get(f"q{i}") or [None, None]
@@ -84,12 +162,7 @@ def column_stats(df: DataFrame, columns: list[str], limits: tuple[int, ...] = (1
             c, kinds[c], rows, row[f"n{i}"], row[f"d{i}"], row.get(f"l{i}"), row.get(f"w{i}"), q[0], q[1], row.get(f"v{i}")
         )
     if not small:
-        near = [
-            c
-            for c, s in out.items()
-            if exact or s.distinct <= 2 * max(limits) or abs(s.distinct - 0.95 * s.present) <= 5 * ERROR * rows
-        ]
-        for c, n in distinct_counts(df, near, {c: out[c].distinct for c in near}).items():
+        for c, n in distinct_counts(df, columns, {c: out[c].distinct for c in columns}).items():
             out[c].distinct = n
     return out
 
@@ -193,7 +266,8 @@ def mutual_information(
     cuts = {}
     if wide:
         row = df.agg(*(quantiles(fc.number(fc.named(c)), points, rows).alias(f"q{i}") for i, c in enumerate(wide))).first()
-        cuts = {c: q for c, q in zip(wide, row) if q is not None}
+        found = settled(df, [(fc.number(fc.named(c)), points) for c in wide], list(row), rows)
+        cuts = {c: q for c, q in zip(wide, found) if q is not None}
 
     def key(c: str) -> Column:
         return binned(fc.number(fc.named(c)), cuts[c]).cast("string") if c in cuts else fc.named(c).cast("string")

@@ -243,7 +243,9 @@ def clean_missing_indicator(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""SELECT l_orderkey, l_linenumber, coalesce({_GAPS}, (SELECT median({_GAPS}) FROM lineitem)) AS price FROM lineitem""")
 def clean_median_impute(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = _priced(spark, sf_dir)
-    middle = df.agg(st.quantiles(F.col("price"), [0.5], df.count())).first()[0][0]
+    rows, price = df.count(), F.col("price")
+    found = df.agg(st.quantiles(price, [0.5], rows)).first()[0]
+    middle = st.settled(df, [(price, [0.5])], [found], rows)[0][0]
     return cleaning.cleaned(df, {"price": {"fill": middle}})
 
 
@@ -280,7 +282,9 @@ def clean_drop_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _winsorized(df: DataFrame, column: str, method: str) -> DataFrame:
-    q, mean, std = df.agg(st.quantiles(F.col(column), [0.25, 0.75], df.count()), F.avg(column), F.stddev_samp(column)).first()
+    rows, points = df.count(), [0.25, 0.75]
+    q, mean, std = df.agg(st.quantiles(F.col(column), points, rows), F.avg(column), F.stddev_samp(column)).first()
+    (q,) = st.settled(df, [(F.col(column), points)], [q], rows)
     bounds = cleaning.fences(method, *q, mean, std) if q[0] != q[1] else None
     step = {"low": bounds[0], "high": bounds[1]} if bounds else {}
     return cleaning.cleaned(df, {column: step}).withColumn(column, F.round(column, 6))

@@ -86,6 +86,25 @@ def test_large_tables_use_sketches_and_exact_counts_near_the_limits(spark, monke
     assert [s[c].distinct for c in df.columns] == [5000, 20, 1500, 2500]
 
 
+def test_large_tables_are_exact(spark, monkeypatch):
+    """profile_cardinality, profile_outlier_rate and what else asks for quantiles: the size changes no result."""
+    df = spark.range(60000, numPartitions=6).selectExpr(
+        "id", "id * 7919 % 50021 / 8 AS x", "id % 3 AS few", "if(id % 4 = 0, null, id * id) AS gaps", "cast(null as double) AS none",
+        "id * 31 % 9001 AS middle",
+    )
+    points = [0.0, 0.1, 0.25, 0.5, 0.75, 0.99999, 1.0]
+    asked = [(F.col(c), points) for c in df.columns]
+    whole = [list(q) if q else None for q in df.agg(*(stats.quantiles(c, p, 1) for c, p in asked)).first()]
+    want = stats.column_stats(df, df.columns)
+    bins = stats.mutual_information(df, ["x", "gaps"], "middle", want)
+    monkeypatch.setattr(stats, "EXACT_ROWS", 100)
+    assert stats.settled(df, asked, [None] * len(asked), 60000) == whole and whole[4] is None
+    assert stats.column_stats(df, df.columns) == want and want["middle"].distinct == 9001
+    assert stats.mutual_information(df, ["x", "gaps"], "middle", want) == pytest.approx(bins)
+    monkeypatch.setattr(stats, "ACCURACY", 50)  # a sketch too coarse for its ranges costs a pass and no result
+    assert stats.settled(df, asked, [None] * len(asked), 60000) == whole
+
+
 def test_correlation_and_vif_of_odd_columns(spark):
     df = spark.createDataFrame([(float(i), 2.0 * i, 1.0, None, float(i * i % 7)) for i in range(30)], "a double, b double, c double, d double, e double")
     assert stats.correlations(df, ["b", "c", "d"], "a") == {"b": pytest.approx(1), "c": None, "d": None}
