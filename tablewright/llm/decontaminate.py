@@ -3,12 +3,14 @@
 Texts are compared as lower-cased runs of letters and digits with one space between them. A test item of m characters
 may differ from a passage by ``k = m * budget / 100`` edits; cut into k + 1 pieces, at least one piece must then stand
 in the passage unchanged. One automaton finds all pieces of all items in one pass over a text, and every place that a
-piece points to is verified with Myers' bit-parallel edit distance over the item's whole length.
+piece points to is verified with Myers' bit-parallel edit distance over the item's whole length. An item of fewer than
+``LEAST`` characters is one piece that must stand in the passage unchanged and between word boundaries; in scripts that
+put no space between words, every place between two characters is one.
 
 Items are few against the documents. They travel with the tasks only in blocks of a measured size (``BLOCK_BYTES``);
 a larger benchmark is matched block by block, one pass over the documents each. Documents never move.
 
-Defined results: null and empty texts and items match nothing; equal items are all reported; a repeated document is
+Defined results: null and empty texts and items, and items without a letter or digit, match nothing; equal items are all reported; a repeated document is
 judged each time it stands there; of equally close passages the first is reported; extra columns pass through.
 """
 
@@ -25,11 +27,17 @@ from .common import STEP_ROWS
 
 #: Edits allowed for each hundred characters of an item.
 BUDGET = 8
-#: Items with fewer normalised characters cannot be told from ordinary phrases and are left out.
+#: Items with fewer normalised characters are matched without edits and as whole words: with edits, ordinary phrases
+#: would match them.
 LEAST = 25
 BLOCK_BYTES = 4 << 20
 GAP = re.compile(r"[\W_]+")
 RUN = re.compile(r"[^\W_]+")
+#: Letters of scripts written without spaces: Thai, Lao, Myanmar, Khmer, kana, Han.
+UNSPACED = re.compile(
+    "[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff"
+    "\uff66-\uff9f\U00020000-\U0003ffff]"
+)
 
 
 def normal(text: str) -> str:
@@ -40,6 +48,14 @@ def edits(m: int, budget: int) -> int:
     return m * budget // 100
 
 
+def boundary(text: str, at: int) -> bool:
+    """Whether a word of a normalised text may begin or end at a place."""
+    if at <= 0 or at >= len(text):
+        return True
+    a, b = text[at - 1], text[at]
+    return a == " " or b == " " or bool(UNSPACED.match(a) or UNSPACED.match(b))
+
+
 def closest(pattern: str, text: str, most: int) -> tuple[int, int] | None:
     """(distance, end) of the best match of the whole pattern anywhere in the text, the first of equals; None beyond
     ``most`` edits. Myers' algorithm, one machine-independent integer for a column."""
@@ -81,7 +97,7 @@ class Matcher:
         self.items, self.budget, pieces = items, budget, {}
         self.where, self.back = [], []
         for n, (_, text) in enumerate(items):
-            m, k = len(text), edits(len(text), budget)
+            m, k = len(text), edits(len(text), budget) if len(text) >= LEAST else 0
             for i in range(k + 1):
                 begin, end = m * i // (k + 1), m * (i + 1) // (k + 1)
                 pieces.setdefault(text[begin:end], []).append((n, end))
@@ -108,6 +124,11 @@ class Matcher:
         out = []
         for n, begins in sorted(starts.items()):
             m = len(self.items[n][1])
+            if m < LEAST:
+                whole = (b for b in begins if boundary(text, b) and boundary(text, b + m))
+                if (first := min(whole, default=None)) is not None:
+                    out.append((n, first, first + m, 0))
+                continue
             most, k, best = edits(m, self.budget), edits(m, self.budget), None
             windows: list[list[int]] = []
             for b in sorted(begins):
@@ -152,7 +173,7 @@ def blocks_of(benchmark: DataFrame, item: str, text: str, block_bytes: int) -> I
     for k in range(n):
         here = rows if n == 1 else rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k)
         items = [(r.i, normal(r.t)) for r in here.collect()]
-        if items := [(i, t) for i, t in items if len(t) >= LEAST]:
+        if items := [(i, t) for i, t in items if t]:
             yield sorted(items, key=lambda x: (x[0] is None, x[0] or 0, x[1]))
 
 

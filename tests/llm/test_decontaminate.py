@@ -88,3 +88,20 @@ def test_spans_survive_odd_letters():
     ((_, a, b, distance),) = matcher.find(d.normal(text))
     begin, end = d.original(text, a, b)
     assert distance == 0 and abs(begin - text.index("Quick")) <= 2 and abs(end - text.index(" ½")) <= 2
+
+
+def test_short_items_are_found_word_for_word(spark, docs_of):
+    """op9_benchmark_decontamination: a question, a formula, sentences without spaces; no edits, whole words only."""
+    items = [(1, "What is 7 x 8?"), (2, "E = mc^2"), (3, "\u6c34\u7684\u5316\u5b66\u5f0f\u662f\u4ec0\u4e48\uff1f"), (4, "art"), (5, "?!"), (6, None)]
+    texts = [
+        "Quiz: what is 7 x 8? Easy.", "what is 7 x 85", "what is 7 y 8", "So e=MC^2, he said", "the mc 2 e mc 23",
+        "\u8bf7\u95ee\u6c34\u7684\u5316\u5b66\u5f0f\u662f\u4ec0\u4e48\u5462", "start the party", "state-of-the-art", "?!", "", None,
+    ]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = d.find_contamination(docs_of(texts), bench).collect()
+    assert {(r.doc_id, r.item_id, r.distance) for r in rows} == {(0, 1, 0), (3, 2, 0), (5, 3, 0), (7, 4, 0)}
+    assert {r.item_id: texts[r.doc_id][r.start : r.end] for r in rows} == {
+        1: "what is 7 x 8", 2: "e=MC^2", 3: items[2][1][:-1], 4: "art",
+    }
+    clean = d.decontaminate(docs_of(texts), bench)
+    assert {r.doc_id for r in clean.collect()} == set(range(len(texts))) - {0, 3, 5, 7}
