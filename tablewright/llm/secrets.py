@@ -1,12 +1,13 @@
 """Secret scans with structural confirmation.
 
 Patterns alone report three kinds (``assign``, ``access``, ``hex``). Every run that could be base64 or hex is decoded
-as well, and reported only if its bytes parse as a secret: a private key's DER with nested lengths that add up
+as well (base64 also across line breaks, be they real or written as \\n, with the key's own lengths saying where it
+ends), and reported only if its bytes parse as a secret: a private key's DER with nested lengths that add up
 (``der``), an OpenSSH private key blob (``openssh``), an armoured block around either (``pem``), or a signed token
 whose header is a JSON object naming its algorithm (``jwt``).
 
 Whole texts are scanned row by row: no shuffle, no state. Defined results: a null or empty text has no findings; extra
-columns pass through; repeated rows are scanned alike; overlapping findings of different kinds are all reported, and
+columns pass through; wrapped lines inside a reported armour are not reported again; repeated rows are scanned alike; overlapping findings of different kinds are all reported, and
 ``redact`` blanks their union.
 """
 
@@ -36,7 +37,15 @@ HEX = re.compile(r"[0-9a-f]{24,}")  # runs are maximal, so shorter ones simply d
 #: One of these is in the lower-cased text wherever ASSIGN matches.
 ASSIGN_HINTS = ("passw", "secret", "token", "api")
 LEAST_VALUE, LEAST_ACCESS = 6, 20
-PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----([A-Za-z0-9+/=\s:,.-]*?)-----END \1-----")
+PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----((?:[A-Za-z0-9+/=\s:,.-]|\\+[nrt])*?)-----END \1-----")
+#: A line break as it is written inside JSON and .env strings.
+WRITTEN = re.compile(r"(?:\\+r)?\\+n|\\+r")
+BREAK = r"(?:\r?\n|\r|(?:\\+r)?\\+n)[ \t]*"
+#: Where a wrapped run may begin that holds a private key: the base64 of a DER sequence, of the OpenSSH magic, of armour.
+BEGINS = re.compile(r"(?:(?<![A-Za-z0-9+/_-])|(?<=\\[nr]))(?:M[A-I]|b3B|LS0)")
+#: Enough letters to see whether a DER sequence begins with a small version number.
+HEAD = re.compile(rf"(?:[A-Za-z0-9+/_-](?:{BREAK})?){{12}}")
+LINE = re.compile(rf"([A-Za-z0-9+/_-]+)(={{0,2}})({BREAK})?")
 #: The base64 of a JSON object begins with these letters.
 JWT = re.compile(r"(?<![A-Za-z0-9_-])e[yw][A-Za-z0-9_-]{6,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
 #: Shorter runs cannot hold a private key.
@@ -128,6 +137,60 @@ def confirmed(data: bytes | None) -> str | None:
     return None
 
 
+def private_ends(data: bytes) -> list[int]:
+    """Where a private key that begins the bytes may end, as its own lengths say. The bytes may go on or be too few."""
+    if data[0] == 0x30:
+        first = data[1]
+        n = first & 127 if first >= 128 else 0
+        return [2 + n + (int.from_bytes(data[2 : 2 + n], "big") if n else first)]
+    if data.startswith(b"-----BEGIN "):
+        at = re.search(rb"-----END [A-Z0-9 ]+-----", data)
+        return [at.end() + more for more in range(3)] if at else []
+    out, at, fields = [], 15, 0
+    while at + 4 <= len(data):
+        at += 4 if fields == 3 else 4 + int.from_bytes(data[at : at + 4], "big")
+        fields += 1
+        if fields >= 6:
+            out.append(at)
+    return out
+
+
+def wrapped(text: str, within: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """Keys whose base64 goes on over line breaks, or begins after one that is written out."""
+    out, done = [], 0
+    for m in BEGINS.finditer(text):
+        if m.start() < done or not (head := HEAD.match(text, m.start())):
+            continue
+        start = unbase64("".join(x[1] for x in LINE.finditer(head[0]))[:12]) or b""
+        if start[:1] == b"0":
+            n = start[1] & 127 if start[1] >= 128 else 0
+            if n > 4 or start[2 + n : 4 + n] != b"\x02\x01" or start[4 + n] > 1:
+                continue
+            most = private_ends(start)[0]
+        elif b"openssh-key-v1".startswith(start) or b"-----BEGIN ".startswith(start):
+            most = len(text)
+        else:
+            continue
+        if any(a <= m.start() < b for _, a, b in within):
+            continue
+        lines, ends, at, held = [], {}, m.start(), 0
+        while (line := LINE.match(text, at)) and held * 6 < most * 8:
+            lines.append(line[1])
+            held += len(line[1])
+            ends[held] = line.end(2)
+            at = line.end()
+            if line[2] or not line[3]:
+                break
+        body = "".join(lines)
+        data = unbase64(body[: len(body) - (len(body) % 4 == 1)]) or b"\0"
+        for end in private_ends(data):
+            if end <= len(data) and (stop := ends.get(-(-end * 8 // 6))) and (kind := confirmed(data[:end])):
+                out.append((kind, m.start(), stop))
+                done = stop
+                break
+    return out
+
+
 def signed_token(run: str) -> bool:
     head, body, _ = run.split(".", 2)
     try:
@@ -142,7 +205,8 @@ def structural(text: str) -> list[tuple[str, int, int]]:
     out = []
     if "-----BEGIN " in text:
         for m in PEM.finditer(text):
-            body = "".join(line for line in m[2].splitlines() if ":" not in line).replace(" ", "")
+            lines = WRITTEN.sub("\n", m[2]).replace("\\t", " ").splitlines()
+            body = "".join(line for line in lines if ":" not in line).replace(" ", "").replace("\t", "")
             data = unbase64(body)
             if "ENCRYPTED" in m[1] or "ENCRYPTED" in m[2]:
                 found = bool(data)
@@ -150,6 +214,7 @@ def structural(text: str) -> list[tuple[str, int, int]]:
                 found = bool(data) and (private_der(data) or private_openssh(data))
             if found:
                 out.append(("pem", m.start(), m.end()))
+    out += wrapped(text, out)
     for m in ENCODED.finditer(text):
         if kind := confirmed(unbase64(m[0])):
             out.append((kind, m.start(), m.end()))

@@ -94,3 +94,26 @@ def test_redact(spark, docs_of):
     assert rows[0].text == f"é {s.MASK} and {s.MASK}." and rows[0].n_chars == len(rows[0].text)
     assert rows[1].text is None and rows[2].text == "clean text" and rows[2].secrets == "keep"
     assert s.redact(df).columns == df.columns and s.redact(df.limit(0)).count() == 0
+
+
+def test_wrapped_keys(spark, docs_of):
+    """op10_secret_scan: key bodies over several lines, and line breaks written out as in JSON."""
+    armour = lambda body, label="": f"-----BEGIN {label}PRIVATE KEY-----\n{body}\n-----END {label}PRIVATE KEY-----"
+    for kind, data in (("der", PKCS1), ("der", PKCS8), ("openssh", OPENSSH), ("pem", armour(B64(PKCS8)).encode())):
+        for width in (64, 76, 61):
+            for gap in ("\n", "\r\n", "\n    ", "\\n", "\\r\\n", "\\\\n"):
+                body = gap.join(re.findall(f".{{1,{width}}}", B64(data)))
+                for text in (f"the key{gap}{body}{gap}Thanks", f"key: {body}", f'{{"key": "{gap}{body}{gap}"}}', body):
+                    assert kinds(text) == [(kind, body)]
+                assert not kinds(f"key: {body.rstrip(chr(61))}AAAA") and not kinds(f"key: {body[:-12]}")
+    one = B64(PKCS8)
+    assert kinds(f'"a\\n{one}\\nb"') == [("der", one)]
+    for label, data in (("", PKCS8), ("RSA ", PKCS1), ("OPENSSH ", OPENSSH)):
+        text = armour("\n".join(re.findall(".{1,64}", B64(data))), label)
+        assert kinds(text) == [("pem", text)]
+        for gap in ("\\n", "\\r\\n", "\\\\n"):
+            written = text.replace("\n", gap)
+            assert kinds(f'{{"k": "{written}{gap}", "x": 1}}') == [("pem", written)]
+    df = docs_of([f'{{"k": "{written}"}}', f"x\n{body}\ny"])
+    assert [r.text for r in s.redact(df).orderBy("doc_id").collect()] == [f'{{"k": "{s.MASK}"}}', f"x\n{s.MASK}\ny"]
+    assert not kinds("\n".join(["MAC", "MIIE", "MBA", "b3B", "LS0"] * 20000))
