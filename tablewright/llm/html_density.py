@@ -63,12 +63,11 @@ WHOLE = frozenset(("article", "main"))
 KEPT = frozenset(("html", "body", "article", "main"))
 
 TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]{0,20000}+\"|'[^']{0,20000}+')*+)>"
-    r"|<(/?)([a-zA-Z][^\s/>]*+)([^>]*)(?:>|\Z)",
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)([^>\"']*+)(>?)",
     re.S,
 )
 ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+QUOTE_OR_END = re.compile("[>\"']")
 NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
@@ -88,7 +87,35 @@ class Tree:
         return node
 
 
+class Quotes:
+    """Where tags with quoted attribute values end. A quote that leads to no end is remembered, so that all tags of a
+    page together are searched once."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.last = {q: page.rfind(q) for q in "\"'"}
+        self.dead: set[int] = set()
+
+    def end(self, at: int) -> int:
+        """The place of the '>' outside quotes that ends a tag, from a place outside quotes; the first '>' of all (or
+        the page's end) where a quote is never closed or no '>' follows outside quotes."""
+        first, seen = at, []
+        while m := QUOTE_OR_END.search(self.page, at):
+            if m[0] == ">":
+                return m.start()
+            if m.start() in self.dead:
+                break
+            seen.append(m.start())
+            if m.start() >= self.last[m[0]]:
+                break
+            at = self.page.find(m[0], m.end()) + 1
+        self.dead.update(seen)
+        gt = self.page.find(">", first)
+        return gt if gt >= 0 else len(self.page)
+
+
 def parse(page: str) -> Tree:
+    quotes = Quotes(page)
     tree, stack, at = Tree(), [0], 0
     once: set[str] = set()
     tag_of, opened = tree.tag, Counter()  # how many elements of a name are open: most searches of the stack end here
@@ -117,9 +144,12 @@ def parse(page: str) -> Tree:
         if m.start() > at:
             tree.items[stack[-1]].append(page[at : m.start()])
         at = m.end()
-        end, name, attrs = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
+        end, name, attrs = m[1], m[2], m[3]
         if not name:
             continue
+        if not m[4]:
+            gt = quotes.end(at)
+            attrs, at = page[m.start(3) : gt], min(gt + 1, len(page))
         name = name.lower()
         if end:
             if name == "br":

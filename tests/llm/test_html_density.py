@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 import pytest
 from tablewright.llm import html_density as h
@@ -74,3 +75,16 @@ def test_columns_and_empty_table(spark):
     assert out.columns == ["page_id", "extra", "text", "n_chars"]
     assert out.collect()[0].asDict() == {"page_id": 1, "extra": 5, "text": "", "n_chars": 0}
     assert h.extract_main_text(df.limit(0)).count() == 0
+
+
+def test_long_attribute_values():
+    """op1_html_extraction: a quoted value of any length is no text, and unclosed quotes cost no more than a scan."""
+    for n in (10, 3000, 30000):
+        for q in "\"'":
+            payload = "data:image/svg+xml,<svg>" + "<g/>words " * n + "</svg>"
+            assert h.main_text(f"<body><p>before</p><img src={q}{payload}{q} alt=x><p>after</p>") == "before\nafter"
+    for part in ("<x \">", "<a \"", "<a '\">", '<x "><x" ', "<a b='>"):
+        for tail in ("", "'", '"'):
+            begin = time.process_time()
+            h.parse(part * 40000 + tail)
+            assert time.process_time() - begin < 5
