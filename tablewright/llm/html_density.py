@@ -1,7 +1,8 @@
 """Main-text extraction by composite text density.
 
 A page is parsed into a tree once. Parts whose element, role or class says that they are not the article (menus,
-forms, adverts, comments ...) are cut. For every remaining node the density is its characters per tag, adjusted by
+forms, adverts, comments ...) are cut. A class or id alone does not cut what holds the page's article or main element or
+most of its unlinked text, and cuts nothing where nothing else would remain. For every remaining node the density is its characters per tag, adjusted by
 the characters and tags inside links; a node's sum is the sum of its children's densities. The node with the largest
 sum is the main block, the smallest density on the path from the body to it is the threshold, and every part that
 reaches the threshold contributes its own largest-sum subtree. A block inside an ``article`` or ``main`` stands for
@@ -59,6 +60,8 @@ CUT_NAMES = frozenset(
     "header masthead topbar comment comments commentlist disqus respond reply replies share sharing social related "
     "recommended recommendations widget widgets copyright disclaimer legal skip hidden".split()
 )
+#: What readers add: a name that begins with one of these is not the article, however long.
+READERS = frozenset("comment comments commentlist disqus respond reply replies".split())
 WHOLE = frozenset(("article", "main"))
 KEPT = frozenset(("html", "body", "article", "main"))
 
@@ -202,20 +205,65 @@ def noise(tag: str, attrs: str, in_article: bool) -> bool:
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
-        if name in ("class", "id") and any(
-            p.lower() in CUT_NAMES for p in NAME_PARTS.findall(entities.unescape(value))
-        ):
-            return True
     return False
 
 
+def named(attrs: str) -> tuple[bool, bool]:
+    """Whether a class or id says that a node is not the article, and whether one says that it is its readers'."""
+    cut = readers = False
+    for name, *values in ATTRIBUTE.findall(attrs):
+        if name.lower() in ("class", "id"):
+            for token in entities.unescape("".join(values)).split():
+                parts = [p.lower() for p in NAME_PARTS.findall(token)]
+                cut = cut or not CUT_NAMES.isdisjoint(parts)
+                readers = readers or bool(parts) and parts[0] in READERS
+    return cut, readers
+
+
 def prune(tree: Tree) -> list[bool]:
     """Which nodes remain."""
-    kept, inside = [True], [False]
-    for node in range(1, len(tree.tag)):
+    n = len(tree.tag)
+    kept, inside, cuts = [True], [False], {}
+    for node in range(1, n):
+        up, tag, attrs = tree.parent[node], tree.tag[node], tree.attrs[node]
+        inside.append(inside[up] or tag in WHOLE)
+        kept.append(kept[up] and not noise(tag, attrs, inside[up]))
+        if kept[node] and attrs and tag != "html" and tag != "body":
+            cut, readers = named(attrs)
+            if cut:
+                cuts[node] = readers
+    if not any(tree.tag[node] not in KEPT for node in cuts):
+        return kept
+    # characters outside links, and under how many named nodes each node stands
+    chars, linked, under, replied = [0] * n, [False] * n, [0] * n, [False] * n
+    for node in range(1, n):
         up = tree.parent[node]
-        inside.append(inside[up] or tree.tag[node] in WHOLE)
-        kept.append(kept[up] and not noise(tree.tag[node], tree.attrs[node], inside[up]))
+        linked[node] = linked[up] or tree.tag[node] == "a"
+        under[node] = under[up] + (node in cuts and tree.tag[node] not in KEPT)
+        replied[node] = replied[up] or cuts.get(node, False)
+    for node in range(n - 1, -1, -1):
+        if kept[node]:
+            if not linked[node]:
+                chars[node] += sum(len("".join(x.split())) for x in tree.items[node] if isinstance(x, str))
+            if node:
+                chars[tree.parent[node]] += chars[node]
+    # of articles the outermost by names: comments and teasers may be articles, too
+    articles = [i for i in range(n) if kept[i] and chars[i] and tree.tag[i] in WHOLE and i not in cuts and not replied[i]]
+    least = min((under[i] for i in articles), default=0)
+    holds, outside = set(), chars[0] - sum(chars[i] for i in cuts if under[i] == 1 and tree.tag[i] not in KEPT)
+    for node in articles:
+        at = node
+        while at > 0 and at not in holds and under[node] == least:
+            if chars[node] > outside or tree.tag[node] == "main":
+                holds.add(at)
+            at = tree.parent[at]
+    after = list(kept)
+    for node in range(1, n):
+        after[node] = kept[node] and after[tree.parent[node]]
+        if after[node] and node in cuts and tree.tag[node] not in KEPT and node not in holds:
+            after[node] = 2 * chars[node] > chars[0] and not cuts[node] and not (articles and least == 0)
+    if any(after[i] and any(isinstance(x, str) and x.strip() for x in tree.items[i]) for i in range(n)):
+        return after
     return kept
 
 

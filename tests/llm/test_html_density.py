@@ -88,3 +88,27 @@ def test_long_attribute_values():
             begin = time.process_time()
             h.parse(part * 40000 + tail)
             assert time.process_time() - begin < 5
+
+
+ARTICLE = "<h1>Title</h1><p>A long paragraph of prose, with words and words and words in it.</p><p>And more of it, also words.</p>"
+COMMENTS = '<div class="comment-list"><p>A reader says many things, at great length.</p></div>'
+
+
+@pytest.mark.parametrize("name", ["content has-sidebar", "no-sidebar", "layout-banner", "page-with-comments", "widget Blog"])
+def test_wrappers_with_names_of_other_parts(name):
+    """op1_html_extraction: a name does not cut what holds the article."""
+    want = ["Title", "A long paragraph of prose, with words and words and words in it.", "And more of it, also words."]
+    ad = '<div class="ad">Buy this now</div><div class="sidebar"><p>Read this as well.</p></div>'
+    for inner in (f"<div>{ARTICLE}</div>", f"<article>{ARTICLE}</article>", f"<main>{ARTICLE}</main>", ARTICLE):
+        for more in ("", COMMENTS, COMMENTS.replace("<p>", "<article><p>").replace("</p>", "</p></article>")):
+            page = f'<body><div class="{name}">{inner}{ad}{more}</div></body>'
+            assert h.main_text(page).split("\n") == want
+            assert h.main_text(f"<body><p>Short line.</p>{page[6:]}").split("\n")[-3:] == want
+    long = COMMENTS.replace("length", "length and on and on" * 30)
+    for names in ("comments", "comment-list"):
+        page = f'<body><div class="post">{ARTICLE}</div><div class="{names}">{long}</div></body>'
+        assert h.main_text(page).split("\n") == want
+
+
+def test_names_alone_never_empty_a_page():
+    assert h.main_text('<body><div class="sidebar"><p>One half.</p></div><div class="widget"><p>The rest.</p></div></body>')
