@@ -8,7 +8,9 @@ address is stored once. Below ``path`` the store holds three Parquet tables:
 ``recipes``   in ascending doc_id order: doc_id, start, n_tokens, the document's chunk ids, their sizes, Merkle root
 ``manifest``  one row for each partition of recipes: Merkle root over its documents, number of documents and tokens
 
-Reading verifies: every payload must hash to its address, every recipe to its root, every partition to the manifest.
+Reading verifies: every payload must hash to its address, every recipe (chunk ids and sizes) to its root, every partition
+(roots, starts, numbers of tokens) to the manifest; every chunk that a recipe names must be there once and as long as the
+recipe says, and the sizes must add up to the document's tokens. Whatever does not hold raises an error.
 
 Defined results: a null or empty text is the end id alone; repeated rows get a recipe each; an empty table gives an
 empty store. A chunk is never longer than ``MOST`` ids, a recipe is as long as its document needs.
@@ -80,6 +82,11 @@ def merkle_root(leaves: list[bytes]) -> bytes:
     return level[0]
 
 
+def recipe_root(names: list[bytes], sizes: list[int]) -> bytes:
+    """The root of a document, over the addresses and sizes of its chunks."""
+    return merkle_root([name + size.to_bytes(4, "little") for name, size in zip(names, sizes, strict=True)])
+
+
 def _encoded(docs: DataFrame, path: str, end_id: int, width: int) -> DataFrame:
     """A recipe for each document, with the bytes of those of its chunks that its task has not met lately: however
     many copies a chunk has, a task sends it on about once."""
@@ -118,7 +125,7 @@ def _encoded(docs: DataFrame, path: str, end_id: int, width: int) -> DataFrame:
                             met.add(name)
                             fresh.append((name, sizes[-1], payload))
                         begin = first + here
-                    rows.append((doc_id, stop - first, names, sizes, merkle_root(names), fresh))
+                    rows.append((doc_id, stop - first, names, sizes, recipe_root(names, sizes), fresh))
                     first, seen = stop, bound
                 if len(met) > MET:
                     met.clear()
@@ -159,12 +166,13 @@ def write_store(docs: DataFrame, path: str, tokenizer: str | None = None, end_id
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """A Merkle root for each partition of the recipes, over its documents' roots by start: computed in blocks of
+    """A Merkle root for each partition of the recipes, over its documents' roots, starts and tokens by start: computed in blocks of
     documents whose roots are then joined, so no task holds more than one block of them."""
     recipes = spark.read.parquet(f"{path}/recipes")
 
     def roots(rows: pa.Table) -> pa.Table:
-        leaves = [r for _, r in sorted(zip(rows["start"].to_pylist(), rows["root"].to_pylist()))]
+        listed = sorted(zip(*(rows[c].to_pylist() for c in ("start", "root", "n_tokens"))))
+        leaves = [r + start.to_bytes(8, "little") + n.to_bytes(8, "little") for start, r, n in listed]
         return pa.table(
             {
                 "part": rows["part"][:1], "block": rows["block"][:1], "root": pa.array([merkle_root(leaves)], pa.binary()),
@@ -209,9 +217,10 @@ def verified_recipes(spark: SparkSession, path: str) -> DataFrame:
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            listed, roots = batch.column("chunk_ids").to_pylist(), batch.column("root").to_pylist()
-            if any(merkle_root(names) != root for names, root in zip(listed, roots)):
-                raise ValueError("a recipe does not match its root")
+            listed = zip(*(batch.column(c).to_pylist() for c in ("chunk_ids", "sizes", "root", "n_tokens")))
+            for names, sizes, root, n in listed:
+                if len(names) != len(sizes) or not names or sum(sizes) != n or recipe_root(names, sizes) != root:
+                    raise ValueError("a recipe does not match its root")
             yield batch
 
     return recipes.mapInArrow(check, recipes.schema)
@@ -219,19 +228,33 @@ def verified_recipes(spark: SparkSession, path: str) -> DataFrame:
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """Reconstructs every document: doc_id, start, n_tokens, ids (little-endian, as wide as stored)."""
-    listed = verified_recipes(spark, path).select("doc_id", "start", "n_tokens", F.posexplode("chunk_ids"))
-    parts = listed.withColumnRenamed("col", "chunk_id").join(verified_chunks(spark, path), "chunk_id")
+    n, stored_n = F.col("n"), F.col("n_ids")
+    right = stored_n.eqNullSafe(n) & F.octet_length("payload").isin(2 * n, 4 * n)
+    payload = F.when(stored_n.isNull(), _fail("a chunk is missing").cast("binary")).when(right, F.col("payload"))
+    parts = _parts(spark, path).join(verified_chunks(spark, path), "chunk_id", "left").withColumn(
+        "payload", payload.otherwise(_fail("a chunk is not as long as its recipe says").cast("binary"))
+    )
+    whole = F.aggregate(
+        F.sort_array(F.collect_list(F.struct("pos", "payload"))), F.lit(b""), lambda a, p: F.concat(a, p["payload"])
+    )
+    ids = F.when(F.sum("n") == F.first("n_tokens"), whole)
     return parts.groupBy("start").agg(
         F.first("doc_id").alias("doc_id"),
         F.first("n_tokens").alias("n_tokens"),
-        F.aggregate(
-            F.sort_array(F.collect_list(F.struct("pos", "payload"))),
-            F.lit(b""),
-            lambda a, p: F.concat(a, p["payload"]),
-        ).alias("ids"),
+        ids.otherwise(_fail("chunks do not add up to their document").cast("binary")).alias("ids"),
     ).select("doc_id", "start", "n_tokens", "ids")
 
 
+def _parts(spark: SparkSession, path: str) -> DataFrame:
+    """A row for each chunk that a verified recipe names: doc_id, start, n_tokens, pos, chunk_id, n."""
+    listed = verified_recipes(spark, path).select(
+        "doc_id", "start", "n_tokens", F.posexplode(F.arrays_zip("chunk_ids", "sizes"))
+    )
+    return listed.select(
+        "doc_id", "start", "n_tokens", "pos", F.col("col.chunk_ids").alias("chunk_id"), F.col("col.sizes").alias("n")
+    )
+
+
 def shift_tables():
     """For every chunk size, the linear map that so many zero ids apply to a crc32: the images of its 32 bits."""
     import numpy as np
@@ -275,25 +298,21 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
             for name, n, payload in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 if hashlib.sha256(payload).digest() != name:
                     raise ValueError("a chunk does not match its address")
+                if n <= 0 or len(payload) not in (2 * n, 4 * n):
+                    raise ValueError("a chunk is not as long as it says")
                 ids = np.frombuffer(payload, f"<u{len(payload) // n}")
                 values.append(zlib.crc32(ids.astype("<u4").tobytes()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(values, pa.int64())], names=["chunk_id", "crc"]
+                [batch.column(0), pa.array(values, pa.int64()), batch.column(1)], names=["chunk_id", "crc", "n_ids"]
             )
 
     chunks = spark.read.parquet(f"{path}/chunks").select("chunk_id", "n_ids", "payload").mapInArrow(
-        crcs, "chunk_id binary, crc long"
+        crcs, "chunk_id binary, crc long, n_ids int"
     )
-    listed = verified_recipes(spark, path).select(
-        "doc_id", "start", "n_tokens", F.posexplode(F.arrays_zip("chunk_ids", "sizes"))
-    )
-    parts = listed.select(
-        "doc_id", "start", "n_tokens", "pos", F.col("col.chunk_ids").alias("chunk_id"), F.col("col.sizes").alias("n")
-    )
-    whole = parts.join(chunks, "chunk_id").groupBy("start").agg(
+    whole = _parts(spark, path).join(chunks, "chunk_id", "left").groupBy("start").agg(
         F.first("doc_id").alias("doc_id"),
         F.first("n_tokens").alias("n_tokens"),
-        F.sort_array(F.collect_list(F.struct("pos", "crc", "n"))).alias("parts"),
+        F.sort_array(F.collect_list(F.struct("pos", "crc", "n", "n_ids"))).alias("parts"),
     )
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,7 +322,14 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             parts = batch.column(3)
             offsets = np.asarray(parts.offsets, np.int64)
-            crcs, sizes = (np.asarray(parts.values.field(k)) for k in (1, 2))
+            if parts.values.field(1).null_count:
+                raise ValueError("a chunk is missing")
+            crcs, sizes, stored_n = (np.asarray(parts.values.field(k)) for k in (1, 2, 3))
+            if (sizes != stored_n).any():
+                raise ValueError("a chunk is not as long as its recipe says")
+            upto = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+            if (upto[offsets[1:]] - upto[offsets[:-1]] != np.asarray(batch.column(2))).any():
+                raise ValueError("chunks do not add up to their document")
             values = joined_crcs(crcs.astype(np.uint32), sizes, offsets, tables)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:3], pa.array(values.astype(np.int64))],

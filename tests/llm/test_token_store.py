@@ -95,3 +95,25 @@ def test_empty_table_and_null_ids(spark, docs_of, table_dir, tmp_path):
     token_store.write_store(df, path)
     rows = token_store.digests(spark, path).collect()
     assert sorted(r.start for r in rows) == [0, 2, 4] and sorted(str(r.doc_id) for r in rows) == ["5", "5", "None"]
+
+
+def test_missing_chunks_and_changed_numbers(spark, docs_of, texts, tmp_path):
+    """op3_content_store: what is not whole raises an error in both ways of reading."""
+    path = str(tmp_path / "store")
+    token_store.write_store(docs_of(texts), path)
+    tables = {t: spark.read.parquet(f"{path}/{t}") for t in ("chunks", "recipes", "manifest")}
+    first = tables["chunks"].agg(F.min("chunk_id")).first()[0]
+    other = lambda column: tables["recipes"].withColumn(column, F.col(column) + 1)
+    cases = {
+        "missing": {"chunks": tables["chunks"].where(F.col("chunk_id") != F.lit(first))},
+        "twice": {"chunks": tables["chunks"].union(tables["chunks"].where(F.col("chunk_id") == F.lit(first)))},
+        "longer": {"chunks": tables["chunks"].withColumn("n_ids", F.col("n_ids") + 1)},
+        "sizes": {"recipes": tables["recipes"].withColumn("sizes", F.transform("sizes", lambda n: n + 1))},
+        "start": {"recipes": other("start")}, "n_tokens": {"recipes": other("n_tokens")},
+    }
+    for name, changed in cases.items():
+        for t, df in (tables | changed).items():
+            df.coalesce(1).write.parquet(f"{tmp_path}/{name}/{t}")
+        for read in (token_store.digests, token_store.read_documents):
+            with pytest.raises(Exception, match="missing|add up|as long|does not match|do not match"):
+                read(spark, f"{tmp_path}/{name}").collect()
