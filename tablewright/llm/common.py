@@ -7,12 +7,14 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows handed to one Python step at most; bounds the memory of a worker whatever Arrow's batch size.
-STEP_ROWS = 512
+#: Rows and bytes of text handed to one Python step at most; bounds the memory of a worker whatever Arrow's batch size
+#: and however long its texts are.
+STEP_ROWS, STEP_BYTES = 512, 4 << 20
 #: A table is broadcast only if its measured size in bytes is below this.
 BROADCAST_BYTES = 32 << 20
 
@@ -104,6 +106,35 @@ def ranked_within(df: DataFrame, group: list[str], rank: str, order: list[str])
     return numbered.join(bases, condition).select(*kept, (F.col("__base") + F.col("__in")).cast("long").alias(rank))
 
 
+def others(df: DataFrame, *replaced: str | None) -> list[str]:
+    """df's columns but for those that a result replaces; names that differ in case only are one name to Spark."""
+    gone = {c.lower() for c in replaced if c}
+    return [c for c in df.columns if c.lower() not in gone]
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def text_steps(
+    batch: pa.RecordBatch, column: int, most_bytes: int = STEP_BYTES, most_rows: int = STEP_ROWS
+) -> Iterator[pa.RecordBatch]:
+    """A batch cut where so many rows or bytes of a text column are reached; one long text is a step of its own."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    at, total = 0, 0
+    for i, n in enumerate(sizes.tolist()):
+        if i > at and (total + n > most_bytes or i - at >= most_rows):
+            yield batch.slice(at, i - at)
+            at, total = i, 0
+        total += n
+    if at < batch.num_rows:
+        yield batch.slice(at)
+
+
 def sorted_with_offsets(df: DataFrame, order: list[str], size: str, start: str) -> tuple[DataFrame, int]:
     """df range-partitioned and sorted by ``order``, with the running sum of ``size`` before each row.
 

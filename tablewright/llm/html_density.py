@@ -2,15 +2,22 @@
 
 A page is parsed into a tree once. Parts whose element, role or class says that they are not the article (menus,
 forms, adverts, comments ...) are cut. A class or id alone does not cut what holds the page's article or main element or
-most of its unlinked text, and cuts nothing where nothing else would remain. For every remaining node the density is its characters per tag, adjusted by
-the characters and tags inside links; a node's sum is the sum of its children's densities. The node with the largest
-sum is the main block, the smallest density on the path from the body to it is the threshold, and every part that
-reaches the threshold contributes its own largest-sum subtree. A block inside an ``article`` or ``main`` stands for
-the whole of that element, so no heading or short paragraph of it is lost.
+most of its unlinked text, and cuts nothing where nothing else would remain. For every remaining node the density is its
+characters per tag, adjusted by the characters and tags inside links; a node's sum is the sum of its children's
+densities. Formatting inside running text is no structure: its tags do not count and its children are those of the node
+around it.
+
+The node with the largest sum is the main block; ``article`` and ``main`` count ``PREFERRED`` times. From there the
+choice climbs to an ``article`` or ``main`` around it if what that adds is no more text than is chosen already, or about
+as dense. The smallest density on the path from the body to the main block is the threshold, and every part outside that
+reaches a share of it (``SIMILAR``; beside an ``article`` or ``main`` a multiple, ``BESIDE``) contributes its own
+largest-sum subtree, as does a heading directly before. Lists of links inside are left out again.
 
 Pages are independent: no shuffle and no state. All passes over a tree are loops, so depth is not bounded by the
-stack. Defined results: a null or empty page, or one without text, gives an empty text; markup that is cut off or
-badly nested is closed as browsers do; repeated pages give equal rows; extra columns pass through.
+stack. Defined results: a null or empty page, or one without text, gives an empty text; pages may be of any length;
+markup that is cut off or badly nested is closed as browsers do; of equal sums the node of more text is chosen, then the
+outer one; repeated pages give equal rows; an empty table gives an empty result; extra columns pass through, and those
+with the name of a result (in any case) are replaced by it.
 """
 
 from __future__ import annotations
@@ -25,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import STEP_ROWS, extended
+from .common import extended, free_name, others, text_steps
 
 # Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -63,6 +70,17 @@ CUT_NAMES = frozenset(
 #: What readers add: a name that begins with one of these is not the article, however long.
 READERS = frozenset("comment comments commentlist disqus respond reply replies".split())
 WHOLE = frozenset(("article", "main"))
+#: Formatting inside running text.
+INLINE = frozenset(
+    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp "
+    "small span strike strong sub sup time tt u var wbr".split()
+)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+#: How much more the sum of an article or main element counts, how dense a part is that is like another, and how much
+#: denser than the threshold a part beside an article or main element must be.
+PREFERRED, SIMILAR, BESIDE = 2.0, 0.5, 4.0
+#: A block of so many links whose text is linked for the most part is a list of links.
+LINKS, LINKED = 5, 0.8
 KEPT = frozenset(("html", "body", "article", "main"))
 
 TAG = re.compile(
@@ -267,91 +285,130 @@ def prune(tree: Tree) -> list[bool]:
     return kept
 
 
-def densities(tree: Tree, kept: list[bool], body: int) -> tuple[list[float], list[float], list[int]]:
-    """Composite density, sum of children's densities, and characters, for every node."""
-    n = len(tree.tag)
-    chars, tags, link_chars, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
-    for node in range(n - 1, -1, -1):  # children come after their parents
-        if not kept[node]:
-            continue
-        chars[node] += sum(len("".join(x.split())) for x in tree.items[node] if isinstance(x, str))
-        if tree.tag[node] == "a":
-            link_chars[node], link_tags[node] = chars[node], link_tags[node] + 1
-        up = tree.parent[node]
-        if up >= 0:
-            chars[up] += chars[node]
-            tags[up] += tags[node] + 1
-            link_chars[up] += link_chars[node]
-            link_tags[up] += link_tags[node]
-    of_body = link_chars[body] / max(1, chars[body])
-    density, sums = [0.0] * n, [0.0] * n
-    for node in range(n - 1, -1, -1):
-        c = chars[node]
-        if c and kept[node]:
-            t, lc, lt = max(1, tags[node]), link_chars[node], max(1, link_tags[node])
-            base = math.log(c / max(1, c - lc) * lc + of_body * c + math.e)
-            density[node] = c / t * math.log(max(1.0, c / max(1, lc) * t / lt) + math.e - 1) / math.log(base + math.e - 1)
-        if (up := tree.parent[node]) >= 0:
-            sums[up] += density[node]
-    return density, sums, chars
-
-
-def content(tree: Tree) -> tuple[list[bool], list[bool]]:
+class Measures:
+    """For every node its characters, tags, linked characters and links, its composite density, and the sum of its
+    children's densities. Text of a node's own counts as one child."""
+
+    def __init__(self, tree: Tree, kept: list[bool], body: int):
+        n = len(tree.tag)
+        self.chars, self.tags, self.link_chars, self.links, own = ([0] * n for _ in range(5))
+        chars, tags, link_chars, links = self.chars, self.tags, self.link_chars, self.links
+        for node in range(n - 1, -1, -1):  # children come after their parents
+            if not kept[node]:
+                continue
+            tag, up = tree.tag[node], tree.parent[node]
+            text = sum(len("".join(x.split())) for x in tree.items[node] if isinstance(x, str))
+            chars[node] += text
+            own[node] += text
+            if tag == "a":
+                link_chars[node], links[node] = chars[node], links[node] + 1
+            if up >= 0:
+                chars[up] += chars[node]
+                tags[up] += tags[node] + (tag == "a" or tag not in INLINE)
+                link_chars[up] += link_chars[node]
+                links[up] += links[node]
+                if tag in INLINE:
+                    own[up] += own[node]
+        self.of_body = link_chars[body] / max(1, chars[body])
+        self.density, self.sums = [0.0] * n, [0.0] * n
+        for node in range(n - 1, -1, -1):
+            if not kept[node]:
+                continue
+            inline, up = tree.tag[node] in INLINE, tree.parent[node]
+            self.density[node] = self.of(chars[node], tags[node], link_chars[node], links[node])
+            if own[node] and not inline:
+                self.sums[node] += self.of(own[node], 1, min(own[node], link_chars[node]), links[node])
+            if up >= 0:
+                self.sums[up] += self.sums[node] if inline else self.density[node]
+
+    def of(self, chars: int, tags: int, link_chars: int, links: int) -> float:
+        """The composite density of a part with these counts."""
+        if chars <= 0:
+            return 0.0
+        tags, links = max(1, tags), max(1, links)
+        base = math.log(chars / max(1, chars - link_chars) * link_chars + self.of_body * chars + math.e)
+        share = max(1.0, chars / max(1, link_chars) * tags / links)
+        return chars / tags * math.log(share + math.e - 1) / math.log(base + math.e - 1)
+
+
+def content(tree: Tree, measures=Measures) -> tuple[list[bool], list[bool]]:
     """Which nodes belong to the main text, and which remained at all."""
     n, kept = len(tree.tag), prune(tree)
     body = next((i for i in range(n) if tree.tag[i] == "body"), 0)
-    density, sums, chars = densities(tree, kept, body)
+    m = measures(tree, kept, body)
+    density, chars = m.density, m.chars
+    sums = [x * PREFERRED if tree.tag[i] in WHOLE else x for i, x in enumerate(m.sums)]
     last = list(range(n))  # the last node of each subtree
     for node in range(n - 1, 0, -1):
         last[tree.parent[node]] = max(last[tree.parent[node]], last[node])
-
-    def best_in(node: int) -> int:
-        return max(range(node, last[node] + 1), key=lambda i: (kept[i] and chars[i] > 0, sums[i], chars[i], -i))
-
     marked = [False] * n
     if not chars[body]:
         return marked, kept
-    top = best_in(body)
-    threshold, at = density[top], top
-    while at != body:
-        at = tree.parent[at]
-        threshold = min(threshold, density[at])
 
-    def whole(node: int) -> int:
-        """The outermost article or main around a node, else the node."""
-        out, at = node, node
-        while at != body and at >= 0:
+    def best_in(node: int) -> int:
+        """The node of the largest sum in a subtree, of equals that of more text, then the outer one."""
+        inside = (i for i in range(node, last[node] + 1) if i == node or kept[i] and tree.tag[i] not in INLINE)
+        return max(inside, key=lambda i: (chars[i] > 0, sums[i], chars[i], -i))
+
+    def climbed(node: int) -> int:
+        """The outermost article or main around a node that adds little to it, or more of its kind."""
+        out, at = node, tree.parent[node]
+        while at > 0 and node != body:
             if tree.tag[at] in WHOLE:
-                out = at
+                more = (x[at] - x[out] for x in (m.chars, m.tags, m.link_chars, m.links))
+                unlinked = [chars[i] - m.link_chars[i] for i in (out, at)]
+                if unlinked[1] <= 2 * unlinked[0] or m.of(*more) >= SIMILAR * density[out]:
+                    out = at
+            if at == body:
+                break
             at = tree.parent[at]
         return out
 
     def mark(node: int) -> None:
-        for i in range(node, last[node] + 1):
+        i = node
+        while i <= last[node]:
+            if i != node and tree.tag[i] not in INLINE and m.links[i] >= LINKS and m.link_chars[i] >= LINKED * chars[i]:
+                i = last[i] + 1
+                continue
             marked[i] = True
+            i += 1
 
-    main = whole(top)
+    top = best_in(body)
+    threshold, at = density[top], top
+    while at != body:
+        at = tree.parent[at]
+        threshold = min(threshold, density[at])
+    main = climbed(top)
     mark(main)
-    if tree.tag[main] in WHOLE:  # the page says where its article is
-        return marked, kept
-    node = body + 1
+    threshold *= BESIDE if tree.tag[main] in WHOLE else SIMILAR
+    path, at = {main}, main
+    while at != body and at > 0:
+        at = tree.parent[at]
+        path.add(at)
+    node, titles = body + 1, []
     while node <= last[body]:
-        if marked[node]:
-            node = last[node] + 1
-        elif kept[node] and chars[node] and density[node] >= threshold and not any(marked[node : last[node] + 1]):
-            mark(whole(best_in(node)))
-            node += 1 if not marked[node] else last[node] - node + 1
-        else:
+        if node in path and node != main:
             node += 1
+            continue
+        if node != main and kept[node] and tree.tag[node] in HEADINGS and chars[node] > 2 * m.link_chars[node] and node < main:
+            titles.append(node)  # directly before the main block, as far as all headings here are
+        elif node == main:
+            for title in titles:
+                mark(title)
+        elif kept[node] and chars[node]:
+            titles = [] if node < main else titles
+            if density[node] >= threshold and tree.tag[node] not in INLINE:
+                mark(best_in(node))
+        node = last[node] + 1
     return marked, kept
 
 
-def main_text(page: str | None) -> str:
+def main_text(page: str | None, measures=Measures) -> str:
     """The article's blocks, one a line."""
     if not page:
         return ""
     tree = parse(page)
-    marked, kept = content(tree)
+    marked, kept = content(tree, measures)
     blocks, line = [], []
 
     def flush() -> None:
@@ -385,16 +442,15 @@ def main_text(page: str | None) -> str:
 
 def extract_main_text(df: DataFrame, html: str = "html", text: str = "text") -> DataFrame:
     """df with ``html`` replaced by ``text`` (never null) and ``n_chars``, its code points."""
-    names = [c for c in df.columns if c not in (html, text, "n_chars")]
-    columns = [F.col(f"`{c}`") for c in names]
-    schema = extended(df.select(*columns), (text, "string"), ("n_chars", "long"))
+    names = others(df, html, text, "n_chars")
+    own = [F.col(f"`{c}`") for c in names]
+    schema = extended(df.select(*own), (text, "string"), ("n_chars", "long"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, STEP_ROWS):
-                part = batch.slice(at, STEP_ROWS)
+            for part in text_steps(batch, len(names)):
                 texts = [main_text(p) for p in part.column(len(names)).to_pylist()]
                 columns = [*part.columns[:-1], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, names=[*names, text, "n_chars"])
 
-    return df.select(*columns, F.col(f"`{html}`").alias("__html")).mapInArrow(run, schema)
+    return df.select(*own, F.col(f"`{html}`").alias(free_name(df, "__html"))).mapInArrow(run, schema)

@@ -6,9 +6,15 @@ ends), and reported only if its bytes parse as a secret: a private key's DER wit
 (``der``), an OpenSSH private key blob (``openssh``), an armoured block around either (``pem``), or a signed token
 whose header is a JSON object naming its algorithm (``jwt``).
 
-Whole texts are scanned row by row: no shuffle, no state. Defined results: a null or empty text has no findings; extra
-columns pass through; wrapped lines inside a reported armour are not reported again; repeated rows are scanned alike; overlapping findings of different kinds are all reported, and
-``redact`` blanks their union.
+Encrypted keys are reported if what surrounds the cipher text parses: the algorithm and its octets (PKCS#8), or the
+named cipher with a vector and a body of its block size (older armour).
+
+Whole texts are scanned row by row: no shuffle, no state, and work in proportion to the text's length. Defined results: a
+null or empty text has no findings, an empty table gives an empty result; texts may be of any length; wrapped lines
+inside a reported armour are not reported again; of equal findings one is reported, and of those that begin at one place
+the order is that of ``KINDS``; repeated rows are scanned alike; overlapping findings of different kinds are all
+reported, and ``redact`` blanks their union; extra columns pass through, and those with the name of a result (in any
+case) are replaced by it.
 """
 
 from __future__ import annotations
@@ -17,6 +23,7 @@ import base64
 import binascii
 import json
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -24,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import STEP_ROWS, extended
+from .common import extended, free_name, others, text_steps
 
 #: In order of rank among findings that begin at the same place. The first three are the base patterns.
 KINDS = ("assign", "access", "hex", "pem", "der", "openssh", "jwt")
@@ -37,7 +44,11 @@ HEX = re.compile(r"[0-9a-f]{24,}")  # runs are maximal, so shorter ones simply d
 #: One of these is in the lower-cased text wherever ASSIGN matches.
 ASSIGN_HINTS = ("passw", "secret", "token", "api")
 LEAST_VALUE, LEAST_ACCESS = 6, 20
-PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----((?:[A-Za-z0-9+/=\s:,.-]|\\+[nrt])*?)-----END \1-----")
+ARMOUR = re.compile(r"-----(BEGIN|END) ((?:[A-Z0-9]+ ){0,8}PRIVATE KEY)-----")
+ARMOURED = re.compile(r"(?:[A-Za-z0-9+/=\s:,.-]|\\+[nrt])*+")
+#: Block sizes in bytes by the first part of a cipher's name.
+CIPHERS = {"AES": 16, "DES": 8, "CAMELLIA": 16, "ARIA": 16, "SEED": 16, "BF": 8, "CAST5": 8, "IDEA": 8, "RC2": 8}
+DEK = re.compile(r"DEK-Info:\s*([A-Za-z0-9]+)[A-Za-z0-9-]*,\s*([0-9A-Fa-f]+)")
 #: A line break as it is written inside JSON and .env strings.
 WRITTEN = re.compile(r"(?:\\+r)?\\+n|\\+r")
 BREAK = r"(?:\r?\n|\r|(?:\\+r)?\\+n)[ \t]*"
@@ -50,7 +61,7 @@ LINE = re.compile(rf"([A-Za-z0-9+/_-]+)(={{0,2}})({BREAK})?")
 JWT = re.compile(r"(?<![A-Za-z0-9_-])e[yw][A-Za-z0-9_-]{6,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
 #: Shorter runs cannot hold a private key.
 ENCODED = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
-HEX_ANY = re.compile(r"(?:[0-9a-f]{2}){20,}|(?:[0-9A-F]{2}){20,}")
+HEX_ANY = re.compile(r"(?:[0-9a-fA-F]{2}){20,}")
 MASK = "[REDACTED]"
 
 
@@ -107,6 +118,26 @@ def private_der(data: bytes) -> bool:
     return tags[1] == 4 and set(tags[2:]) <= {0xA0, 0xA1}
 
 
+def encrypted_der(data: bytes) -> bool:
+    """PKCS#8, encrypted: one sequence that fills the bytes, of an algorithm with an identifier and the octets."""
+    outer = tlv(data, 0, len(data))
+    if outer is None or outer[0] != 0x30 or outer[2] != len(data):
+        return False
+    parts = children(data, outer[1], outer[2])
+    if not parts or [p[0] for p in parts] != [0x30, 4] or parts[1][2] - parts[1][1] < 16:
+        return False
+    inner = children(data, parts[0][1], parts[0][2])
+    return bool(inner) and inner[0][0] == 6
+
+
+def encrypted_armour(head: str, data: bytes) -> bool:
+    """The older form: a cipher that is known, a vector of half a block or more, and whole blocks."""
+    if not (named := DEK.search(head)):
+        return False
+    block = CIPHERS.get(named[1].upper())
+    return bool(block and data) and len(data) % block == 0 and len(named[2]) in (16, 2 * block)
+
+
 def private_openssh(data: bytes) -> bool:
     """The magic words, then counted strings whose lengths end exactly at the end."""
     magic = b"openssh-key-v1\0"
@@ -137,27 +168,71 @@ def confirmed(data: bytes | None) -> str | None:
     return None
 
 
-def private_ends(data: bytes) -> list[int]:
-    """Where a private key that begins the bytes may end, as its own lengths say. The bytes may go on or be too few."""
-    if data[0] == 0x30:
-        first = data[1]
-        n = first & 127 if first >= 128 else 0
-        return [2 + n + (int.from_bytes(data[2 : 2 + n], "big") if n else first)]
-    if data.startswith(b"-----BEGIN "):
-        at = re.search(rb"-----END [A-Z0-9 ]+-----", data)
-        return [at.end() + more for more in range(3)] if at else []
-    out, at, fields = [], 15, 0
-    while at + 4 <= len(data):
-        at += 4 if fields == 3 else 4 + int.from_bytes(data[at : at + 4], "big")
-        fields += 1
-        if fields >= 6:
-            out.append(at)
-    return out
+class Lines:
+    """A run of base64 lines: its letters without the breaks, and where in the text they stand. Built once for all
+    candidates in it."""
+
+    def __init__(self, text: str, at: int):
+        self.begin, parts = at, []
+        self.starts: list[int] = []  # of the lines in the text
+        self.upto = [0]  # letters up to the end of each line
+        self.stops: list[int] = []  # ends of the lines in the text, padding included
+        self.decoded: dict[int, tuple[bytes, list[int]]] = {}
+        while line := LINE.match(text, at):
+            parts.append(line[1])
+            self.starts.append(line.start())
+            self.upto.append(self.upto[-1] + len(line[1]))
+            self.stops.append(line.end(2))
+            at = line.end()
+            if line[2] or not line[3]:
+                break
+        self.end, self.body = at, "".join(parts)
+
+    def offset(self, at: int) -> int:
+        """The letter at a place of the text."""
+        k = bisect_right(self.starts, at) - 1
+        return self.upto[k] + at - self.starts[k]
+
+    def peek(self, first: int, at: int, n: int) -> bytes:
+        """n bytes from byte ``at`` on of what begins at the letter ``first``; fewer where the run ends."""
+        piece = self.body[first + at // 3 * 4 : first + -(-(at + n) // 3) * 4]
+        piece = piece[: len(piece) - (len(piece) % 4 == 1)]
+        return (unbase64(piece) or b"")[at % 3 : at % 3 + n]
+
+    def length(self, first: int) -> int | None:
+        """How many bytes a private key that begins at a letter has, as its own lengths say."""
+        head = self.peek(first, 0, 15)
+        if head[:1] == b"0":
+            n = head[1] & 127 if head[1] >= 128 else 0
+            return 2 + n + (int.from_bytes(head[2 : 2 + n], "big") if n else head[1])
+        if head.startswith(b"-----BEGIN "):
+            shift = first % 4  # decoded once for each of the four ways that letters fall into groups
+            if shift not in self.decoded:
+                rest = self.body[shift:]
+                data = unbase64(rest[: len(rest) - (len(rest) % 4 == 1)]) or b""
+                self.decoded[shift] = data, [m.end() for m in re.finditer(rb"-----END [A-Z0-9 ]{1,80}-----", data)]
+            ends, begin = self.decoded[shift][1], (first - shift) // 4 * 3
+            k = bisect_right(ends, begin)
+            return ends[k] - begin if k < len(ends) else None
+        at = 15
+        for _ in range(3):
+            at += 4 + int.from_bytes(self.peek(first, at, 4).rjust(4, b"\xff"), "big")
+        keys = int.from_bytes(self.peek(first, at, 4).rjust(4, b"\xff"), "big")
+        at += 4
+        for _ in range(keys + 1 if keys <= 64 else 0):
+            at += 4 + int.from_bytes(self.peek(first, at, 4).rjust(4, b"\xff"), "big")
+        return at
+
+    def stop(self, letters: int) -> int | None:
+        """Where in the text a line ends with so many letters."""
+        k = bisect_right(self.upto, letters) - 1
+        return self.stops[k - 1] if k > 0 and self.upto[k] == letters else None
 
 
 def wrapped(text: str, within: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """Keys whose base64 goes on over line breaks, or begins after one that is written out."""
-    out, done = [], 0
+    out, done, lines = [], 0, None
+    armour = [(a, b) for _, a, b in within]
     for m in BEGINS.finditer(text):
         if m.start() < done or not (head := HEAD.match(text, m.start())):
             continue
@@ -166,25 +241,19 @@ def wrapped(text: str, within: list[tuple[str, int, int]]) -> list[tuple[str, in
             n = start[1] & 127 if start[1] >= 128 else 0
             if n > 4 or start[2 + n : 4 + n] != b"\x02\x01" or start[4 + n] > 1:
                 continue
-            most = private_ends(start)[0]
-        elif b"openssh-key-v1".startswith(start) or b"-----BEGIN ".startswith(start):
-            most = len(text)
-        else:
+        elif not (b"openssh-key-v1".startswith(start) or b"-----BEGIN ".startswith(start)):
             continue
-        if any(a <= m.start() < b for _, a, b in within):
+        k = bisect_right(armour, (m.start(), len(text))) - 1
+        if k >= 0 and m.start() < armour[k][1]:
             continue
-        lines, ends, at, held = [], {}, m.start(), 0
-        while (line := LINE.match(text, at)) and held * 6 < most * 8:
-            lines.append(line[1])
-            held += len(line[1])
-            ends[held] = line.end(2)
-            at = line.end()
-            if line[2] or not line[3]:
-                break
-        body = "".join(lines)
-        data = unbase64(body[: len(body) - (len(body) % 4 == 1)]) or b"\0"
-        for end in private_ends(data):
-            if end <= len(data) and (stop := ends.get(-(-end * 8 // 6))) and (kind := confirmed(data[:end])):
+        if lines is None or m.start() >= lines.end:
+            lines = Lines(text, m.start())
+        first = lines.offset(m.start())
+        size = lines.length(first)
+        for more in range(3 if start[:1] == b"-" else 1):  # an armour's last line break may be part of it
+            if size is None or not (stop := lines.stop(first + -(-(size + more) * 8 // 6))):
+                continue
+            if kind := confirmed(unbase64(lines.body[first : first + -(-(size + more) * 8 // 6)])):
                 out.append((kind, m.start(), stop))
                 done = stop
                 break
@@ -200,20 +269,33 @@ def signed_token(run: str) -> bool:
     return isinstance(parts[0], dict) and isinstance(parts[0].get("alg"), str) and isinstance(parts[1], dict)
 
 
-def structural(text: str) -> list[tuple[str, int, int]]:
-    """What decoding and parsing confirms."""
-    out = []
-    if "-----BEGIN " in text:
-        for m in PEM.finditer(text):
-            lines = WRITTEN.sub("\n", m[2]).replace("\\t", " ").splitlines()
-            body = "".join(line for line in lines if ":" not in line).replace(" ", "").replace("\t", "")
-            data = unbase64(body)
-            if "ENCRYPTED" in m[1] or "ENCRYPTED" in m[2]:
-                found = bool(data)
+def armoured(text: str) -> list[tuple[str, int, int]]:
+    """Blocks between a BEGIN line and the next END line of the same name, if what they hold parses. Every marker is
+    found once and paired with its neighbour."""
+    out, begin = [], None
+    for m in ARMOUR.finditer(text):
+        if m[1] == "BEGIN":
+            begin = m
+            continue
+        if begin is not None and begin[2] == m[2] and ARMOURED.match(text, begin.end(), m.start()).end() == m.start():
+            held = WRITTEN.sub("\n", text[begin.end() : m.start()]).replace("\\t", " ")
+            body = "".join(line for line in held.splitlines() if ":" not in line).replace(" ", "").replace("\t", "")
+            data = unbase64(body) or b""
+            if "ENCRYPTED" in m[2]:
+                found = encrypted_der(data)
+            elif "ENCRYPTED" in held:
+                found = encrypted_armour(held, data)
             else:
-                found = bool(data) and (private_der(data) or private_openssh(data))
+                found = private_der(data) or private_openssh(data)
             if found:
-                out.append(("pem", m.start(), m.end()))
+                out.append(("pem", begin.start(), m.end()))
+        begin = None
+    return out
+
+
+def structural(text: str) -> list[tuple[str, int, int]]:
+    """What decoding and parsing confirms."""
+    out = armoured(text) if "-----BEGIN " in text else []
     out += wrapped(text, out)
     for m in ENCODED.finditer(text):
         if kind := confirmed(unbase64(m[0])):
@@ -261,17 +343,17 @@ def scan_secrets(
     df: DataFrame, text: str = "text", masked: str | None = None, name: str = "secrets"
 ) -> DataFrame:
     """df with ``name``, an array of (kind, start, end), and, if named, a column of masked texts."""
-    names = [c for c in df.columns if c not in (name, masked)]
+    names = others(df, name, masked)
     item = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
-    base = df.select(*(F.col(f"`{c}`") for c in names), F.col(f"`{text}`").alias("__text"))
+    own = [F.col(f"`{c}`") for c in names]
+    base = df.select(*own, F.col(f"`{text}`").alias(free_name(df, "__text")))
     item_type = T.StructType().add("kind", "string").add("start", "integer").add("end", "integer")
     more = [(masked, "string")] if masked else []
-    schema = extended(df.select(*(F.col(f"`{c}`") for c in names)), (name, T.ArrayType(item_type)), *more)
+    schema = extended(df.select(*own), (name, T.ArrayType(item_type)), *more)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, STEP_ROWS):
-                part = batch.slice(at, STEP_ROWS)
+            for part in text_steps(batch, len(names)):
                 texts = part.column(len(names)).to_pylist()
                 found = [find(t) for t in texts]
                 values = [[{"kind": k, "start": s, "end": e} for k, s, e in f] for f in found]
@@ -285,9 +367,10 @@ def scan_secrets(
 
 def redact(docs: DataFrame) -> DataFrame:
     """Documents with their secrets masked and ``n_chars`` brought up to date; their columns stay as they are."""
-    out = scan_secrets(docs, "text", "__masked", "__secrets")
-    new = {"text": F.col("__masked")}
+    masked, found = free_name(docs, "__masked"), free_name(docs, "__secrets")
+    out = scan_secrets(docs, "text", masked, found)
+    new = {"text": F.col(masked)}
     if "n_chars" in docs.columns:
-        changed = F.length("__masked").cast(docs.schema["n_chars"].dataType)
-        new["n_chars"] = F.when(F.size("__secrets") > 0, changed).otherwise(F.col("n_chars"))
+        changed = F.length(masked).cast(docs.schema["n_chars"].dataType)
+        new["n_chars"] = F.when(F.size(found) > 0, changed).otherwise(F.col("n_chars"))
     return out.select(*(new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns))
