@@ -75,6 +75,7 @@ INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp "
     "small span strike strong sub sup time tt u var wbr".split()
 )
+PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd td th figcaption".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 #: How much more the sum of an article or main element counts, how dense a part is that is like another, and how much
 #: denser than the threshold a part beside an article or main element must be.
@@ -226,14 +227,16 @@ def noise(tag: str, attrs: str, in_article: bool) -> bool:
     return False
 
 
-def named(attrs: str) -> tuple[bool, bool]:
-    """Whether a class or id says that a node is not the article, and whether one says that it is its readers'."""
+def named(attrs: str, tag: str = "div") -> tuple[bool, bool]:
+    """Whether a class or id says that a node is not the article, and whether one says that it is its readers'. One part
+    of a name is enough for a container; a paragraph's must say nothing else (a ``share-price`` is no share button)."""
     cut = readers = False
     for name, *values in ATTRIBUTE.findall(attrs):
         if name.lower() in ("class", "id"):
             for token in entities.unescape("".join(values)).split():
                 parts = [p.lower() for p in NAME_PARTS.findall(token)]
-                cut = cut or not CUT_NAMES.isdisjoint(parts)
+                says = CUT_NAMES.issuperset(parts) if tag in PARAGRAPHS else not CUT_NAMES.isdisjoint(parts)
+                cut = cut or bool(parts) and says
                 readers = readers or bool(parts) and parts[0] in READERS
     return cut, readers
 
@@ -247,7 +250,7 @@ def prune(tree: Tree) -> list[bool]:
         inside.append(inside[up] or tag in WHOLE)
         kept.append(kept[up] and not noise(tag, attrs, inside[up]))
         if kept[node] and attrs and tag != "html" and tag != "body":
-            cut, readers = named(attrs)
+            cut, readers = named(attrs, tag)
             if cut:
                 cuts[node] = readers
     if not any(tree.tag[node] not in KEPT for node in cuts):

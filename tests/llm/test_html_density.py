@@ -112,3 +112,136 @@ def test_wrappers_with_names_of_other_parts(name):
 
 def test_names_alone_never_empty_a_page():
     assert h.main_text('<body><div class="sidebar"><p>One half.</p></div><div class="widget"><p>The rest.</p></div></body>')
+
+
+class Node:
+    """A tree as it is written, for the plain version below."""
+
+    def __init__(self, tag, items):
+        self.tag, self.items = tag, items
+        self.nodes = [x for x in items if isinstance(x, Node)]
+
+    def html(self):
+        return f"<{self.tag}>{''.join(x.html() if isinstance(x, Node) else x for x in self.items)}</{self.tag}>"
+
+    def walk(self):
+        yield self
+        for x in self.nodes:
+            yield from x.walk()
+
+    def text(self):
+        return "".join(x.text() if isinstance(x, Node) else "".join(x.split()) for x in self.items)
+
+    def counts(self, inside_link=False):
+        """Characters, structural tags and links below, linked characters, links."""
+        inside = inside_link or self.tag == "a"
+        below = [x.counts(inside) for x in self.nodes]
+        own = sum(len("".join(x.split())) for x in self.items if isinstance(x, str))
+        tags = sum(b[1] + (x.tag == "a" or x.tag not in h.INLINE) for b, x in zip(below, self.nodes))
+        return (
+            own + sum(b[0] for b in below), tags, (own if inside else 0) + sum(b[2] for b in below),
+            (self.tag == "a") + sum(b[3] for b in below),
+        )
+
+    def own(self):
+        return sum(len("".join(x.split())) if isinstance(x, str) else x.own() if x.tag in h.INLINE else 0 for x in self.items)
+
+    def structure(self):
+        return [y for x in self.nodes for y in (x.structure() if x.tag in h.INLINE else [x])]
+
+
+def plain_choice(body):
+    """The main block by its definition, everything counted anew for every node."""
+    import math
+
+    of_body = body.counts()[2] / max(1, body.counts()[0])
+
+    def density(c, t, lc, links):
+        if c <= 0:
+            return 0.0
+        t, links = max(1, t), max(1, links)
+        base = math.log(c / max(1, c - lc) * lc + of_body * c + math.e)
+        return c / t * math.log(max(1.0, c / max(1, lc) * t / links) + math.e - 1) / math.log(base + math.e - 1)
+
+    def weight(x):
+        total = sum(density(*y.counts()) for y in x.structure())
+        if own := x.own():
+            total += density(own, 1, min(own, x.counts()[2]), x.counts()[3])
+        return total * (h.PREFERRED if x.tag in h.WHOLE else 1)
+
+    every = [x for x in body.walk() if x is body or x.tag not in h.INLINE and x.text()]
+    best = max(every, key=lambda x: (round(weight(x), 6), x.counts()[0], -every.index(x)))
+    path = [x for x in every if best in x.walk()]  # from the body to the main block
+    chosen = best
+    for x in reversed(path[1:]):
+        if x is not best and x.tag in h.WHOLE:
+            a, b = x.counts(), chosen.counts()
+            more = density(*(i - j for i, j in zip(a, b)))
+            if a[0] - a[2] <= 2 * (b[0] - b[2]) or more >= h.SIMILAR * density(*b):
+                chosen = x
+    return chosen
+
+
+def random_tree(random, depth=0):
+    tags = ["div", "section", "article", "ul", "p"] if depth < 4 else ["p"]
+    tag = "body" if not depth else random.choice(tags)
+    items = []
+    for _ in range(random.randint(1, 5)):
+        kind = random.random()
+        if tag not in ("p",) and kind < 0.6 and depth < 5:
+            items.append(random_tree(random, depth + 1))
+        elif kind < 0.7:
+            items.append(Node(random.choice(["a", "b", "span"]), ["w" * random.randint(1, 30)]))
+        else:
+            items.append("x" * random.choice([1, 5, 40, 300]) + " ")
+    return Node(tag, items)
+
+
+def test_choice_against_its_definition():
+    import random
+
+    r, varied = random.Random(5), 0
+    for _ in range(300):
+        body = random_tree(r)
+        want = plain_choice(body)
+        page = body.html()
+        got = h.main_text(page)
+        kept = "".join(got.split())
+        if len(list(want.walk())) < 2:
+            continue
+        # list-of-links blocks aside, all of the chosen block's text is in the result
+        if all(x.counts()[3] < h.LINKS for x in want.walk()):
+            assert want.text() in kept, page
+        raw = type("Raw", (h.Measures,), {"of": lambda self, c, t, lc, n: float(c)})
+        varied += h.main_text(page, raw) != got
+    assert varied > 50  # the densities decide
+
+
+@pytest.mark.parametrize("name", ["has-sidebar", "site menu-open", "layout header-fixed"])
+def test_wrappers_around_everything(name):
+    want = ["Title", "A long paragraph of prose, with words and words and words in it.", "And more of it, also words.", "The price is right."]
+    article = ARTICLE + '<p class="share-price">The price is right.</p>'
+    for inner in (f"<article>{article}</article>", f"<main>{article}</main>"):
+        assert h.main_text(f'<body><div class="{name}"><nav>Menu</nav>{inner}</div><footer>f</footer></body>').split("\n") == want
+
+
+def test_lists_of_links_inside_main():
+    links = "".join(f'<li><a href="/{i}">Another story number {i}</a></li>' for i in range(30))
+    for wrap in ("main", "article", "div"):
+        text = h.main_text(f"<body><{wrap}>{ARTICLE * 3}<ul>{links}</ul></{wrap}></body>")
+        assert "Another story" not in text and text.count("long paragraph") == 3
+
+
+def test_sections_and_short_paragraphs():
+    """Equal sections are all found, with and without an element that says so; so are short paragraphs between them."""
+    sections = "".join(f"<section><h2>Part {i}</h2><p>Words of part {i}, {'and on ' * 30}</p><p>Short.</p></section>" for i in range(12))
+    side = '<div><p>Seen today</p><p>By nobody</p><a href="/">home</a></div>'
+    for wrap in ("article", "main", "div"):
+        text = h.main_text(f"<body>{side}<{wrap}>{sections}</{wrap}>{side}</body>")
+        assert text.count("Short.") == 12 and text.count("Part ") == 12 and "nobody" not in text
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "<p>a b</p>", "x", "y", 1)], "page_id long, html string, __html string, TEXT string, N_Chars int")
+    out = h.extract_main_text(df)
+    assert out.columns == ["page_id", "__html", "text", "n_chars"] and out.first()[1:] == ("x", "a b", 3)
