@@ -49,6 +49,21 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def as_table(df: DataFrame) -> DataFrame:
+    """df if it is a projection of files, which are read in the same order each time; else df written and read again.
+    Only then may rows be numbered in two passes."""
+    if not df._jdf.queryExecution().optimizedPlan().deterministic():
+        return stored(df, "input")
+    todo = [df._jdf.queryExecution().optimizedPlan()]
+    while todo:
+        plan = todo.pop()
+        below = [plan.children().apply(i) for i in range(plan.children().size())]
+        if not below and not df.inputFiles() or plan.nodeName() not in ("Project", "Filter", "LogicalRelation") and below:
+            return stored(df, "input")
+        todo += below
+    return df
+
+
 def drop_stored(*frames: DataFrame) -> None:
     """Removes the files of ``stored`` tables that nothing reads any more."""
     for df in frames:

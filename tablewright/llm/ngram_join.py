@@ -14,13 +14,20 @@ it stands in; the links found join most sets into components. After that a colum
 different components, and only pairs across components are left to count. Both steps are exact for components: every
 pair within the bound is either counted or already connected.
 
-Equal sets are one row from the start (their 64-bit digests name it), so copies cost nothing. Shingles are 64-bit
-hashes within a document; between documents 40 bits and the block's number tell them apart, which the count of pairs
-in question makes safe: a wrong overlap needs two of the few hundred shingles of one candidate pair to agree by chance.
+Columns that hold the same sets lead to the same pairs, so of those one is enough: a passage that many documents share
+is one column, not one for each of its shingles. Pairs that many columns lead to are made distinct before they meet the
+rows, and a column, set or component that holds a large share of all rows is dealt out over several tasks.
+
+Equal sets are one row from the start (their 128-bit digests name it), so copies cost nothing. Shingles are 64-bit
+hashes within a document; between documents 40 bits and the block's number tell them apart: a wrong overlap needs two of
+the few hundred shingles of one candidate pair to agree by chance. The number of blocks follows the measured bytes of
+text (``BLOCK_BYTES``), so a block is held by a task at any size of the corpus.
 
 Defined results: a text without words (null, empty, blank) has no shingles, links with nothing and is its own
-component; a text of fewer words than a shingle has one, its whole sequence; repeated rows are in one component; the
-least key names a component, rows with a null key do not name one; extra columns are ignored.
+component; a text of fewer words than a shingle has one, its whole sequence; a very long text is hashed by itself;
+repeated rows are in one component; of several rows with the least key of a component the first one read is its head;
+the least key names a component, rows with a null key do not name one; an empty table gives an empty result; extra
+columns are ignored by ``similar_components`` and kept by ``deduplicate``, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,19 +40,24 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, drop_stored, partitions, release, stored
+from ..functions.skew import skewed_join
+from .common import as_table, checkpointed, drop_stored, partitions, release, stored, text_steps
 from .graph import connected_components
 
 #: Words in a shingle; the least similarity, in hundredths.
 WORDS, PERCENT = 5, 75
-#: Documents hashed at a time.
-SLICE = 2048
+#: Documents and bytes of text hashed at a time.
+SLICE, SLICE_BYTES = 2048, 16 << 20
+#: Bytes of text whose shingles one block may hold.
+BLOCK_BYTES = 64 << 20
 KEY_BITS = 40
+#: Rows of a column that meet in one task at most on either side.
+SQUARE = 1000
 
 SCATTERED = (
-    "block int, row long, doc_id long, n long, sig long, sigs binary, counts binary, low binary, high binary"
+    "block int, row long, doc_id long, n long, sig binary, sigs binary, counts binary, low binary, high binary"
 )
-GATHERED = "row long, doc_id long, n long, sig long, block int, low binary, high binary, held binary"
+GATHERED = "row long, doc_id long, n long, sig binary, block int, low binary, high binary, held binary"
 
 
 def mixed(x):
@@ -78,7 +90,7 @@ def scatter(docs: DataFrame, blocks: int, size: int) -> DataFrame:
     """Rows of two kinds: (block, row, doc_id, n, sig) for each document, and for each slice of documents and block the
     shingles of that block: digests of the sets, how many each has, and the shingles' 32 low and 8 high bits."""
     names = [x.split()[0] for x in SCATTERED.split(", ")]
-    kinds = [pa.int32(), *[pa.int64()] * 4, *[pa.binary()] * 4]
+    kinds = [pa.int32(), *[pa.int64()] * 3, *[pa.binary()] * 5]
     schema = pa.schema(list(zip(names, kinds)))
 
     def rows_of(rows: list, ids: list, texts: list) -> Iterator[pa.RecordBatch]:
@@ -87,17 +99,16 @@ def scatter(docs: DataFrame, blocks: int, size: int) -> DataFrame:
         sets, sigs, seen, first = [], [], set(), []
         for text in texts:
             found = shingles(text, size)
-            sig = hashlib.blake2b(found.tobytes(), digest_size=8).digest() if len(found) else None
+            sig = hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None
             sigs.append(sig)
             sets.append(len(found))
             if sig and sig not in seen:  # of equal sets in a slice one is enough
                 seen.add(sig)
                 first.append((sig, found))
-        numbers = [int.from_bytes(s, "little", signed=True) if s else None for s in sigs]
-        home = [(n or 0) % blocks for n in numbers]
+        home = [int.from_bytes(s[:8], "little") % blocks if s else r % blocks for s, r in zip(sigs, rows)]
         empty = [None] * len(ids)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(c, k) for c, k in zip((home, rows, ids, sets, numbers, *[empty] * 4), kinds)], schema=schema
+            [pa.array(c, k) for c, k in zip((home, rows, ids, sets, sigs, *[empty] * 4), kinds)], schema=schema
         )
         if not first:
             return
@@ -109,7 +120,7 @@ def scatter(docs: DataFrame, blocks: int, size: int) -> DataFrame:
         low = (tokens & np.uint64(0xFFFFFFFF)).astype("<u4")
         high = ((tokens >> np.uint64(32)) & np.uint64(0xFF)).astype("u1")
         ends = np.cumsum(np.bincount(block, minlength=blocks))
-        digests = np.frombuffer(b"".join(s for s, _ in first), "<i8")
+        digests = np.frombuffer(b"".join(s for s, _ in first), "V16")
         columns: list[list] = [[], [], [], [], []]
         begin = 0
         for b, end in enumerate(ends.tolist()):
@@ -127,13 +138,39 @@ def scatter(docs: DataFrame, blocks: int, size: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
+            for part in text_steps(batch, 2, SLICE_BYTES, SLICE):
                 yield from rows_of(*(part.column(i).to_pylist() for i in range(3)))
 
     return docs.select("row", F.col("doc_id").cast("long"), "text").mapInArrow(run, SCATTERED)
 
 
+def shared_cells(key, row, packed: bool | None = None):
+    """The distinct (column, row) of a block that stand in columns of several rows, with the number of rows of their
+    column; in order of row and column. Keys have ``KEY_BITS`` bits. Where key and row fit into 64 bits they are sorted
+    as one number."""
+    import numpy as np
+
+    bits = max(1, int(row.max(initial=0)).bit_length())
+    if bits <= 64 - KEY_BITS if packed is None else packed:
+        cell = np.unique(key << np.uint64(bits) | row.astype(np.uint64))  # a set counts once in a column
+        key, row = cell >> np.uint64(bits), (cell & np.uint64((1 << bits) - 1)).astype(np.int64)
+    else:
+        order = np.lexsort((row, key))
+        key, row = key[order], row[order]
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (row[1:] != row[:-1])
+        key, row = key[new], row[new]
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    starts = np.flatnonzero(new)
+    held = np.diff(np.concatenate([starts, [len(key)]]))
+    held = np.repeat(held, held)
+    shared = held > 1
+    key, row, held = key[shared], row[shared], held[shared]
+    order = np.argsort(row, kind="stable")
+    return key[order], row[order], np.minimum(held[order], 2**32 - 1).astype("<u4")
+
+
 def gather(scattered: DataFrame) -> DataFrame:
     """Block by block: documents pass through, and each set gets back its shingles that other sets hold as well, with
     the number of sets that hold them."""
@@ -145,33 +182,26 @@ def gather(scattered: DataFrame) -> DataFrame:
         is_doc = pc.is_null(table["low"])
         docs, rows = table.filter(is_doc), table.filter(pc.invert(is_doc))
         none = pa.nulls(len(docs))
-        kinds = [*[pa.int64()] * 4, pa.int32(), *[pa.binary()] * 3]
+        kinds = [*[pa.int64()] * 3, pa.binary(), pa.int32(), *[pa.binary()] * 3]
         out = pa.table([*(docs[c] for c in names[:4]), *(none.cast(k) for k in kinds[4:])], names=names)
         if not len(rows):
             return out
-        sigs = np.concatenate([np.frombuffer(x.as_buffer(), "<i8") for x in rows["sigs"]])
+        sigs = np.concatenate([np.frombuffer(x.as_buffer(), "<u8") for x in rows["sigs"]]).reshape(-1, 2)
         counts = np.concatenate(
             [
-                np.frombuffer(c.as_buffer(), "u1" if len(c.as_buffer()) == len(s.as_buffer()) // 8 else "<u4").astype(np.int64)
+                np.frombuffer(c.as_buffer(), "u1" if len(c.as_buffer()) == len(s.as_buffer()) // 16 else "<u4").astype(np.int64)
                 for c, s in zip(rows["counts"], rows["sigs"])
             ]
         )
         low = np.concatenate([np.frombuffer(x.as_buffer(), "<u4") for x in rows["low"]]).astype(np.uint64)
         high = np.concatenate([np.frombuffer(x.as_buffer(), "u1") for x in rows["high"]]).astype(np.uint64)
-        sets, number = np.unique(sigs, return_inverse=True)
-        bits = max(1, int(len(sets) - 1).bit_length())
-        if bits > 64 - KEY_BITS:
-            raise ValueError("a block holds too many sets; raise spark.sql.shuffle.partitions")
-        cell = (low | high << np.uint64(32)) << np.uint64(bits) | np.repeat(number, counts).astype(np.uint64)
-        cell = np.unique(cell)  # a set counts once in a column
-        key, row = cell >> np.uint64(bits), (cell & np.uint64((1 << bits) - 1)).astype(np.int64)
-        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        held = np.diff(np.concatenate([starts, [len(key)]]))
-        held = np.repeat(held, held)
-        shared = held > 1
-        key, row, held = key[shared], row[shared], held[shared]
-        order = np.argsort(row, kind="stable")
-        key, row, held = key[order], row[order], np.minimum(held[order], 2**32 - 1).astype("<u4")
+        order = np.lexsort((sigs[:, 1], sigs[:, 0]))
+        sigs = sigs[order]
+        new = np.concatenate([[True], (sigs[1:] != sigs[:-1]).any(axis=1)])
+        number = np.empty(len(order), np.int64)
+        number[order] = np.cumsum(new) - 1
+        sets = sigs[new]
+        key, row, held = shared_cells(low | high << np.uint64(32), np.repeat(number, counts))
         begin = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else np.empty(0, np.int64)
         ends = np.concatenate([begin[1:], [len(row)]]) if len(row) else begin
         low, high = (key & np.uint64(0xFFFFFFFF)).astype("<u4"), (key >> np.uint64(32)).astype("u1")
@@ -186,7 +216,7 @@ def gather(scattered: DataFrame) -> DataFrame:
         n = len(ends)
         found = pa.table(
             [
-                *[pa.nulls(n, pa.int64())] * 3, pa.array(sets[row[begin]], pa.int64()),
+                *[pa.nulls(n, pa.int64())] * 3, pa.array([x.tobytes() for x in sets[row[begin]]], pa.binary()),
                 pa.array(np.full(n, block, np.int32)), cut(low, 4), cut(high, 1), cut(held, 4),
             ],
             names=names,
@@ -208,7 +238,7 @@ def rows_of_interest(gathered: DataFrame, classes: DataFrame, percent: int) -> D
         F.sum(F.octet_length("high")).alias("shared"), F.collect_list(F.struct("block", "low", "high", "held")).alias("parts")
     )
     enough = parts.join(classes.select("sig", "n"), "sig").where(F.col("shared") * 100 >= F.col("n") * percent)
-    kinds = [("sig", pa.int64()), ("n", pa.int64()), ("unique", pa.int64()), ("tokens", pa.list_(pa.int64()))]
+    kinds = [("sig", pa.binary()), ("n", pa.int64()), ("unique", pa.int64()), ("tokens", pa.list_(pa.int64()))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -232,21 +262,24 @@ def rows_of_interest(gathered: DataFrame, classes: DataFrame, percent: int) -> D
                 columns = (piece.column(0), piece.column(1), pa.array(unique, pa.int64()), pa.array(tokens, kinds[3][1]))
                 yield pa.RecordBatch.from_arrays(list(columns), names=[k for k, _ in kinds])
 
-    return enough.select("sig", "n", "parts").mapInArrow(run, "sig long, n long, unique long, tokens array<long>")
+    return enough.select("sig", "n", "parts").mapInArrow(run, "sig binary, n long, unique long, tokens array<long>")
 
 
 def linked(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (u, v) whose rows overlap enough, counted in full."""
+    """Those of the pairs (u, v) whose rows overlap enough, counted in full. A set that stands in very many pairs is
+    copied to several tasks, each with a part of its pairs."""
     left = rows.select(F.col("sig").alias("u"), F.col("n").alias("nu"), F.col("tokens").alias("tu"))
     right = rows.select(F.col("sig").alias("v"), F.col("n").alias("nv"), F.col("tokens").alias("tv"))
-    both = pairs.join(left, "u").join(right, "v")
+    popular = checkpointed(pairs.groupBy("v").count())
+    both = skewed_join(skewed_join(pairs, left, ["u"]), right, ["v"], counts=popular)
     overlap = F.size(F.array_intersect("tu", "tv"))
     return both.where(overlap * (100 + percent) >= percent * (F.col("nu") + F.col("nv"))).select("u", "v")
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """docs with ``row``, a number of its own for every row. docs must be a table that is read the same each time."""
-    return docs.withColumn("row", F.monotonically_increasing_id())
+    """docs with ``row``, a number of its own for every row. What is no table of files is made one first, so that a
+    second pass gives the same numbers."""
+    return as_table(docs).withColumn("row", F.monotonically_increasing_id())
 
 
 def similar_components(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -258,6 +291,7 @@ def similar_components(docs: DataFrame, size: int = WORDS, percent: int = PERCEN
 def deduplicate(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The first document of each component, with docs' own columns. Only the numbers of rows to leave out meet the
     texts again."""
+    docs = as_table(docs)
     own = [F.col(f"`{c}`") for c in docs.columns]
     rows = numbered(docs.select(F.struct(*own).alias("kept"), "doc_id", "text"))
     out = _components(rows.select("row", "doc_id", "text"), size, percent).where("NOT first").select("row")
@@ -265,16 +299,29 @@ def deduplicate(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> D
     return rows.join(out, "row", "left_anti").select("kept.*")
 
 
+def _across(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Every row of ``a`` with every row of ``b`` in the same column. A wide column is cut into squares of
+    ``SQUARE`` by ``SQUARE`` rows, so that no task multiplies out a whole one."""
+    cuts = F.ceil(F.col("width") / F.lit(SQUARE)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), cuts - 1))
+    a = a.withColumn("r", F.pmod(F.xxhash64("u"), cuts).cast("int")).select("*", every.alias("c")).drop("width")
+    b = b.withColumn("c", F.pmod(F.xxhash64("v"), cuts).cast("int")).select("*", every.alias("r")).drop("width")
+    return a.join(b, ["token", "r", "c"])
+
+
 def _components(docs: DataFrame, size: int, percent: int) -> DataFrame:
     spark = docs.sparkSession
-    blocks = partitions(spark)
+    bytes_ = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(partitions(spark), -(-bytes_ // BLOCK_BYTES))
     gathered = stored(gather(scatter(docs, blocks, size)), "shingles")
     release(spark)
     named = gathered.where("low IS NULL").select("row", "doc_id", "n", "sig")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     classes = checkpointed(
-        named.where("sig IS NOT NULL").groupBy("sig").agg(F.min(rank).alias("least"), F.first("n").alias("n"))
-    )
+        named.where("sig IS NOT NULL").groupBy("sig").agg(
+            F.min(rank).alias("least"), F.first("n").alias("n"), F.count(F.lit(1)).alias("copies")
+        )
+    )
     rows = stored(rows_of_interest(gathered, classes, percent), "rows")
 
     # prefixes: ``at`` is a shingle's place in the whole order, ``most`` the overlap that is still possible from there
@@ -291,49 +338,63 @@ def _components(docs: DataFrame, size: int, percent: int) -> DataFrame:
         F.count(F.lit(1)).alias("width"),
     ).where("width > 1")
     bound = F.col("most") * (100 + percent) >= percent * (F.col("n") + F.col("c.n"))
-    met = cells.join(centre, "token").where((F.col("sig") != F.col("c.sig")) & bound)
+    widths = checkpointed(centre)
+    met = skewed_join(cells, widths.drop("width"), ["token"], counts=widths, n="width").where(
+        (F.col("sig") != F.col("c.sig")) & bound
+    )
     votes = met.groupBy("sig", F.col("c.sig").alias("centre")).agg(F.count(F.lit(1)).alias("votes"))
     best = votes.groupBy("sig").agg(F.max(F.struct("votes", "centre")).alias("b"))
-    first = checkpointed(linked(best.select(F.col("sig").alias("u"), F.col("b.centre").alias("v")), rows, percent))
+    nearest = checkpointed(best.select(F.col("sig").alias("u"), F.col("b.centre").alias("v")))
+    first = checkpointed(linked(nearest, rows, percent))
     group = connected_components(first)
 
     # 2. pairs across components that meet in a column, the largest component of a column on one side only
     labelled = cells.join(group.withColumnRenamed("node", "sig"), "sig", "left").withColumn(
         "component", F.coalesce("component", "sig")
     )
-    per = labelled.groupBy("token", "component").agg(F.count(F.lit(1)).alias("here"))
-    mixed_columns = per.groupBy("token").agg(
-        F.count(F.lit(1)).alias("components"), F.max(F.struct("here", "component")).alias("top")
+    per = labelled.groupBy("token", "component").agg(
+        F.count(F.lit(1)).alias("here"), F.sum("most").alias("most"),
+        *(F.sum(F.xxhash64("sig", F.lit(i)).cast("decimal(38,0)")).alias(f"h{i}") for i in range(2)),
+    )
+    columns = per.groupBy("token").agg(
+        F.count(F.lit(1)).alias("components"), F.max(F.struct("here", "component")).alias("top"),
+        F.sum("here").alias("width"), F.sum("most").alias("most"), F.sum("h0").alias("h0"), F.sum("h1").alias("h1"),
     ).where("components > 1")
+    # of columns that hold the same sets (two sums of 64-bit hashes agree) the first in the common order finds all pairs
+    distinct = columns.groupBy("width", "h0", "h1").agg(
+        F.max_by(F.struct("token", "top", "width"), "most").alias("c")
+    ).select("c.token", F.col("c.top.component").alias("top"), "c.width")
+    wide = checkpointed(distinct)
     alive = checkpointed(
-        labelled.join(mixed_columns.select("token", F.col("top.component").alias("top")), "token").select(
-            "token", "sig", "n", "most", "component", (F.col("component") == F.col("top")).alias("in_top")
+        skewed_join(labelled, wide, ["token"], counts=wide, n="width").select(
+            "token", "sig", "n", "most", "component", "width", (F.col("component") == F.col("top")).alias("in_top")
         )
     )
     a = alive.where("NOT in_top").select(
-        "token", F.col("sig").alias("u"), F.col("n").alias("nu"), F.col("most").alias("mu"), F.col("component").alias("cu")
+        "token", "width", F.col("sig").alias("u"), F.col("n").alias("nu"), F.col("most").alias("mu"),
+        F.col("component").alias("cu"),
     )
     b = alive.select(
-        "token", F.col("sig").alias("v"), F.col("n").alias("nv"), F.col("most").alias("mv"),
+        "token", "width", F.col("sig").alias("v"), F.col("n").alias("nv"), F.col("most").alias("mv"),
         F.col("component").alias("cv"), "in_top",
     )
     need = percent * (F.col("nu") + F.col("nv"))
-    across = a.join(b, "token").where(
+    across = _across(a, b).where(
         (F.col("cu") != F.col("cv"))
         & (F.col("in_top") | (F.col("u") < F.col("v")))
         & (F.least("mu", "mv") * (100 + percent) >= need)
     )
-    second = linked(across.select("u", "v").distinct(), rows, percent)
+    second = linked(checkpointed(across.select("u", "v").distinct()), rows, percent)
     edges = checkpointed(first.unionByName(second))
     component = connected_components(edges)
 
     heads = (
         component.join(classes, component["node"] == classes["sig"]).groupBy("component").agg(F.min("least").alias("head"))
     )
-    of_class = classes.join(
-        component.join(heads, "component").select(F.col("node").alias("sig"), "head"), "sig", "left"
-    ).select("sig", F.coalesce("head", "least").alias("head"))
-    out = named.join(of_class, "sig", "left").select(
+    headed = skewed_join(component, heads, ["component"]).select(F.col("node").alias("sig"), "head")
+    of_class = classes.join(headed, "sig", "left").select("sig", F.coalesce("head", "least").alias("head"))
+    joined = skewed_join(named, of_class, ["sig"], "left", classes.select("sig", "copies"), "copies")
+    out = joined.select(
         "row",
         "doc_id",
         F.col("n").alias("n_shingles"),

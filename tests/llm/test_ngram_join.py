@@ -105,3 +105,43 @@ def test_connected_components(spark):
     touched = {x for e in edges if e[0] != e[1] for x in e}
     assert got == {x: want[x] for x in touched}
     assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_recombined_paragraphs(spark, docs_of, table_dir):
+    """Texts from a pool of paragraphs: very many pairs share much, few enough."""
+    rnd = random.Random(11)
+    pool = [" ".join("".join(rnd.choices("abcdefghijklmnop", k=4)) for _ in range(rnd.choice([15, 30]))) for _ in range(12)]
+    texts = [" \n".join(rnd.sample(pool, rnd.choice([2, 3, 4, 5, 6, 9]))) for _ in range(250)]
+    rows = op2_ngram_jaccard_join(spark, table_dir(docs_of(texts).repartition(3))).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == brute(texts)
+
+
+def test_shared_cells():
+    import numpy as np
+
+    rnd = np.random.default_rng(2)
+    for n in (0, 1, 50, 2000):
+        key, row = rnd.integers(0, 60, n).astype(np.uint64), rnd.integers(0, 40, n)
+        packed, plain = (ngram_join.shared_cells(key, row, p) for p in (True, False))
+        assert all((x == y).all() for x, y in zip(packed, plain))
+        cells = set(zip(key.tolist(), row.tolist()))
+        width = {k: sum(k == c[0] for c in cells) for k in {c[0] for c in cells}}
+        assert list(zip(*(x.tolist() for x in plain))) == sorted(
+            ((k, r, width[k]) for k, r in cells if width[k] > 1), key=lambda c: (c[1], c[0])
+        )
+
+
+def test_components_in_rounds_and_at_once(spark):
+    rnd = random.Random(8)
+    edges = [(rnd.randrange(200), rnd.randrange(200)) for _ in range(150)] + [(300, i) for i in range(301, 900)]
+    df = spark.createDataFrame(edges, "u long, v long")
+    at_once, rounds = (sorted(map(tuple, connected_components(df, n).collect())) for n in (10_000, 0))
+    assert at_once == rounds and len(at_once) > 600
+
+
+def test_frames_that_are_no_files(spark, docs_of):
+    """A frame that is dealt out anew each time it is read is written first."""
+    texts = corpus(9)
+    df = docs_of(texts).repartition(5).withColumn("order", __import__("pyspark.sql.functions", fromlist=["x"]).rand())
+    want = sorted({c if n else i for i, (n, c) in brute(texts).items()})
+    assert sorted(r.doc_id for r in ngram_join.deduplicate(df.orderBy("order")).collect()) == want
