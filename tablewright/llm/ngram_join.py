@@ -47,7 +47,7 @@ from .graph import connected_components
 #: Words in a shingle; the least similarity, in hundredths.
 WORDS, PERCENT = 5, 75
 #: Documents and bytes of text hashed at a time.
-SLICE, SLICE_BYTES = 2048, 16 << 20
+SLICE, SLICE_BYTES = 2048, 4 << 20
 #: Bytes of text whose shingles one block may hold.
 BLOCK_BYTES = 64 << 20
 KEY_BITS = 40
@@ -354,13 +354,13 @@ def _components(docs: DataFrame, size: int, percent: int) -> DataFrame:
     )
     per = labelled.groupBy("token", "component").agg(
         F.count(F.lit(1)).alias("here"), F.sum("most").alias("most"),
-        *(F.sum(F.xxhash64("sig", F.lit(i)).cast("decimal(38,0)")).alias(f"h{i}") for i in range(2)),
+        *(F.bit_xor(F.xxhash64("sig", F.lit(i))).alias(f"h{i}") for i in range(2)),
     )
     columns = per.groupBy("token").agg(
         F.count(F.lit(1)).alias("components"), F.max(F.struct("here", "component")).alias("top"),
-        F.sum("here").alias("width"), F.sum("most").alias("most"), F.sum("h0").alias("h0"), F.sum("h1").alias("h1"),
+        F.sum("here").alias("width"), F.sum("most").alias("most"), F.bit_xor("h0").alias("h0"), F.bit_xor("h1").alias("h1"),
     ).where("components > 1")
-    # of columns that hold the same sets (two sums of 64-bit hashes agree) the first in the common order finds all pairs
+    # of columns that hold the same sets (two sums of 64-bit hashes, without carry, agree) the first in the common order finds all pairs
     distinct = columns.groupBy("width", "h0", "h1").agg(
         F.max_by(F.struct("token", "top", "width"), "most").alias("c")
     ).select("c.token", F.col("c.top.component").alias("top"), "c.width")
