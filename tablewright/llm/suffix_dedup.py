@@ -8,25 +8,31 @@ before it. Strings meet where they can be equal, in blocks:
    windows around all others cannot repeat and are settled.
 2. Segments. The bytes of neighbouring windows with one common, repeated anchor form a segment. Equal segments are one
    row with its earliest place; the block of a segment is that of its anchor, so all windows that could be equal are in
-   one block, and a segment that a third of the corpus shares still is one row there.
+   one block, and a segment that a third of the corpus shares still is one row there. Where the text is periodic, a
+   segment that equals the one right before it repeats as a whole and is settled at once. Where more than ``HOT``
+   places have the same anchor, their windows are told apart by 128-bit digests, one row for each different window,
+   instead of meeting in one task.
 3. Suffix sort. In every block the segments form one text whose suffixes are sorted by the difference-cover algorithm
    (``suffix_sort``): sampled triples, recursion on their names, a merge of the rest. Neighbours in that order that agree
-   in LENGTH bytes are the equal strings; all but the earliest of them repeat.
+   in LENGTH bytes are the equal strings; all but the earliest of them repeat. The number of blocks follows the
+   measured bytes of the segments.
 4. Documents. Repeats become intervals of their documents, and what is left is hashed.
 
 A suffix order of the whole corpus would shuffle each byte many times; an order within blocks that hold every
-candidate tells the same equalities. Nothing is decided by hashes but which strings meet: equality is that of bytes
-(only documents that are equal as a whole are recognised by a 128-bit digest, and share one row from the start).
+candidate tells the same equalities. Apart from HOT anchors nothing is decided by hashes but which strings meet:
+equality is that of bytes (documents and segments that are equal as a whole are recognised by 128-bit digests).
 
-Defined results: a null text is empty; a document of less than LENGTH bytes loses nothing; of repeated rows with one
-doc_id the first one read keeps its bytes; null doc_ids come last; extra columns are ignored. ``docs`` must be a table
-that is read the same each time.
+Defined results: a null text is empty; a document of less than LENGTH bytes loses nothing; a very long text is worked
+on in overlapping pieces of ``SLICE_BYTES``; of repeated rows with one doc_id the first one read keeps its bytes; null
+doc_ids come last; an empty table gives an empty result; extra columns are ignored, whatever their names. What is no
+table of files is written first.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +40,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, drop_stored, partitions, release, stored
+from ..functions.skew import skewed_join
+from .common import checkpointed, drop_stored, partitions, release, stored, text_steps
 from .ngram_join import mixed, numbered
 from .suffix_sort import suffix_array
 
@@ -44,6 +51,12 @@ PLACES = LENGTH - GRAM + 1
 #: Bytes of text that are hashed at a time.
 SLICE_BYTES = 1 << 20
 LAST = 2**63 - 1
+#: Places of one anchor from which on their windows are told apart by digests.
+HOT = 2000
+#: Segments handed on at a time.
+STEP_SEGMENTS = 100_000
+#: Bytes of segments that one block may hold.
+BLOCK_BYTES = 4 << 20
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -91,15 +104,22 @@ def anchors(raws: list[bytes]) -> tuple[np.ndarray, ...]:
 def _slices(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
     """Batches cut where SLICE_BYTES of text are reached; one long text is a slice of its own."""
     for batch in batches:
-        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-        at, total = 0, 0
-        for i, n in enumerate(sizes.tolist()):
-            if total and total + n > SLICE_BYTES:
-                yield batch.slice(at, i - at)
-                at, total = i, 0
-            total += n
-        if at < batch.num_rows:
-            yield batch.slice(at)
+        yield from text_steps(batch, column, SLICE_BYTES, batch.num_rows)
+
+
+def pieces_of(raws: list[bytes]) -> Iterator[tuple[list[int], list[int], list[bytes]]]:
+    """Numbers of documents, offsets in them, and bytes, about SLICE_BYTES at a time. A longer document is cut into
+    pieces that overlap by a window less one byte, so each window is in one piece."""
+    group: tuple[list, list, list] = ([], [], [])
+    for i, raw in enumerate(raws):
+        if len(raw) <= 2 * SLICE_BYTES:
+            for column, value in zip(group, (i, 0, raw)):
+                column.append(value)
+            continue
+        for at in range(0, len(raw) - LENGTH + 1, SLICE_BYTES):
+            yield [i], [at], [raw[at : at + SLICE_BYTES + LENGTH - 1]]
+    if group[0]:
+        yield group
 
 
 def _digest(raw: bytes) -> bytes:
@@ -129,44 +149,57 @@ def scatter_anchors(docs: DataFrame, blocks: int) -> DataFrame:
             once = {d: r for d, r in zip(digests, raws) if len(r) >= LENGTH}  # of equal documents one is enough
             if not once:
                 continue
-            hashes, _, places, begins = anchors(list(once.values()))
-            found = hashes[places]
-            owner = np.searchsorted(begins, places, side="right") - 1
-            places = places - begins[owner]
-            block = ((found >> np.uint64(40)) % np.uint64(blocks)).astype(np.int64)
-            order = np.argsort(block, kind="stable")
-            found, places, owner = found[order], places[order].astype("<u4"), owner[order]
             names_of = np.frombuffer(b"".join(once), "V16")
-            low = np.ascontiguousarray(found.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :5]
-            ends = np.cumsum(np.bincount(block, minlength=blocks))
-            rows: list[tuple] = []
-            begin = 0
-            for b, end in enumerate(ends.tolist()):
-                if end > begin:
-                    held, counts = np.unique(owner[begin:end], return_counts=True)
-                    parts = (names_of[held], counts.astype("<u4"), low[begin:end], places[begin:end])
-                    rows.append((b, *(p.tobytes() for p in parts)))
-                begin = end
-            columns = list(zip(*rows))
-            none = [None] * len(rows)
-            columns = [columns[0], *[none] * 4, *columns[1:]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], schema=schema)
+            for group in pieces_of(list(once.values())):
+                yield marks_of(group, names_of)
+
+    def marks_of(group: tuple[list[int], list[int], list[bytes]], names_of: np.ndarray) -> pa.RecordBatch:
+        index, offsets = (np.array(x, np.int64) for x in group[:2])
+        hashes, _, places, begins = anchors(group[2])
+        found = hashes[places]
+        piece = np.searchsorted(begins, places, side="right") - 1
+        owner, places = index[piece], places - begins[piece] + offsets[piece]
+        # two places tell that a document has an anchor more than once, however often it does
+        order = np.lexsort((places, owner, found))
+        found, places, owner = found[order], places[order], owner[order]
+        third = np.zeros(len(found), bool)
+        third[2:] = (found[2:] == found[:-2]) & (owner[2:] == owner[:-2])
+        found, places, owner = found[~third], places[~third], owner[~third]
+        block = ((found >> np.uint64(40)) % np.uint64(blocks)).astype(np.int64)
+        order = np.lexsort((owner, block))
+        found, places, owner = found[order], places[order].astype("<u4"), owner[order]
+        low = np.ascontiguousarray(found.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :5]
+        ends = np.cumsum(np.bincount(block, minlength=blocks))
+        rows: list[tuple] = []
+        begin = 0
+        for b, end in enumerate(ends.tolist()):
+            if end > begin:
+                held, counts = np.unique(owner[begin:end], return_counts=True)
+                parts = (names_of[held], counts.astype("<u4"), low[begin:end], places[begin:end])
+                rows.append((b, *(p.tobytes() for p in parts)))
+            begin = end
+        columns = list(zip(*rows)) or [()] * 5
+        none = [None] * len(rows)
+        columns = [columns[0], *[none] * 4, *columns[1:]]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], schema=schema)
 
     return docs.select("row", F.col("doc_id").cast("long"), "text").mapInArrow(run, MARKS)
 
 
-GATHERED = "row long, doc_id long, digest binary, bytes long, places binary"
+GATHERED = "row long, doc_id long, digest binary, bytes long, anchors binary, hot binary"
 
 
 def gather_anchors(scattered: DataFrame) -> DataFrame:
-    """Documents pass through; each digest gets back the places of its anchors that stand elsewhere as well."""
+    """Documents pass through; each digest gets back (the low 40 bits of) its anchors that stand elsewhere as well, and
+    which of them stand in more than HOT places."""
     names = [x.split()[0] for x in GATHERED.split(", ")]
-    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary()]
+    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary()]
 
     def block_of(table: pa.Table) -> pa.Table:
         is_doc = pc.is_null(table["hashes"])
         docs, rows = table.filter(is_doc), table.filter(pc.invert(is_doc))
-        out = pa.table([*(docs[c] for c in names[:4]), pa.nulls(len(docs), pa.binary())], names=names)
+        none = pa.nulls(len(docs), pa.binary())
+        out = pa.table([*(docs[c] for c in names[:4]), none, none], names=names)
         if not len(rows):
             return out
         joined = lambda c, kind: np.frombuffer(b"".join(x.as_py() for x in rows[c]), kind)
@@ -184,15 +217,21 @@ def gather_anchors(scattered: DataFrame) -> DataFrame:
         hashes, owner, places = hashes[new], owner[new], places[new]
         starts = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
         width = np.diff(np.concatenate([starts, [len(hashes)]]))
-        shared = np.repeat(width, width) > 1
-        owner, places = owner[shared], places[shared]
+        width = np.repeat(width, width)
+        shared = width > 1
+        owner, hashes, hot = owner[shared], hashes[shared], width[shared] > HOT
         order = np.argsort(owner, kind="stable")
-        owner, places = owner[order], places[order]
+        owner, hashes, hot = owner[order], hashes[order], hot[order]
+        new = np.ones(len(owner), bool)
+        new[1:] = (owner[1:] != owner[:-1]) | (hashes[1:] != hashes[:-1])
+        owner, hashes, hot = owner[new], hashes[new], hot[new]
+        low = np.ascontiguousarray(hashes.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :5]
         begin = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else []
         ends = [*begin[1:], len(owner)] if len(owner) else []
         found = [
             [None] * len(ends), [None] * len(ends), [documents[owner[b]].tobytes() for b in begin], [None] * len(ends),
-            [places[b:e].tobytes() for b, e in zip(begin, ends)],
+            [low[b:e].tobytes() for b, e in zip(begin, ends)],
+            [np.packbits(hot[b:e]).tobytes() for b, e in zip(begin, ends)],
         ]
         return pa.concat_tables([out, pa.table([pa.array(c, k) for c, k in zip(found, kinds)], names=names)])
 
@@ -202,14 +241,16 @@ def gather_anchors(scattered: DataFrame) -> DataFrame:
 SEGMENTS = "anchor long, digest binary, row long, doc_id long, at long, starts int, bytes binary"
 
 
-def runs_of_windows(raws: list[bytes], repeated: list[np.ndarray]) -> tuple[np.ndarray, ...]:
-    """(document, first window, number of windows, hash) for each run of windows with a common anchor, of those that
-    each document has ``repeated``, places in it."""
+def runs_of_windows(
+    raws: list[bytes], index: np.ndarray, wanted: np.ndarray, hot: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first window, number of windows, hash, whether it is hot, number of the document) for each run of windows with
+    one of the ``wanted`` anchors in common: sorted numbers of 24 bits of its document and 40 of its hash. ``index``
+    holds the documents' numbers."""
     hashes, least, places, begins = anchors(raws)
     windows = np.flatnonzero(least)
-    if not len(windows):
-        return tuple(np.empty(0, np.int64) for _ in range(4))
-    wanted = np.concatenate([p.astype(np.int64) + b for p, b in zip(repeated, begins.tolist())])
+    if not len(windows) or not len(wanted):
+        return (*(np.empty(0, np.int64) for _ in range(3)), np.empty(0, bool), np.empty(0, np.int64))
     # the first anchor in a window that is its least hash
     k, found, least = np.searchsorted(places, windows), hashes[places], least[windows]
     wrong = np.flatnonzero(found[k] != least)
@@ -220,30 +261,79 @@ def runs_of_windows(raws: list[bytes], repeated: list[np.ndarray]) -> tuple[np.n
     first = np.flatnonzero(new)
     n = np.diff(np.concatenate([first, [len(k)]]))
     own, start = k[first], windows[first]
-    kept = np.isin(places[own], wanted)
-    own, start, n = own[kept], start[kept], n[kept]
-    document = np.searchsorted(begins, start, side="right") - 1
-    return document, start - begins[document], n, found[own].astype(np.int64)
+    piece = np.searchsorted(begins, start, side="right") - 1
+    key = index[piece].astype(np.uint64) << np.uint64(40) | found[own] & np.uint64((1 << 40) - 1)
+    at = np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)
+    kept = wanted[at] == key
+    own, start, n, at, piece = own[kept], start[kept], n[kept], at[kept], piece[kept]
+    return start, n, found[own].astype(np.int64), hot[at], piece
+
+
+def periodic(text: np.ndarray, start: np.ndarray, n: np.ndarray, hashes: np.ndarray, piece: np.ndarray) -> np.ndarray:
+    """Which runs of windows equal the one right before them, byte for byte, so that all their windows also start
+    earlier. Such runs follow each other where a text has a period; each stretch of them is compared once."""
+    out = np.zeros(len(start), bool)
+    like = np.zeros(len(start), bool)
+    like[1:] = (start[1:] == start[:-1] + n[:-1]) & (n[1:] == n[:-1]) & (hashes[1:] == hashes[:-1]) & (piece[1:] == piece[:-1])
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], like.astype(np.int8), [0]])))
+    for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()):
+        period, low, high = int(n[a]), int(start[a]), int(start[b - 1] + n[b - 1]) + LENGTH - 1
+        wrong = np.flatnonzero(text[low:high] != text[low - period : high - period]) + low
+        # the first difference at or after a run's begin must lie behind its last window
+        next_ = np.concatenate([wrong, [high]])[np.searchsorted(wrong, start[a:b])]
+        out[a:b] = next_ >= start[a:b] + n[a:b] + LENGTH - 1
+    return out
 
 
 def segments(rows: DataFrame) -> DataFrame:
-    """From (row, doc_id, text, parts), parts being lists of anchors' places, one row for each run of windows that
-    have such an anchor in common."""
+    """From (row, doc_id, text, parts), parts being lists of anchors with their hot flags, one row for each run
+    of windows that have such an anchor in common. Runs that repeat the one before are one row for all of a stretch,
+    without digest; windows of hot anchors have a row each, without anchor and bytes."""
     names = [x.split()[0] for x in SEGMENTS.split(", ")]
     kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
 
+    def group_rows(group, wanted, hot, rows, doc_ids) -> Iterator[tuple]:
+        index, offsets, raws = group
+        begins = np.cumsum([0, *map(len, raws)])
+        start, n, hashes, is_hot, piece = runs_of_windows(raws, np.array(index, np.int64), wanted, hot)
+        if not len(start):
+            return
+        whole = b"".join(raws)
+        settled = periodic(np.frombuffer(whole, np.uint8), start, n, hashes, piece)
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], settled.astype(np.int8), [0]])))
+        stretches = [(int(start[a]), int(start[b - 1] + n[b - 1] - start[a]), piece[a]) for a, b in zip(edges[::2], edges[1::2])]
+        place = lambda s, p: int(s) - int(begins[p]) + offsets[p]
+        for s, count, p in stretches:
+            yield None, None, rows[index[p]], doc_ids[index[p]], place(s, p), count, None
+        left = ~settled
+        columns = (x[left].tolist() for x in (start, n, hashes, is_hot, piece))
+        for s, count, h, heavy, p in zip(*columns):
+            r, d = rows[index[p]], doc_ids[index[p]]
+            if heavy:
+                for w in range(s, s + count):
+                    yield None, _digest(whole[w : w + LENGTH]), r, d, place(w, p), 1, None
+            else:
+                body = whole[s : s + count + LENGTH - 1]
+                yield h, _digest(body), r, d, place(s, p), count, body
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _slices(batches, 2):
             rows, doc_ids, texts, parts = (part.column(i).to_pylist() for i in range(4))
             raws = [t.encode() for t in texts]
-            repeated = [np.concatenate([np.frombuffer(p, "<u4") for p in ps]) for ps in parts]
-            document, begins, n, hashes = runs_of_windows(raws, repeated)
-            document = document.tolist()
-            bodies = [raws[d][b : b + k + LENGTH - 1] for d, b, k in zip(document, begins.tolist(), n.tolist())]
-            if bodies:
-                of = [[c[d] for d in document] for c in (rows, doc_ids)]
-                listed = [hashes, [_digest(b) for b in bodies], *of, begins, n, bodies]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(listed, kinds)], names=names)
+            wanted, flags = [], []
+            for i, ps in enumerate(parts):
+                low = np.frombuffer(b"".join(p["anchors"] for p in ps), np.uint8).reshape(-1, 5)
+                own = np.zeros((len(low), 8), np.uint8)
+                own[:, :5] = low
+                wanted.append(own.view("<u8")[:, 0] | np.uint64(i << 40))
+                flags += [np.unpackbits(np.frombuffer(p["hot"], np.uint8), count=len(p["anchors"]) // 5) for p in ps]
+            wanted, flags = np.concatenate(wanted), np.concatenate(flags).astype(bool)
+            order = np.argsort(wanted)
+            wanted, flags = wanted[order], flags[order]
+            for group in pieces_of(raws):
+                listed = group_rows(group, wanted, flags, rows, doc_ids)
+                while some := list(islice(listed, STEP_SEGMENTS)):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*some), kinds)], names=names)
 
     return rows.mapInArrow(run, SEGMENTS)
 
@@ -284,11 +374,11 @@ def repeats_in(bodies: list[bytes], order: list[tuple]) -> list[bytes]:
     ]
 
 
-SORTED = "digest binary, row long, doc_id long, at long, repeats binary"
+SORTED = "digest binary, row long, doc_id long, at long, n long, repeats binary"
 
 
 def sorted_blocks(distinct: DataFrame, blocks: int) -> DataFrame:
-    """``distinct``: (anchor, digest, bytes, doc_id, row, at), the earliest place of every different segment.
+    """``distinct``: (anchor, digest, bytes, doc_id, row, at, n), the earliest place of every different segment.
 
     Windows of one segment are never equal, for their common anchor stands at another place in each. So a segment that
     shares its anchor with no other has no repeats to look for (NULL), and all others of a block are sorted together."""
@@ -305,7 +395,7 @@ def sorted_blocks(distinct: DataFrame, blocks: int) -> DataFrame:
             for i, bits in zip(chosen.tolist(), repeats_in(some["bytes"].to_pylist(), keys)):
                 out[i] = bits
         return pa.table(
-            [table["digest"], table["row"], table["doc_id"], table["at"], pa.array(out, pa.binary())],
+            [*(table[c] for c in ("digest", "row", "doc_id", "at", "n")), pa.array(out, pa.binary())],
             names=[x.split()[0] for x in SORTED.split(", ")],
         )
 
@@ -330,32 +420,46 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     blocks = partitions(spark)
     gathered = stored(gather_anchors(scatter_anchors(docs, blocks)), "anchors")
     release(spark)
-    rows = gathered.where("places IS NULL").select("row", "doc_id", "digest", "bytes")
+    rows = gathered.where("anchors IS NULL").select("row", "doc_id", "digest", "bytes")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
-    heads = checkpointed(rows.groupBy("digest").agg(F.min(rank).alias("least")))
+    heads = checkpointed(rows.groupBy("digest").agg(F.min(rank).alias("least"), F.count(F.lit(1)).alias("copies")))
     named = checkpointed(
-        rows.join(heads, "digest").select("row", "doc_id", "bytes", (F.col("least.row") != F.col("row")).alias("copy"))
+        skewed_join(rows, heads, ["digest"], counts=heads, n="copies").select(
+            "row", "doc_id", "bytes", (F.col("least.row") != F.col("row")).alias("copy")
+        )
+    )
+    marked = gathered.where("anchors IS NOT NULL").groupBy("digest").agg(
+        F.collect_list(F.struct("anchors", "hot")).alias("parts")
     )
-    marked = gathered.where("places IS NOT NULL").groupBy("digest").agg(F.collect_list("places").alias("parts"))
     wanted = marked.join(heads, "digest").select(F.col("least.row").alias("row"), "parts")
     texts = docs.select("row", F.col("doc_id").cast("long"), "text").join(wanted, "row")
     pieces = stored(segments(texts.select("row", "doc_id", "text", "parts")), "segments", "zstd")
     drop_stored(gathered)
     del texts, wanted, marked
     release(spark)
-    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "at")
-    distinct = pieces.groupBy("digest").agg(
-        F.first("anchor").alias("anchor"), F.first("bytes").alias("bytes"), F.min(first).alias("f")
-    ).select("anchor", "digest", "bytes", "f.doc_id", "f.row", "f.at")
-    found = stored(sorted_blocks(distinct, blocks * 4), "repeats")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "at")).alias("f")
+    n = F.count(F.lit(1)).alias("n")
+    held = pieces.where("bytes IS NOT NULL")
+    size = held.agg(F.sum(F.col("starts") + (LENGTH - 1))).first()[0] or 0
+    distinct = held.groupBy("digest").agg(
+        F.first("anchor").alias("anchor"), F.first("bytes").alias("bytes"), first, n
+    ).select("anchor", "digest", "bytes", "f.doc_id", "f.row", "f.at", "n")
+    sorted_ = sorted_blocks(distinct, max(blocks * 4, -(-size // BLOCK_BYTES)))
+    single = pieces.where("digest IS NOT NULL AND bytes IS NULL").groupBy("digest").agg(first, n)
+    alone = single.select("digest", "f.row", "f.doc_id", "f.at", "n", F.lit(None).cast("binary").alias("repeats"))
+    found = stored(sorted_.unionByName(alone), "repeats")
     release(spark)
     judged = found.select("digest", F.col("row").alias("row0"), F.col("at").alias("at0"), "repeats")
     head = (F.col("row") == F.col("row0")) & (F.col("at") == F.col("at0"))
     # every segment but the earliest of its kind repeats as a whole (no bit map)
-    hits = pieces.select("digest", "row", "at", "starts").join(judged, "digest").where(
+    known = pieces.where("digest IS NOT NULL").select("digest", "row", "at", "starts")
+    hits = skewed_join(known, judged, ["digest"], counts=found.select("digest", "n"), n="n").where(
         ~head | F.col("repeats").isNotNull()
     ).select("row", F.struct("at", "starts", F.when(head, F.col("repeats")).alias("repeats")).alias("p"))
-    parts = stored(hits.groupBy("row").agg(F.collect_list("p").alias("parts")), "parts", "zstd")
+    settled = pieces.where("digest IS NULL").select(
+        "row", F.struct("at", "starts", F.lit(None).cast("binary").alias("repeats")).alias("p")
+    )
+    parts = stored(hits.unionByName(settled).groupBy("row").agg(F.collect_list("p").alias("parts")), "parts", "zstd")
     drop_stored(pieces, found)
     release(spark)
     return parts, named

@@ -95,3 +95,48 @@ def test_empty_null_ids_and_extra_columns(spark, docs_of, table_dir):
     path = table_dir(df)
     out = op4_suffix_array_dedup(spark, path).collect()
     assert sorted((str(r.doc_id), r.n_removed) for r in out) == [("4", 0), ("4", 150), ("9", 150), ("None", 150)]
+
+
+def test_periodic_and_very_long_texts(spark, docs_of, table_dir, monkeypatch):
+    """Runs, periods of all lengths, and one text in several pieces."""
+    rnd = random.Random(4)
+    prose = lambda n: "".join(rnd.choices("abcdefgh ", k=n))
+    texts = [prose(30) + prose(p) * (700 // p) + prose(40) for p in (1, 2, 3, 7, 20, 47, 48, 52, 53, 54, 60, 99, 100, 130)]
+    texts += ["a" * 500, "b" + "a" * 300 + "b", "ab" * 200 + "ba" * 100, "x" * 250 + "y" + "x" * 250]
+    long = "".join(prose(rnd.choice([60, 200])) + rnd.choice([texts[3], "z" * 400, "", ""]) for _ in range(300))
+    rows = op4_suffix_array_dedup(spark, table_dir(docs_of([*texts, long, long[100:5000]]))).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows} == brute([*texts, long, long[100:5000]])
+
+
+def test_pieces_of_long_documents():
+    rnd = random.Random(5)
+    raws = [bytes(rnd.choices(b"abc", k=n)) for n in (10, 3 * d.SLICE_BYTES, 500)]
+    groups = list(d.pieces_of(raws))
+    assert sorted({i for g in groups for i in g[0]}) == [0, 1, 2]
+    windows = {(i, o + k) for g in groups for i, o, raw in zip(*g) for k in range(max(0, len(raw) - d.LENGTH + 1))}
+    assert windows == {(i, k) for i, raw in enumerate(raws) for k in range(max(0, len(raw) - d.LENGTH + 1))}
+    assert all(raws[i][o : o + len(raw)] == raw for g in groups for i, o, raw in zip(*g))
+
+
+def test_periodic_runs_are_settled():
+    for text in ("q" * 3000, "abcde" * 600, "k" * 500 + "l" + "k" * 500):
+        raw = text.encode()
+        hashes, _, places, _ = d.anchors([raw])
+        wanted = np.unique(hashes[places] & np.uint64((1 << 40) - 1))
+        runs = d.runs_of_windows([raw], np.zeros(1, np.int64), wanted, np.zeros(len(wanted), bool))
+        settled = d.periodic(np.frombuffer(raw, np.uint8), *runs[:3], runs[4])
+        assert settled.sum() > 0.8 * len(settled) and not settled[0]
+        for i in np.flatnonzero(settled).tolist():
+            at, n = int(runs[0][i]), int(runs[1][i])
+            assert raw[at : at + n + 99] == raw[at - n : at + 99]
+
+
+def test_hot_anchors(spark, docs_of, table_dir):
+    """A passage in more documents than HOT, with other words around it each time."""
+    rnd = random.Random(6)
+    word = lambda: "".join(rnd.choices("abcdefgh", k=5))
+    passage = " ".join(word() for _ in range(25))
+    cuts = [rnd.randint(0, 20) for _ in range(d.HOT + 300)]
+    texts = [f"{word()} {word()} {passage[c:]} {word()}{word()}" for c in cuts]
+    rows = op4_suffix_array_dedup(spark, table_dir(docs_of(texts))).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows} == brute(texts)
