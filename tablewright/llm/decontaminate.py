@@ -7,23 +7,27 @@ piece points to is verified with Myers' bit-parallel edit distance over the item
 ``LEAST`` characters is one piece that must stand in the passage unchanged and between word boundaries; in scripts that
 put no space between words, every place between two characters is one.
 
-Items are few against the documents. They travel with the tasks only in blocks of a measured size (``BLOCK_BYTES``);
-a larger benchmark is matched block by block, one pass over the documents each. Documents never move.
+Items are few against the documents. They travel to the executors in broadcast blocks of a measured size
+(``BLOCK_BYTES``), and the documents are read once, whatever the number of blocks. Documents never move.
 
-Defined results: null and empty texts and items, and items without a letter or digit, match nothing; equal items are all reported; a repeated document is
-judged each time it stands there; of equally close passages the first is reported; extra columns pass through.
+Defined results: null and empty texts and items, and items without a letter or digit, match nothing; texts may be of any
+length; equal items are all reported; a repeated document is judged each time it stands there; of equally close passages
+the first is reported; an empty table gives an empty result, an empty benchmark finds nothing; extra columns pass through
+``decontaminate``, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import STEP_ROWS
+from .common import free_name, text_steps
 
 #: Edits allowed for each hundred characters of an item.
 BUDGET = 8
@@ -31,6 +35,8 @@ BUDGET = 8
 #: would match them.
 LEAST = 25
 BLOCK_BYTES = 4 << 20
+#: Bytes of documents for which the automaton of a block is built, where there are several blocks.
+HELD_BYTES = 64 << 20
 GAP = re.compile(r"[\W_]+")
 RUN = re.compile(r"[^\W_]+")
 #: Letters of scripts written without spaces: Thai, Lao, Myanmar, Khmer, kana, Han.
@@ -165,28 +171,61 @@ def original(text: str, begin: int, end: int) -> tuple[int, int]:
     return first if first is not None else 0, last if last is not None else len(text)
 
 
-def blocks_of(benchmark: DataFrame, item: str, text: str, block_bytes: int) -> Iterator[list[tuple[int, str]]]:
-    """The normalised items in blocks of a bounded size."""
+def blocks_of(benchmark: DataFrame, item: str, text: str, block_bytes: int) -> list:
+    """The normalised items in blocks of a bounded size. Each goes from the driver into a broadcast file and is dropped
+    there, so the driver holds one block at a time."""
     rows = benchmark.select(F.col(item).alias("i"), F.col(text).alias("t")).where("t is not null")
     total = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n = -(-total // block_bytes)
+    out = []
     for k in range(n):
         here = rows if n == 1 else rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k)
         items = [(r.i, normal(r.t)) for r in here.collect()]
         if items := [(i, t) for i, t in items if t]:
-            yield sorted(items, key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+            items.sort(key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+            held = benchmark.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, items))
+            if n > 1:
+                del held._value  # read from the file again if it is ever asked for
+            out.append(held)
+    return out
 
 
 _MATCHERS: dict[tuple, Matcher] = {}
 
 
-def _matcher(items: list[tuple[int, str]], budget: int) -> Matcher:
+def _matcher(block, budget: int) -> Matcher:
     """This worker's automaton for a block; only the latest is kept."""
-    key = (budget, hash(tuple(items)))
-    if key not in _MATCHERS:
+    name, items = block.value
+    if (name, budget) not in _MATCHERS:
         _MATCHERS.clear()
-        _MATCHERS[key] = Matcher(items, budget)
-    return _MATCHERS[key]
+        _MATCHERS[name, budget] = Matcher(items, budget)
+    return _MATCHERS[name, budget]
+
+
+def _held(batches: Iterator[pa.RecordBatch], column: int, blocks: int) -> Iterator[list[pa.RecordBatch]]:
+    """Documents that are matched with one block after the other: a step at a time for one block, else so many bytes
+    that an automaton is worth building for them."""
+    held, total = [], 0
+    for batch in batches:
+        for part in text_steps(batch, column):
+            held.append(part)
+            total += pc.sum(pc.binary_length(part.column(column))).as_py() or 0
+            if blocks < 2 or total >= HELD_BYTES:
+                yield held
+                held, total = [], 0
+    if held:
+        yield held
+
+
+def _found(parts: list[pa.RecordBatch], column: int, blocks: list, budget: int) -> Iterator[tuple[int, int, Matcher, str, tuple]]:
+    """(part, row, matcher, text, finding) for all documents of the parts and all blocks."""
+    for block in blocks:
+        matcher = _matcher(block, budget)
+        for k, part in enumerate(parts):
+            for i, x in enumerate(part.column(column)):
+                if text := x.as_py():
+                    for finding in matcher.find(normal(text)):
+                        yield k, i, matcher, text, finding
 
 
 def find_contamination(
@@ -194,27 +233,20 @@ def find_contamination(
 ) -> DataFrame:
     """One row for each document and item found in it: doc_id, item_id, start, end (code points), distance."""
     ddl = "doc_id long, item_id long, start long, end long, distance int"
-    spark, out = docs.sparkSession, None
-    for items in blocks_of(benchmark, "item_id", "text", block_bytes):
-
-        def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
-            matcher = _matcher(items, budget)
-            for batch in batches:
-                rows = []
-                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                    if text := text.as_py():
-                        for n, begin, end, distance in matcher.find(normal(text)):
-                            rows.append((doc_id, items[n][0], *original(text, begin, end), distance))
-                if rows:
-                    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
-                    columns = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
-                    yield pa.RecordBatch.from_arrays(
-                        columns, names=["doc_id", "item_id", "start", "end", "distance"]
-                    )
-
-        found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, ddl)
-        out = found if out is None else out.unionByName(found)
-    return out if out is not None else spark.createDataFrame([], ddl)
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
+    blocks = blocks_of(benchmark, "item_id", "text", block_bytes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for parts in _held(batches, 1, len(blocks)):
+            rows = []
+            for k, i, matcher, text, (n, begin, end, distance) in _found(parts, 1, blocks, budget):
+                place = original(text, begin, end)
+                rows.append((parts[k].column(0)[i].as_py(), matcher.items[n][0], *place, distance))
+            if rows:
+                columns = [pa.array(c, kind) for c, kind in zip(zip(*rows), kinds)]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "item_id", "start", "end", "distance"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, ddl)
 
 
 def decontaminate(
@@ -222,18 +254,15 @@ def decontaminate(
 ) -> DataFrame:
     """The documents that hold no test item, with their own columns."""
     names, schema = docs.columns, docs.schema
-    for items in blocks_of(benchmark, "item_id", "text", block_bytes):
-
-        def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
-            matcher = _matcher(items, budget)
-            for batch in batches:
-                for at in range(0, batch.num_rows, STEP_ROWS):
-                    part = batch.slice(at, STEP_ROWS)
-                    texts = part.column(len(names))
-                    clean = [not (t := x.as_py()) or not matcher.find(normal(t)) for x in texts]
-                    part = part.filter(pa.array(clean))
-                    if part.num_rows:
-                        yield pa.RecordBatch.from_arrays(part.columns[:-1], names=names)
-
-        docs = docs.select(*(F.col(f"`{c}`") for c in names), F.col("text").alias("__text")).mapInArrow(run, schema)
-    return docs
+    blocks = blocks_of(benchmark, "item_id", "text", block_bytes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for parts in _held(batches, len(names), len(blocks)):
+            hit = {(k, i) for k, i, *_ in _found(parts, len(names), blocks, budget)}
+            for k, part in enumerate(parts):
+                part = part.filter(pa.array([(k, i) not in hit for i in range(part.num_rows)], pa.bool_()))
+                if part.num_rows:
+                    yield pa.RecordBatch.from_arrays(part.columns[:-1], names=names)
+
+    own = [F.col(f"`{c}`") for c in names]
+    return docs.select(*own, F.col("text").alias(free_name(docs, "__text"))).mapInArrow(run, schema)

@@ -6,14 +6,16 @@ address is stored once. Below ``path`` the store holds three Parquet tables:
 
 ``chunks``    chunk_id, n_ids, payload (the ids, little-endian, 16 bits each if the vocabulary allows it, else 32)
 ``recipes``   in ascending doc_id order: doc_id, start, n_tokens, the document's chunk ids, their sizes, Merkle root
-``manifest``  one row for each partition of recipes: Merkle root over its documents, number of documents and tokens
+``manifest``  one row for each partition of recipes: Merkle root over its documents (a tree over the trees of blocks of
+              documents), number of documents and tokens
 
 Reading verifies: every payload must hash to its address, every recipe (chunk ids and sizes) to its root, every partition
 (roots, starts, numbers of tokens) to the manifest; every chunk that a recipe names must be there once and as long as the
 recipe says, and the sizes must add up to the document's tokens. Whatever does not hold raises an error.
 
-Defined results: a null or empty text is the end id alone; repeated rows get a recipe each; an empty table gives an
-empty store. A chunk is never longer than ``MOST`` ids, a recipe is as long as its document needs.
+Defined results: a null or empty text is the end id alone; repeated rows get a recipe each, rows with one doc_id or none
+stand together in any order; an empty table gives an empty store; extra columns are ignored, whatever their names. A
+chunk is never longer than ``MOST`` ids, a recipe is as long as its document needs.
 """
 
 from __future__ import annotations
@@ -26,8 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.skew import skewed_join
 from . import tokens
-from .common import drop_stored, partitions, sorted_with_offsets, stored
+from .common import checkpointed, drop_stored, extended, partitions, release, sorted_with_offsets, stored
 
 #: Ids under the rolling window, and the least, usual and largest number of ids in a chunk.
 WINDOW, LEAST, MASK, MOST = 16, 128, 511, 2048
@@ -162,6 +165,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str | None = None, end_id
     recipes.write.option("compression", "zstd").parquet(f"{path}/recipes")
     manifest(docs.sparkSession, path).write.parquet(f"{path}/manifest")
     drop_stored(encoded)
+    release(docs.sparkSession)
     return total
 
 
@@ -186,26 +190,19 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
     found = blocks.groupBy("part", "block").applyInArrow(
         roots, "part int, block long, root binary, n_docs long, n_tokens long"
     )
-    joined = F.array_join(
-        F.transform(F.sort_array(F.collect_list(F.struct("block", "root"))), lambda b: F.hex(b["root"])), ""
-    )
-    return found.groupBy("part").agg(
-        F.sha2(joined, 256).alias("root"), F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")
-    )
+    def tree(rows: pa.Table) -> pa.Table:
+        listed = sorted(zip(*(rows[c].to_pylist() for c in ("block", "root"))))
+        totals = {c: pa.array([sum(rows[c].to_pylist())], pa.int64()) for c in ("n_docs", "n_tokens")}
+        root = merkle_root([r for _, r in listed])
+        return pa.table({"part": rows["part"][:1], "root": pa.array([root], pa.binary()), **totals})
+
+    return found.groupBy("part").applyInArrow(tree, "part int, root binary, n_docs long, n_tokens long")
 
 
 def _fail(message: str):
     return F.raise_error(F.lit(message))
 
 
-def verified_chunks(spark: SparkSession, path: str) -> DataFrame:
-    """The chunks; reading one whose bytes do not hash to its address raises an error."""
-    ok = F.hex("chunk_id") == F.upper(F.sha2("payload", 256))
-    return spark.read.parquet(f"{path}/chunks").withColumn(
-        "payload", F.when(ok, F.col("payload")).otherwise(_fail("a chunk does not match its address").cast("binary"))
-    )
-
-
 def verified_recipes(spark: SparkSession, path: str) -> DataFrame:
     """The recipes; one whose chunk list does not give its root raises an error, and so does a partition that the
     manifest does not know in this form."""
@@ -226,116 +223,76 @@ def verified_recipes(spark: SparkSession, path: str) -> DataFrame:
     return recipes.mapInArrow(check, recipes.schema)
 
 
-def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Reconstructs every document: doc_id, start, n_tokens, ids (little-endian, as wide as stored)."""
-    n, stored_n = F.col("n"), F.col("n_ids")
-    right = stored_n.eqNullSafe(n) & F.octet_length("payload").isin(2 * n, 4 * n)
-    payload = F.when(stored_n.isNull(), _fail("a chunk is missing").cast("binary")).when(right, F.col("payload"))
-    parts = _parts(spark, path).join(verified_chunks(spark, path), "chunk_id", "left").withColumn(
-        "payload", payload.otherwise(_fail("a chunk is not as long as its recipe says").cast("binary"))
+def _contents(spark: SparkSession, path: str, result, ddl: str) -> DataFrame:
+    """(root, *result) for each different document, put together from its chunks: ``result`` makes of its ids (their
+    bytes as stored, and how many there are) what ``ddl`` names. Equal documents have one root and are put together once; chunks that very many
+    documents share are dealt out over several tasks."""
+    kinds = extended(spark.createDataFrame([], "root binary"), *((x.split()[0], x.split()[1]) for x in ddl.split(", ")))
+    recipes = verified_recipes(spark, path).select("root", "chunk_ids", "sizes").dropDuplicates(["root"])
+    parts = recipes.select("root", F.posexplode(F.arrays_zip("chunk_ids", "sizes"))).select(
+        "root", "pos", F.col("col.chunk_ids").alias("chunk_id"), F.col("col.sizes").alias("n")
     )
-    whole = F.aggregate(
-        F.sort_array(F.collect_list(F.struct("pos", "payload"))), F.lit(b""), lambda a, p: F.concat(a, p["payload"])
-    )
-    ids = F.when(F.sum("n") == F.first("n_tokens"), whole)
-    return parts.groupBy("start").agg(
-        F.first("doc_id").alias("doc_id"),
-        F.first("n_tokens").alias("n_tokens"),
-        ids.otherwise(_fail("chunks do not add up to their document").cast("binary")).alias("ids"),
-    ).select("doc_id", "start", "n_tokens", "ids")
-
-
-def _parts(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each chunk that a verified recipe names: doc_id, start, n_tokens, pos, chunk_id, n."""
-    listed = verified_recipes(spark, path).select(
-        "doc_id", "start", "n_tokens", F.posexplode(F.arrays_zip("chunk_ids", "sizes"))
-    )
-    return listed.select(
-        "doc_id", "start", "n_tokens", "pos", F.col("col.chunk_ids").alias("chunk_id"), F.col("col.sizes").alias("n")
-    )
-
-
-def shift_tables():
-    """For every chunk size, the linear map that so many zero ids apply to a crc32: the images of its 32 bits."""
-    import numpy as np
-
-    zeros = bytes(4 * MOST)
-    out = np.zeros((MOST + 1, 32), np.uint32)
-    for n in range(MOST + 1):
-        none = zlib.crc32(zeros[: 4 * n])
-        out[n] = [zlib.crc32(zeros[: 4 * n], 1 << bit) ^ none for bit in range(32)]
-    return out
+    # counted in the files as they are: this only decides how the join is dealt out
+    listed = spark.read.parquet(f"{path}/recipes").select("root", "chunk_ids").dropDuplicates(["root"])
+    uses = checkpointed(listed.select(F.explode("chunk_ids").alias("chunk_id")).groupBy("chunk_id").count())
+    chunks = spark.read.parquet(f"{path}/chunks").select("chunk_id", "n_ids", "payload")
+    joined = skewed_join(parts, chunks, ["chunk_id"], "left", uses)
+    whole = joined.groupBy("root").agg(F.collect_list(F.struct("pos", "chunk_id", "n", "n_ids", "payload")).alias("parts"))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        checked: set[bytes] = set()
+        for batch in batches:
+            for at in range(0, batch.num_rows, GROUP):
+                part = batch.slice(at, GROUP)
+                roots, values = part.column(0), []
+                lists = part.column(1)
+                offsets = lists.offsets.to_pylist()
+                fields = [lists.values.field(k).to_pylist() for k in range(5)]
+                for begin, end in zip(offsets, offsets[1:]):
+                    rows = sorted(zip(*(f[begin:end] for f in fields)))
+                    for _, name, n, n_ids, payload in rows:
+                        if payload is None:
+                            raise ValueError("a chunk is missing")
+                        if n != n_ids or len(payload) not in (2 * n, 4 * n):
+                            raise ValueError("a chunk is not as long as its recipe says")
+                        if name not in checked:
+                            if hashlib.sha256(payload).digest() != name:
+                                raise ValueError("a chunk does not match its address")
+                            checked.add(name)
+                    values.append(result(b"".join(r[4] for r in rows), sum(r[2] for r in rows)))
+                if len(checked) > MET:
+                    checked.clear()
+                columns = [pa.array(c) for c in zip(*values)]
+                yield pa.RecordBatch.from_arrays([roots, *columns], names=kinds.names)
+
+    return whole.mapInArrow(run, kinds)
+
+
+def _of_documents(spark: SparkSession, path: str, contents: DataFrame, column: str) -> DataFrame:
+    """doc_id, start, n_tokens of every document with a column of its contents."""
+    recipes = spark.read.parquet(f"{path}/recipes").select("doc_id", "start", "n_tokens", "root")
+    rows = skewed_join(recipes, contents, ["root"], "left", checkpointed(recipes.groupBy("root").count()))
+    kind = rows.schema[column].dataType
+    right = F.when(F.col("n").eqNullSafe(F.col("n_tokens")), F.col(column))
+    return rows.select(
+        "doc_id", "start", "n_tokens",
+        right.otherwise(_fail("chunks do not add up to their document").cast(kind)).alias(column),
+    )
 
-def joined_crcs(crcs, sizes, offsets, tables):
-    """The crc32 of concatenations, from the crc32 and number of ids of their parts: concatenation i has the parts
-    ``offsets[i]`` to ``offsets[i + 1]``. All concatenations go forward together, a part at a time."""
-    import numpy as np
 
-    counts = np.diff(offsets)
-    out = np.zeros(len(counts), np.uint32)
-    order = np.argsort(-counts, kind="stable")
-    for k in range(int(counts.max(initial=0))):
-        order = order[: np.searchsorted(-counts[order], -k)]  # those with more than k parts
-        at = offsets[order] + k
-        table, now, moved = tables[sizes[at]], out[order], np.zeros(len(order), np.uint32)
-        for bit in range(32):
-            moved ^= table[:, bit] * (now >> np.uint32(bit) & np.uint32(1))
-        out[order] = moved ^ crcs[at]
-    return out
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
+    """Reconstructs every document: doc_id, start, n_tokens, ids (little-endian, as wide as stored)."""
+    contents = _contents(spark, path, lambda ids, n: (ids, n), "ids binary, n long")
+    return _of_documents(spark, path, contents, "ids")
 
 
 def digests(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of every document, from the files. Each stored payload is read and
-    verified once; only its crc32 travels to the recipes that name it, and crc32s of parts join into that of the
-    whole, so copies of a chunk cost no bytes."""
+    """doc_id, start, n_tokens and ids_crc32 of every document, from the files: each different document is put together
+    from its chunks, and the crc32 is that of its ids as little-endian unsigned 32-bit integers."""
 
-    def crcs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def crc(ids: bytes, n: int) -> tuple[int, int]:
         import numpy as np
 
-        for batch in batches:
-            values = []
-            for name, n, payload in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                if hashlib.sha256(payload).digest() != name:
-                    raise ValueError("a chunk does not match its address")
-                if n <= 0 or len(payload) not in (2 * n, 4 * n):
-                    raise ValueError("a chunk is not as long as it says")
-                ids = np.frombuffer(payload, f"<u{len(payload) // n}")
-                values.append(zlib.crc32(ids.astype("<u4").tobytes()))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(values, pa.int64()), batch.column(1)], names=["chunk_id", "crc", "n_ids"]
-            )
-
-    chunks = spark.read.parquet(f"{path}/chunks").select("chunk_id", "n_ids", "payload").mapInArrow(
-        crcs, "chunk_id binary, crc long, n_ids int"
-    )
-    whole = _parts(spark, path).join(chunks, "chunk_id", "left").groupBy("start").agg(
-        F.first("doc_id").alias("doc_id"),
-        F.first("n_tokens").alias("n_tokens"),
-        F.sort_array(F.collect_list(F.struct("pos", "crc", "n", "n_ids"))).alias("parts"),
-    )
-
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
+        return zlib.crc32(ids if len(ids) == 4 * n else np.frombuffer(ids, "<u2").astype("<u4")), n
 
-        tables = shift_tables()
-        for batch in batches:
-            parts = batch.column(3)
-            offsets = np.asarray(parts.offsets, np.int64)
-            if parts.values.field(1).null_count:
-                raise ValueError("a chunk is missing")
-            crcs, sizes, stored_n = (np.asarray(parts.values.field(k)) for k in (1, 2, 3))
-            if (sizes != stored_n).any():
-                raise ValueError("a chunk is not as long as its recipe says")
-            upto = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
-            if (upto[offsets[1:]] - upto[offsets[:-1]] != np.asarray(batch.column(2))).any():
-                raise ValueError("chunks do not add up to their document")
-            values = joined_crcs(crcs.astype(np.uint32), sizes, offsets, tables)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:3], pa.array(values.astype(np.int64))],
-                names=["doc_id", "start", "n_tokens", "ids_crc32"],
-            )
-
-    return whole.select("doc_id", "start", "n_tokens", "parts").mapInArrow(
-        join, "doc_id long, start long, n_tokens long, ids_crc32 long"
-    )
+    return _of_documents(spark, path, _contents(spark, path, crc, "ids_crc32 long, n long"), "ids_crc32")

@@ -105,3 +105,12 @@ def test_short_items_are_found_word_for_word(spark, docs_of):
     }
     clean = d.decontaminate(docs_of(texts), bench)
     assert {r.doc_id for r in clean.collect()} == set(range(len(texts))) - {0, 3, 5, 7}
+
+
+def test_clashing_columns_and_blocks(spark):
+    df = spark.createDataFrame([(1, "one two three four five six seven eight", "x", "y"), (2, None, "x", "y")], "doc_id long, text string, __text string, ITEM string")
+    bench = spark.createDataFrame([(i, f"{w} two three four five six seven") for i, w in enumerate(["one", "nine", "ten"])], "item_id long, text string")
+    for size in (1, 1 << 20):
+        out = d.decontaminate(df, bench, block_bytes=size)
+        assert out.columns == df.columns and [r.doc_id for r in out.collect()] == [2]
+        assert "Union" not in out._jdf.queryExecution().optimizedPlan().toString()

@@ -75,18 +75,6 @@ def test_cuts_follow_content():
     assert set(alone[alone >= token_store.LEAST]) == set(behind[behind >= token_store.LEAST])
 
 
-def test_joined_crcs():
-    rnd = random.Random(2)
-    tables = token_store.shift_tables()
-    texts = [[rnd.randbytes(4 * rnd.choice([1, 10, 256, 2048])) for _ in range(k)] for k in (1, 0, 20, 3, 1)]
-    parts = [p for t in texts for p in t]
-    crcs = np.array([zlib.crc32(p) for p in parts], np.uint32)
-    sizes = np.array([len(p) // 4 for p in parts])
-    offsets = np.cumsum([0, *map(len, texts)])
-    got = token_store.joined_crcs(crcs, sizes, offsets, tables)
-    assert got.tolist() == [zlib.crc32(b"".join(t)) for t in texts]
-
-
 def test_empty_table_and_null_ids(spark, docs_of, table_dir, tmp_path):
     empty = docs_of([]).limit(0)
     assert op3_content_store(spark, table_dir(empty)).count() == 0
