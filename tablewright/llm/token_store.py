@@ -4,7 +4,8 @@ Every document is encoded, closed with an end id, and cut into chunks where a ro
 equal passages are therefore cut alike wherever they stand. A chunk's address is the SHA-256 of its bytes, and each
 address is stored once. Below ``path`` the store holds three Parquet tables:
 
-``chunks``    chunk_id, n_ids, payload (the ids, little-endian, 16 bits each if the vocabulary allows it, else 32)
+``chunks``    chunk_id, n_ids, payload (the ids, little-endian, 16 bits each if the vocabulary allows it, else 32, as a
+              zstd frame; the address is that of the ids)
 ``recipes``   in ascending doc_id order: doc_id, start, n_tokens, the document's chunk ids, their sizes, Merkle root
 ``manifest``  one row for each partition of recipes: Merkle root over its documents (a tree over the trees of blocks of
               documents), number of documents and tokens
@@ -104,7 +105,9 @@ def _encoded(docs: DataFrame, path: str, end_id: int, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
+        import zstandard
 
+        squeeze = zstandard.ZstdCompressor(level=1).compress
         encoder = tokens.encoder(path)
         table = gear(max(encoder.model.get_vocab_size(), end_id + 1))
         met: set[bytes] = set()
@@ -126,7 +129,7 @@ def _encoded(docs: DataFrame, path: str, end_id: int, width: int) -> DataFrame:
                         sizes.append(first + here - begin)
                         if name not in met:
                             met.add(name)
-                            fresh.append((name, sizes[-1], payload))
+                            fresh.append((name, sizes[-1], squeeze(payload)))
                         begin = first + here
                     rows.append((doc_id, stop - first, names, sizes, recipe_root(names, sizes), fresh))
                     first, seen = stop, bound
@@ -159,7 +162,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str | None = None, end_id
     encoded = stored(_encoded(docs, tokenizer, end_id, width), "encoded", "zstd")
     parts = encoded.select(F.inline("fresh")).repartition(partitions(docs.sparkSession), "chunk_id")
     unique = parts.mapInArrow(_first_of_each, parts.schema)
-    unique.write.option("compression", "zstd").option("parquet.enable.dictionary", "false").parquet(f"{path}/chunks")
+    unique.write.option("compression", "none").option("parquet.enable.dictionary", "false").parquet(f"{path}/chunks")
     recipes, total = sorted_with_offsets(encoded.drop("fresh"), ["doc_id"], "n_tokens", "start")
     recipes = recipes.withColumn("part", F.spark_partition_id())
     recipes.write.option("compression", "zstd").parquet(f"{path}/recipes")
@@ -232,38 +235,38 @@ def _contents(spark: SparkSession, path: str, result, ddl: str) -> DataFrame:
     parts = recipes.select("root", F.posexplode(F.arrays_zip("chunk_ids", "sizes"))).select(
         "root", "pos", F.col("col.chunk_ids").alias("chunk_id"), F.col("col.sizes").alias("n")
     )
-    # counted in the files as they are: this only decides how the join is dealt out
-    listed = spark.read.parquet(f"{path}/recipes").select("root", "chunk_ids").dropDuplicates(["root"])
-    uses = checkpointed(listed.select(F.explode("chunk_ids").alias("chunk_id")).groupBy("chunk_id").count())
+    # counted over all recipes as they are: this only decides how the join is dealt out
+    listed = spark.read.parquet(f"{path}/recipes").select(F.explode("chunk_ids").alias("chunk_id"))
+    uses = checkpointed(listed.groupBy("chunk_id").count())
     chunks = spark.read.parquet(f"{path}/chunks").select("chunk_id", "n_ids", "payload")
     joined = skewed_join(parts, chunks, ["chunk_id"], "left", uses)
     whole = joined.groupBy("root").agg(F.collect_list(F.struct("pos", "chunk_id", "n", "n_ids", "payload")).alias("parts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        checked: set[bytes] = set()
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             for at in range(0, batch.num_rows, GROUP):
-                part = batch.slice(at, GROUP)
-                roots, values = part.column(0), []
-                lists = part.column(1)
-                offsets = lists.offsets.to_pylist()
-                fields = [lists.values.field(k).to_pylist() for k in range(5)]
-                for begin, end in zip(offsets, offsets[1:]):
-                    rows = sorted(zip(*(f[begin:end] for f in fields)))
+                part, values = batch.slice(at, GROUP), []
+                for rows in part.column(1):
+                    rows = sorted(zip(*(rows.values.field(k).to_pylist() for k in range(5))))
+                    body = []
                     for _, name, n, n_ids, payload in rows:
                         if payload is None:
                             raise ValueError("a chunk is missing")
-                        if n != n_ids or len(payload) not in (2 * n, 4 * n):
+                        try:
+                            ids = unpack(payload, max_output_size=4 * MOST)
+                        except zstandard.ZstdError:
+                            raise ValueError("a chunk does not match its address") from None
+                        if n != n_ids or len(ids) not in (2 * n, 4 * n):
                             raise ValueError("a chunk is not as long as its recipe says")
-                        if name not in checked:
-                            if hashlib.sha256(payload).digest() != name:
-                                raise ValueError("a chunk does not match its address")
-                            checked.add(name)
-                    values.append(result(b"".join(r[4] for r in rows), sum(r[2] for r in rows)))
-                if len(checked) > MET:
-                    checked.clear()
+                        if hashlib.sha256(ids).digest() != name:
+                            raise ValueError("a chunk does not match its address")
+                        body.append(ids)
+                    values.append(result(b"".join(body), sum(r[2] for r in rows)))
                 columns = [pa.array(c) for c in zip(*values)]
-                yield pa.RecordBatch.from_arrays([roots, *columns], names=kinds.names)
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=kinds.names)
 
     return whole.mapInArrow(run, kinds)
 
