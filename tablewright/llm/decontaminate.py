@@ -184,8 +184,6 @@ def blocks_of(benchmark: DataFrame, item: str, text: str, block_bytes: int) -> l
         if items := [(i, t) for i, t in items if t]:
             items.sort(key=lambda x: (x[0] is None, x[0] or 0, x[1]))
             held = benchmark.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, items))
-            if n > 1:
-                del held._value  # read from the file again if it is ever asked for
             out.append(held)
     return out
 
