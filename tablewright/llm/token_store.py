@@ -4,8 +4,7 @@ Every document is encoded, closed with an end id, and cut into chunks where a ro
 equal passages are therefore cut alike wherever they stand. A chunk's address is the SHA-256 of its bytes, and each
 address is stored once. Below ``path`` the store holds three Parquet tables:
 
-``chunks``    chunk_id, n_ids, payload (the ids, little-endian, 16 bits each if the vocabulary allows it, else 32, as a
-              zstd frame; the address is that of the ids)
+``chunks``    chunk_id, n_ids, payload (the ids, little-endian, 16 bits each if the vocabulary allows it, else 32)
 ``recipes``   in ascending doc_id order: doc_id, start, n_tokens, the document's chunk ids, their sizes, Merkle root
 ``manifest``  one row for each partition of recipes: Merkle root over its documents (a tree over the trees of blocks of
               documents), number of documents and tokens
@@ -105,9 +104,7 @@ def _encoded(docs: DataFrame, path: str, end_id: int, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
-        import zstandard
 
-        squeeze = zstandard.ZstdCompressor(level=1).compress
         encoder = tokens.encoder(path)
         table = gear(max(encoder.model.get_vocab_size(), end_id + 1))
         met: set[bytes] = set()
@@ -129,7 +126,7 @@ def _encoded(docs: DataFrame, path: str, end_id: int, width: int) -> DataFrame:
                         sizes.append(first + here - begin)
                         if name not in met:
                             met.add(name)
-                            fresh.append((name, sizes[-1], squeeze(payload)))
+                            fresh.append((name, sizes[-1], payload))
                         begin = first + here
                     rows.append((doc_id, stop - first, names, sizes, recipe_root(names, sizes), fresh))
                     first, seen = stop, bound
@@ -162,13 +159,12 @@ def write_store(docs: DataFrame, path: str, tokenizer: str | None = None, end_id
     encoded = stored(_encoded(docs, tokenizer, end_id, width), "encoded", "zstd")
     parts = encoded.select(F.inline("fresh")).repartition(partitions(docs.sparkSession), "chunk_id")
     unique = parts.mapInArrow(_first_of_each, parts.schema)
-    unique.write.option("compression", "none").option("parquet.enable.dictionary", "false").parquet(f"{path}/chunks")
+    unique.write.option("compression", "zstd").option("parquet.enable.dictionary", "false").parquet(f"{path}/chunks")
     recipes, total = sorted_with_offsets(encoded.drop("fresh"), ["doc_id"], "n_tokens", "start")
     recipes = recipes.withColumn("part", F.spark_partition_id())
     recipes.write.option("compression", "zstd").parquet(f"{path}/recipes")
     manifest(docs.sparkSession, path).write.parquet(f"{path}/manifest")
     drop_stored(encoded)
-    release(docs.sparkSession)
     return total
 
 
@@ -230,6 +226,7 @@ def _contents(spark: SparkSession, path: str, result, ddl: str) -> DataFrame:
     """(root, *result) for each different document, put together from its chunks: ``result`` makes of its ids (their
     bytes as stored, and how many there are) what ``ddl`` names. Equal documents have one root and are put together once; chunks that very many
     documents share are dealt out over several tasks."""
+    release(spark)  # of what wrote the store nothing is needed any more
     kinds = extended(spark.createDataFrame([], "root binary"), *((x.split()[0], x.split()[1]) for x in ddl.split(", ")))
     recipes = verified_recipes(spark, path).select("root", "chunk_ids", "sizes").dropDuplicates(["root"])
     parts = recipes.select("root", F.posexplode(F.arrays_zip("chunk_ids", "sizes"))).select(
@@ -243,22 +240,15 @@ def _contents(spark: SparkSession, path: str, result, ddl: str) -> DataFrame:
     whole = joined.groupBy("root").agg(F.collect_list(F.struct("pos", "chunk_id", "n", "n_ids", "payload")).alias("parts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             for at in range(0, batch.num_rows, GROUP):
                 part, values = batch.slice(at, GROUP), []
                 for rows in part.column(1):
                     rows = sorted(zip(*(rows.values.field(k).to_pylist() for k in range(5))))
                     body = []
-                    for _, name, n, n_ids, payload in rows:
-                        if payload is None:
+                    for _, name, n, n_ids, ids in rows:
+                        if ids is None:
                             raise ValueError("a chunk is missing")
-                        try:
-                            ids = unpack(payload, max_output_size=4 * MOST)
-                        except zstandard.ZstdError:
-                            raise ValueError("a chunk does not match its address") from None
                         if n != n_ids or len(ids) not in (2 * n, 4 * n):
                             raise ValueError("a chunk is not as long as its recipe says")
                         if hashlib.sha256(ids).digest() != name:
