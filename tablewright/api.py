@@ -15,7 +15,7 @@ from .operators.profiling import run_profiler
 from .plans import model as pm
 from .report import Report
 from .types import PRESETS, ColumnProfile, FeatureConfig, PrepResult, ReportEntry, SemanticType
-from .validation import check_inputs
+from .validation import as_spark, check_inputs
 
 _UNSET: Any = object()
 DEFAULTS = {"drop_threshold": 0.6, "outlier_method": "iqr", "cardinality_threshold": 20, "feature_config": None}
@@ -68,6 +68,7 @@ def prepare(
         "feature_config": feature_config,
     }
     settings = _settings(preset, given)
+    df = as_spark(df)
     warning = check_inputs(df, target, task, model_hint, column_types)
     head = _mismatch(target, warning)
     if preset:
@@ -112,6 +113,7 @@ def profile(
     column_types: dict[str, SemanticType] | None = None,
 ) -> PrepResult:
     """The table as it is, with the report of what was found."""
+    df = as_spark(df)
     warning = check_inputs(df, target, task, model_hint, column_types)
     profiles, found = run_profiler(df, target, task, cardinality_threshold, column_types)
     return PrepResult(df, None, Report(_mismatch(target, warning) + found, df, profiles, target))
@@ -128,6 +130,7 @@ def clean(
     column_types: dict[str, SemanticType] | None = None,
 ) -> PrepResult:
     """The cleaned table, without repeated rows."""
+    df = as_spark(df)
     warning = check_inputs(df, target, task, model_hint, column_types)
     profiles, found = run_profiler(df, target, task, cardinality_threshold, column_types)
     table, kept, cleaning, _ = run_cleaner(df, profiles, drop_threshold, outlier_method)
@@ -146,6 +149,7 @@ def engineer(
     column_types: dict[str, SemanticType] | None = None,
 ) -> PrepResult:
     """The cleaned table with its columns encoded, those of many categories out of fold."""
+    df = as_spark(df)
     warning = check_inputs(df, target, task, model_hint, column_types)
     profiles, found = run_profiler(df, target, task, cardinality_threshold, column_types)
     table, kept, cleaning, _ = run_cleaner(df, profiles, drop_threshold, outlier_method)
@@ -275,35 +279,20 @@ def _augmented(result: PrepResult, model: pm.PrepModel) -> DataFrame:
 
 def compare(a: PrepResult, b: PrepResult) -> dict[str, Any]:
     """How two results differ; a summary is printed."""
-    for x in (a, b):
-        if x is None:
-            raise ValueError("Two results are needed for a comparison.")
-        if x.df is None:
-            raise ValueError("A result without its table cannot be compared.")
-    in_a, in_b = set(a.df.columns), set(b.df.columns)
-    actions = [_actions(x.report) for x in (a, b)]
-    shared = sorted(actions[0].keys() & actions[1].keys()) if a.report is not None and b.report is not None else []
-    out = {
-        "shape_a": (a.df.count(), len(a.df.columns)),
-        "shape_b": (b.df.count(), len(b.df.columns)),
-        "columns_only_in_a": sorted(in_a - in_b),
-        "columns_only_in_b": sorted(in_b - in_a),
-        "columns_in_both": sorted(in_a & in_b),
-        "report_entry_counts_a": a.report.summary_counts() if a.report is not None else None,
-        "report_entry_counts_b": b.report.summary_counts() if b.report is not None else None,
-        "decision_diff": [c for c in shared if actions[0][c] != actions[1][c]],
-    }
-    print(f"Rows and columns: {out['shape_a']} and {out['shape_b']}")
-    for key, name in (("columns_only_in_a", "first"), ("columns_only_in_b", "second")):
-        if out[key]:
-            print(f"Only in the {name}: {', '.join(out[key][:5])}{' ...' if len(out[key]) > 5 else ''}")
-    for c in out["decision_diff"]:
-        print(f"{c}: {sorted(actions[0][c])} and {sorted(actions[1][c])}")
-    return out
-
-
-def _actions(report: Report | None) -> dict[str, set[str]]:
-    out: dict[str, set[str]] = {}
-    for e in report.entries if report is not None else []:
-        out.setdefault(e.column, set()).add(e.action)
+    if a is None or b is None:
+        raise ValueError("Two results are needed for a comparison.")
+    if a.df is None or b.df is None:
+        raise ValueError("A result without its table cannot be compared.")
+    out: dict[str, Any] = {}
+    for side, x in (("a", a), ("b", b)):
+        out[f"shape_{side}"] = (x.df.count(), len(x.df.columns))
+        out[f"report_entry_counts_{side}"] = x.report.summary_counts() if x.report is not None else None
+    names = {"columns_only_in_a": set(a.df.columns) - set(b.df.columns), "columns_only_in_b": set(b.df.columns) - set(a.df.columns)}
+    names["columns_in_both"] = set(a.df.columns) & set(b.df.columns)
+    out |= {k: sorted(v) for k, v in names.items()}
+    done = [{(e.column, e.action) for e in x.report.entries} if x.report is not None else set() for x in (a, b)]
+    common = {c for c, _ in done[0]} & {c for c, _ in done[1]}
+    out["decision_diff"] = sorted({c for c, _ in done[0] ^ done[1]} & common)
+    for key, value in out.items():
+        print(f"{key}: {value}")
     return out

@@ -8,15 +8,17 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.functions import PandasUDFType
 
 #: Spellings of a missing number in text (fixed values).
 NA_TOKENS = ("", "nan", "none", "null", "na", "n/a", "-", "?")
 #: A number with an optional unit behind it.
 NUMBER = r"^([+-]?(?:\d{1,3}(?:,\d{3})+|\d+)?(?:\.\d+)?(?:[eE][+-]?\d+)?)\s*([A-Za-z%°/²³$€£]*)$"
 RARE, MISSING = "__rare__", "__missing__"
+#: Forms that the JVM reads exactly as ``date_reader`` does; all others go through that.
 DATE_FORMATS = (
-    "yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy/MM/dd", "MM/dd/yyyy", "M/d/yyyy", "dd.MM.yyyy",
-    "dd-MM-yyyy", "MMM d, yyyy", "MMMM d, yyyy", "d MMM yyyy", "d MMMM yyyy",
+    "yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy/MM/dd", "MM/dd/yyyy", "M/d/yyyy", "MMM d, yyyy",
+    "MMMM d, yyyy", "d MMM yyyy", "d MMMM yyyy",
 )
 
 
@@ -117,10 +119,42 @@ def coerced(c: Column, unit: str | None) -> Column:
     return F.when(fits & ~is_na_token(c), plain_number(c))
 
 
+def date_reader():
+    """What reads a date, for the profiler that looks for dates and the cleaner that parses them alike: any usual form,
+    with fractions, zones and short years, the month first where both are possible. Gives the time as text, with its
+    zone if it has one; None for what is no date, and for a bare number, which could be read as one. Parts that a text
+    does not name are those of 2000-01-01."""
+
+    def read(text: str | None) -> str | None:
+        from datetime import datetime
+
+        from dateutil import parser
+
+        if not text or text.strip().replace(".", "", 1).lstrip("+-").isdigit():
+            return None
+        try:
+            found = parser.parse(text.strip(), default=datetime(2000, 1, 1))
+            return found.isoformat(sep=" ")
+        except (ValueError, OverflowError, TypeError, AttributeError):
+            return None
+
+    return read
+
+
 def parsed_date(c: Column) -> Column:
-    """The time that a text names in one of the usual forms, NULL if none fits."""
+    """The time that a text names, NULL if it names none. The usual forms are read in the JVM; only what is left goes
+    through Python, in Arrow batches."""
     text = stripped(c)
-    return F.coalesce(*(F.try_to_timestamp(text, F.lit(f)) for f in DATE_FORMATS))
+    quick = F.coalesce(*(F.try_to_timestamp(text, F.lit(f)) for f in DATE_FORMATS))
+    read = date_reader()  # a function of its own, so that workers need not find this package
+
+    def read_all(texts):
+        return texts.map(read, na_action="ignore").astype(object).where(texts.notna(), None)
+
+    read_all.__annotations__ = {}
+    slow = F.pandas_udf(read_all, T.StringType(), PandasUDFType.SCALAR)
+    rest = F.when(quick.isNull() & text.rlike("[0-9A-Za-z]"), text)
+    return F.coalesce(quick, slow(rest).try_cast("timestamp"))
 
 
 def days_between(a: Column, b: Column) -> Column:

@@ -6,6 +6,7 @@ one projection on any table with those columns.
 
 from __future__ import annotations
 
+import uuid
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -18,7 +19,7 @@ from .profiling import find_coercions
 
 IMPUTE_BELOW, CLIP_UP_TO, CHANGED_WARNING = 0.30, 0.30, 0.10
 METHODS = ("iqr", "zscore")
-#: Rare values beyond this number are recognised as what is not frequent; there are at most a hundred frequent ones.
+#: Up to so many rare values are part of the step; more are a table that it names, joined by value.
 MOST_RARE = 10_000
 
 Step = dict[str, Any]
@@ -50,11 +51,35 @@ def shaped(c: Column, step: Step) -> Column:
         c = fc.parsed_date(c)
     if step.get("rare"):
         c = F.when(c.cast("string").isin(step["rare"]), F.lit(fc.RARE)).otherwise(c)
-    elif step.get("frequent") is not None:
-        c = F.when(c.isNotNull() & ~c.cast("string").isin(step["frequent"]), F.lit(fc.RARE)).otherwise(c)
+    elif step.get("rare_table"):
+        c = F.when(F.col(_flag(step)).isNotNull(), F.lit(fc.RARE)).otherwise(c)
     return c
 
 
+def _flag(step: Step) -> str:
+    return "__rare_" + step["rare_table"].rsplit("/", 1)[-1]
+
+
+def with_flags(df: DataFrame, steps: dict[str, Step]) -> DataFrame:
+    """df with a column for each step whose rare values are a table: not NULL where the value is one of them."""
+    for name, step in steps.items():
+        if step.get("rare_table") and name in df.columns:
+            key = shaped(fc.named(name), {k: v for k, v in step.items() if k != "rare_table"}).cast("string")
+            listed = df.sparkSession.read.parquet(step["rare_table"]).select(F.col("value").alias(_flag(step)))
+            df = df.join(listed, key == F.col(_flag(step)), "left")
+    return df
+
+
+def rare_step(spark, values: list[str]) -> Step:
+    """The part of a step that holds rare values."""
+    if len(values) <= MOST_RARE:
+        return {"rare": list(values)}
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_mappings"
+    path = f"{root.rstrip('/')}/rare-{uuid.uuid4().hex}"
+    spark.createDataFrame([(v,) for v in values], "value string").write.parquet(path)
+    return {"rare_table": path}
+
+
 def filled(c: Column, step: Step) -> Column:
     return F.coalesce(c, F.lit(step["fill"])) if step.get("fill") is not None else c
 
@@ -77,7 +102,8 @@ def cleaned(df: DataFrame, steps: dict[str, Step], extra: list[Column] | None =
     """df as the steps say, columns without a step as they are; indicators come after the columns."""
     df = fc.without_nan(df)
     main, more = [], []
-    for c in df.columns:
+    names, df = df.columns, with_flags(df, steps)
+    for c in names:
         first, *rest = cleaned_columns(c, steps.get(c, {})) or [None]
         main += [first] if first is not None else []
         more += rest
@@ -131,10 +157,7 @@ def run_cleaner(
                 steps[p.name]["normalise"] = True
         for p in high:
             if p.rare_categories:
-                if len(p.rare_categories) <= MOST_RARE:
-                    steps[p.name]["rare"] = list(p.rare_categories)
-                else:
-                    steps[p.name]["frequent"] = frequent_values(once, p.name, steps[p.name])
+                steps[p.name] |= rare_step(df.sparkSession, p.rare_categories)
         for p in numeric:
             if p.name in coercions:
                 steps[p.name] |= {"numeric": True, "unit": coercions[p.name].unit}
@@ -143,6 +166,7 @@ def run_cleaner(
             if fc.is_string(kinds[p.name]):
                 steps[p.name]["dates"] = True
 
+        flagged = with_flags(once, steps)
         # first pass: what is missing, and what to fill in
         watched = low + high + numeric
         asked = []
@@ -153,7 +177,11 @@ def run_cleaner(
                 asked.append(st.quantiles(fc.number(c), [0.5], rows).alias(f"f{i}"))
             elif p in low:
                 asked.append(F.mode(c, deterministic=True).alias(f"f{i}"))
-        first = once.agg(*asked).first().asDict() if asked else {}
+        for i, p in enumerate(dates):
+            if steps[p.name].get("dates"):
+                c = fc.named(p.name)
+                asked.append(F.count_if(c.isNotNull() & shaped(c, steps[p.name]).isNull()).alias(f"u{i}"))
+        first = flagged.agg(*asked).first().asDict() if asked else {}
         of = [i for i, p in enumerate(watched) if p in numeric]
         middles = [(fc.number(shaped(fc.named(watched[i].name), steps[watched[i].name])), [0.5]) for i in of]
         first |= {f"f{i}": q for i, q in zip(of, st.settled(once, middles, [first[f"f{i}"] for i in of], rows))}
@@ -166,7 +194,7 @@ def run_cleaner(
             step, m = steps[p.name], rate[p.name]
             if step.get("normalise"):
                 log(p.name, "normalize_categories", "Lower case, no white space at the ends")
-            if p in high and (step.get("rare") or step.get("frequent") is not None):
+            if p in high and (step.get("rare") or step.get("rare_table")):
                 log(p.name, "group_rare_categories", f"Put {len(p.rare_categories)} rare values together")
             if m > 0 and p in low:
                 step["indicator"] = True
@@ -225,16 +253,12 @@ def run_cleaner(
                         p.name, "winsorize_outliers", f"Brought {changed} outliers within bounds ({outlier_method})", severity,
                         after={"lower": bounds[p.name][0], "upper": bounds[p.name][1]},
                     )
-        for p in dates:
+        for i, p in enumerate(dates):
             if steps[p.name].get("dates"):
-                log(p.name, "coerce_datetime", "Text read as dates")
+                lost = first.get(f"u{i}") or 0
+                more = f"; {lost} values name no date and become missing" if lost else ""
+                log(p.name, "coerce_datetime", "Text read as dates" + more, "warning" if lost > CHANGED_WARNING * rows else "info", after={"unread": lost})
     finally:
         once.unpersist()
     return cleaned(distinct, steps), kept, entries, steps
 
-
-def frequent_values(df: DataFrame, column: str, step: Step, share: float = 0.01) -> list[str]:
-    """The values that make up a share of the present rows or more: a hundred at most."""
-    counted = df.select(shaped(fc.named(column), step).cast("string").alias("v")).where("v IS NOT NULL").groupBy("v").count()
-    total = counted.agg(F.sum("count")).first()[0] or 0
-    return [r["v"] for r in counted.where(F.col("count") >= share * total).orderBy("v").collect()]

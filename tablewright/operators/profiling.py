@@ -67,18 +67,6 @@ def looks_like_text(s: st.ColumnStats) -> bool:
     return bool(s.present) and (s.mean_length > 50 or s.mean_length > 30 and s.mean_words >= 5)
 
 
-def _is_date(text: str) -> bool:
-    from dateutil import parser
-
-    if text.strip().replace(".", "", 1).lstrip("+-").isdigit():
-        return False  # a bare number is no date, though it can be read as one
-    try:
-        parser.parse(text)
-    except (ValueError, OverflowError, TypeError):
-        return False
-    return True
-
-
 def sniff_dates(df: DataFrame, columns: list[str]) -> set[str]:
     """Text columns of which a fixed sample of values reads as dates. The sample is those of least hash, so the same
     table gives the same answer."""
@@ -98,7 +86,8 @@ def sniff_dates(df: DataFrame, columns: list[str]) -> set[str]:
     values: dict[int, list[str]] = {}
     for r in every.collect():
         values.setdefault(r["i"], []).append(r["v"])
-    return {columns[i] for i, vs in values.items() if sum(map(_is_date, vs)) > DATES * len(vs)}
+    read = fc.date_reader()
+    return {columns[i] for i, vs in values.items() if sum(read(v) is not None for v in vs) > DATES * len(vs)}
 
 
 def infer_type(

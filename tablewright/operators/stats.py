@@ -136,32 +136,42 @@ def distinct_counts(df: DataFrame, columns: list[str], estimates: dict[str, int]
     return out
 
 
-def column_stats(df: DataFrame, columns: list[str]) -> dict[str, ColumnStats]:
-    """Statistics of the columns."""
+#: What ``column_stats`` can find out; rows and present values always are.
+ALL = ("distinct", "text", "quartiles", "variance")
+
+
+def column_stats(df: DataFrame, columns: list[str], wanted: tuple[str, ...] = ALL) -> dict[str, ColumnStats]:
+    """Statistics of the columns: the ``wanted`` ones, others are None (distinct: 0)."""
     kinds = {f.name: f.dataType for f in df.schema}
-    rows = df.count()
-    small = rows <= SMALL_ROWS
-    asked: list[Column] = []
+    quarters = [c for c in columns if "quartiles" in wanted and fc.is_numeric(kinds[c])]
+    rows = df.count() if quarters or "distinct" in wanted else None  # decides how the others are found
+    small = rows is not None and rows <= SMALL_ROWS
+    asked: list[Column] = [F.count(F.lit(1)).alias("rows")]
     for i, c in enumerate(columns):
         col, kind = fc.named(c), kinds[c]
         asked.append(F.count(col).alias(f"n{i}"))
-        asked.append((F.countDistinct(col) if small else F.approx_count_distinct(col, ERROR)).alias(f"d{i}"))
-        if fc.is_string(kind):
+        if "distinct" in wanted:
+            asked.append((F.countDistinct(col) if small else F.approx_count_distinct(col, ERROR)).alias(f"d{i}"))
+        if fc.is_string(kind) and "text" in wanted:
             asked += [F.avg(F.length(col)).alias(f"l{i}"), F.avg(fc.words(col)).alias(f"w{i}")]
         elif fc.is_numeric(kind):
-            x = fc.number(col)
-            asked += [quantiles(x, [0.25, 0.75], rows).alias(f"q{i}"), F.var_samp(x).alias(f"v{i}")]
-    row = df.agg(*asked).first().asDict() if asked else {}
-    numeric = [i for i in range(len(columns)) if f"q{i}" in row]
-    quarters = [(fc.number(fc.named(columns[i])), [0.25, 0.75]) for i in numeric]
-    row |= {f"q{i}": q for i, q in zip(numeric, settled(df, quarters, [row[f"q{i}"] for i in numeric], rows))}
+            if c in quarters:
+                asked.append(quantiles(fc.number(col), [0.25, 0.75], rows).alias(f"q{i}"))
+            if "variance" in wanted:
+                asked.append(F.var_samp(fc.number(col)).alias(f"v{i}"))
+    row = df.agg(*asked).first().asDict()
+    numeric = [i for i, c in enumerate(columns) if c in quarters]
+    points = [(fc.number(fc.named(columns[i])), [0.25, 0.75]) for i in numeric]
+    if points:
+        row |= {f"q{i}": q for i, q in zip(numeric, settled(df, points, [row[f"q{i}"] for i in numeric], rows))}
     out = {}
     for i, c in enumerate(columns):
         q = row.get(f"q{i}") or [None, None]
         out[c] = ColumnStats(
-            c, kinds[c], rows, row[f"n{i}"], row[f"d{i}"], row.get(f"l{i}"), row.get(f"w{i}"), q[0], q[1], row.get(f"v{i}")
-        )
-    if not small:
+            c, kinds[c], row["rows"], row[f"n{i}"], row.get(f"d{i}", 0), row.get(f"l{i}"), row.get(f"w{i}"), q[0], q[1],
+            row.get(f"v{i}"),
+        )
+    if "distinct" in wanted and not small:
         for c, n in distinct_counts(df, columns, {c: out[c].distinct for c in columns}).items():
             out[c].distinct = n
     return out
@@ -198,10 +208,13 @@ def rare_values(df: DataFrame, columns: list[str], share: float = 0.01) -> dict[
     if not columns:
         return {}
     counted = frequencies(df, columns)
-    total = F.sum("n").over(Window.partitionBy("name"))
-    rare = counted.withColumn("rare", F.col("n") < F.lit(share) * total).where("rare").groupBy("name")
-    found = {r["name"]: r["values"] for r in rare.agg(F.sort_array(F.collect_list("value")).alias("values")).collect()}
-    return {c: found.get(c, []) for c in columns}
+    # one row a column, so it is joined by broadcast whatever the number of values
+    totals = F.broadcast(counted.groupBy("name").agg(F.sum("n").alias("total")))
+    rare = counted.join(totals, "name").where(F.col("n") < F.lit(share) * F.col("total")).select("name", "value")
+    found: dict[str, list[str]] = {c: [] for c in columns}
+    for r in rare.toLocalIterator():
+        found[r["name"]].append(r["value"])
+    return {c: sorted(v, key=lambda x: x.encode()) for c, v in found.items()}
 
 
 def correlations(df: DataFrame, columns: list[str], target: str) -> dict[str, float | None]:

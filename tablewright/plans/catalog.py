@@ -63,7 +63,7 @@ _MANY = "CASE WHEN l_orderkey % 10 < 4 THEN NULL ELSE l_quantity END"
 def profile_missing_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     many = F.when(F.col("l_orderkey") % 10 < 4, F.lit(None)).otherwise(F.col("l_quantity"))
     df = table(spark, sf_dir, "lineitem").select(gaps("l_orderkey", "l_extendedprice").alias("price"), many.alias("quantity"), F.col("l_tax").alias("tax"))
-    found = st.column_stats(df, df.columns)
+    found = st.column_stats(df, df.columns, ())
     return rows(spark, [tuple(s.missing_rate for s in found.values())], "price_missing double, quantity_missing double, tax_missing double")
 
 
@@ -77,7 +77,7 @@ def profile_outlier_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out: dict[str, float | None] = {}
     for name, column in (("lineitem", "l_extendedprice"), ("orders", "o_totalprice"), ("events", "value")):
         df = table(spark, sf_dir, name).select(column)
-        out |= st.outlier_rates(df, st.column_stats(df, [column]))
+        out |= st.outlier_rates(df, st.column_stats(df, [column], ("quartiles",)))
     return long_form(spark, out, "outlier_rate")
 
 
@@ -88,7 +88,7 @@ _LINEITEM = (
 
 @query(" UNION ALL ".join(f"SELECT '{c}' AS column_name, count(DISTINCT {c}) AS n_unique FROM lineitem" for c in _LINEITEM))
 def profile_cardinality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = st.column_stats(table(spark, sf_dir, "lineitem"), _LINEITEM)
+    found = st.column_stats(table(spark, sf_dir, "lineitem"), _LINEITEM, ("distinct",))
     return long_form(spark, {c: s.distinct for c, s in found.items()}, "n_unique", "long")
 
 
@@ -125,7 +125,7 @@ def _information_sql(x: str, y: str, source: str) -> str:
 
 
 def _information(spark: SparkSession, df: DataFrame, x: str, y: str) -> DataFrame:
-    found = st.mutual_information(df, [x], y, st.column_stats(df, [x, y]))
+    found = st.mutual_information(df, [x], y, st.column_stats(df, [x, y], ("distinct",)))
     return rows(spark, [(round(found[x], 6),)], "mutual_information double")
 
 
@@ -178,7 +178,7 @@ _WORDS = r"len(list_filter(string_split_regex(text, '[ \t\n\x0B\f\r]+'), lambda
 
 @query(f"SELECT round(avg(length(text)), 4) AS avg_length, round(avg({_WORDS}), 4) AS avg_words, avg(CASE WHEN text IS NULL THEN 1.0 ELSE 0.0 END) AS missing_rate FROM documents")
 def profile_text_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = st.column_stats(table(spark, sf_dir, "documents").select("text"), ["text"])["text"]
+    s = st.column_stats(table(spark, sf_dir, "documents").select("text"), ["text"], ("text",))["text"]
     return rows(spark, [(round(s.mean_length, 4), round(s.mean_words, 4), s.missing_rate)], "avg_length double, avg_words double, missing_rate double")
 
 
@@ -269,7 +269,7 @@ def clean_constant_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 def clean_drop_high_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mostly = F.when(F.col("l_orderkey") % 10 < 7, F.lit(None)).otherwise(F.col("l_tax"))
     df = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 1000).alias("k"), F.col("l_quantity").alias("some"), mostly.alias("mostly_missing"))
-    rate = {c: s.missing_rate for c, s in st.column_stats(df, df.columns).items()}
+    rate = {c: s.missing_rate for c, s in st.column_stats(df, df.columns, ()).items()}
     profiles = [_profile(c, SemanticType.BOOLEAN, m) for c, m in rate.items()]
     out, _, _, _ = cleaning.run_cleaner(df, profiles, 0.6)
     return cleaning.drop_duplicates(out)

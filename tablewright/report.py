@@ -94,6 +94,7 @@ class Report:
         return {
             "target": self.target,
             "summary": self.summary_counts(),
+            "total_entries": len(self._entries),
             "entries": [plain(vars(e)) for e in self._entries],
             "profiles": [plain(vars(p)) for p in self.profiles] if self.profiles is not None else None,
         }
@@ -128,7 +129,8 @@ class Report:
         return missingness_chart(self.df)
 
     def _correlation(self) -> Chart:
-        numeric = [p.name for p in self.profiles if p.semantic_type is SemanticType.NUMERIC_FEATURE]
+        kinds = (SemanticType.NUMERIC_FEATURE, SemanticType.NUMERIC_ID)
+        numeric = [p.name for p in self.profiles if p.semantic_type in kinds]
         return correlation_chart(self.df, [c for c in numeric if fc.is_numeric(self.df.schema[c].dataType)])
 
     def _mutual_info(self) -> Chart:

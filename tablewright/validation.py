@@ -11,6 +11,35 @@ from .types import SemanticType
 MOST_CLASSES, CLASS_SHARE = 20, 0.05
 
 
+def as_spark(df):
+    """A pandas table as a Spark table of the active session; anything else as it is."""
+    if type(df).__module__.split(".")[0] != "pandas" or type(df).__name__ != "DataFrame":
+        return df
+    if df.columns.duplicated().any():
+        raise ValueError("The DataFrame has duplicate column names; each name may stand once.")
+    if df.empty:
+        raise ValueError("The DataFrame is empty; it needs one row and one column at least.")
+    import pandas as pd
+    from pyspark.sql import SparkSession
+
+    out = df.reset_index(drop=True).copy()
+    out.columns = out.columns.map(str)
+    for c in out.columns:
+        if isinstance(out[c].dtype, pd.CategoricalDtype):
+            out[c] = out[c].astype(object)
+        if out[c].dtype == object:
+            present = out[c].dropna()
+            kinds = {type(x) for x in present}
+            if kinds - {bool} or not kinds:  # texts, and what is mixed or missing altogether
+                out[c] = out[c].map(str, na_action="ignore").astype(object).where(out[c].notna(), None)
+    spark = SparkSession.builder.getOrCreate()
+    types = {c: "string" for c in out.columns if out[c].dtype == object and out[c].isna().all()}
+    for c in types:
+        out[c] = ""
+    made = spark.createDataFrame(out)
+    return made.withColumns({c: F.lit(None).cast("string") for c in types}) if types else made
+
+
 def check_inputs(
     df: DataFrame,
     target: str,

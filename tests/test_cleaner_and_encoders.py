@@ -56,12 +56,44 @@ def test_maps_are_carried_through_deduplication(spark):
     assert cleaning.drop_duplicates(df).count() == 2
 
 
-def test_many_rare_values_are_told_by_the_frequent_ones(spark, monkeypatch):
-    monkeypatch.setattr(cleaning, "MOST_RARE", 3)
+def test_rare_values_mean_the_same_whatever_their_number(spark, monkeypatch):
+    """Beyond MOST_RARE they are a table; an unseen value passes through either way."""
     rows = [(f"rare{i}",) for i in range(90)] + [("Often",)] * 30
     df = spark.createDataFrame([(v, i) for i, (v,) in enumerate(rows)], "c string, k long")
-    out, _, _, steps = run_cleaner(df, [profile("c", S.CATEGORICAL_HIGH, 0, [f"rare{i}" for i in range(90)])])
-    assert steps["c"]["frequent"] == ["often"] and {r.c for r in out.collect()} == {"often", fc.RARE}
+    new = spark.createDataFrame([("RARE7 ",), ("brand new",), ("often",), (None,)], "c string")
+    seen = []
+    for most in (90, 89):
+        monkeypatch.setattr(cleaning, "MOST_RARE", most)
+        out, _, _, steps = run_cleaner(df, [profile("c", S.CATEGORICAL_HIGH, 0, [f"rare{i}" for i in range(90)])])
+        assert ("rare" in steps["c"]) == (most == 90) and {r.c for r in out.collect()} == {"often", fc.RARE}
+        assert out.columns == df.columns
+        seen.append(sorted(str(r.c) for r in cleaning.cleaned(new, {"c": steps["c"]}).collect()))
+    assert seen[0] == seen[1] == sorted([fc.RARE, "brand new", "often", "None"])
+
+
+DATES = {
+    "2020-03-05T10:00:00+02:00": "2020-03-05 08:00:00", "3/5/20": "2020-03-05 00:00:00", "5.3.2020": "2020-05-03 00:00:00",
+    "05-03-20": "2020-05-03 00:00:00", "Mar 5 2020 3pm": "2020-03-05 15:00:00", "20200305T1000": "2020-03-05 10:00:00",
+    "Thu, 05 Mar 2020 10:00:00 GMT": "2020-03-05 10:00:00", "2020-03-05 10:00:00.250": "2020-03-05 10:00:00",
+    "25.12.2020": "2020-12-25 00:00:00", "2020-3-5": "2020-03-05 00:00:00", "5 March 2020": "2020-03-05 00:00:00",
+    "2020-03-05T10:00:00Z": "2020-03-05 10:00:00", "March 2020": "2020-03-01 00:00:00", "12/31/1999 23:59": "1999-12-31 23:59:00",
+}
+
+
+def test_what_is_taken_for_a_date_is_read_as_one(spark):
+    from tablewright.operators.profiling import sniff_dates
+
+    none = ["no date", "20200305", "-7", "", "99/99/9999", None]
+    df = spark.createDataFrame([(t,) for t in [*DATES, *none]], "d string")
+    found = {r.d: r.t for r in df.select("d", F.date_format(fc.parsed_date(F.col("d")), "yyyy-MM-dd HH:mm:ss").alias("t")).collect()}
+    assert {t: found[t] for t in DATES} == DATES and all(found[t] is None for t in none)
+    read = fc.date_reader()
+    assert all((read(t) is None) == (found[t] is None) for t in [*DATES, *none])
+    assert sniff_dates(spark.createDataFrame([(t,) for t in DATES], "d string"), ["d"]) == {"d"}
+    lost = spark.createDataFrame([(t, i) for i, t in enumerate([*DATES, "no date"])], "d string, k long")
+    _, _, entries, steps = run_cleaner(lost, [profile("d", S.DATETIME_STRING)])
+    assert steps["d"]["dates"] and [e.after_stats for e in entries if e.action == "coerce_datetime"] == [{"unread": 1}]
+
 
 
 def test_null_safe_clip_and_strings(spark):

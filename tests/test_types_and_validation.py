@@ -69,3 +69,23 @@ def test_checks_in_order(spark):
 def test_a_target_of_many_numbers_may_still_be_classes(spark):
     df = spark.range(1000).selectExpr("id % 25 AS y", "id AS x")
     assert check_inputs(df, "y", "classification") is None  # 25 values are 2.5 % of the rows
+
+
+def test_pandas_tables(spark):
+    import pandas as pd
+    import tablewright as tw
+
+    n = 60
+    df = pd.DataFrame({
+        "x": [None if i % 9 == 0 else float(i) for i in range(n)], "kind": pd.Categorical(["a", "b", "c"] * (n // 3)),
+        "flag": [i % 2 == 0 for i in range(n)], "mixed": ["one", 2, 3.5] * (n // 3), "none": [None] * n,
+        "when": pd.date_range("2020-01-01", periods=n), "y": [i % 2 for i in range(n)],
+    })
+    result = tw.prepare(df, "y")
+    assert result.df.count() == n and "none" not in result.df.columns and result.pipeline.transform(result.report.df).count() == n
+    assert result.report.to_dict()["total_entries"] == len(result.report.entries)
+    for bad in (df.iloc[:0], pd.concat([df, df[["x"]]], axis=1)):
+        with pytest.raises(ValueError):
+            tw.prepare(bad, "y")
+    with pytest.raises(TypeError):
+        tw.prepare([1, 2], "y")
