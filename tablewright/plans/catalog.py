@@ -16,7 +16,7 @@ from ..operators import cleaning, encoding, features, profiling
 from ..operators import stats as st
 from ..report import missing_cells
 from ..types import ColumnProfile, FeatureConfig, SemanticType
-from ..validation import target_counts
+from ..validation import check_inputs, check_target, target_counts
 from .model import PrepModel
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -571,7 +571,20 @@ def transform_unseen_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(model.transform(df.drop("l_extendedprice")), ["supplier"], 4)
 
 
-@query()
+def _values(columns: str, values: list[tuple]) -> str:
+    """A table of fixed values as SQL."""
+    listed = ", ".join("(" + ", ".join("NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v) for v in r) + ")" for r in values)
+    return f"SELECT * FROM (VALUES {listed}) AS t({columns})"
+
+
+_PRIORITIES = ("1-urgent", "2-high", "3-medium", "4-not specified", "5-low")
+
+
+@query(_values("kind, column_name", [
+    ("columns_only_in_a", "o_orderpriority"), *(("columns_only_in_b", f"o_orderpriority_{p}") for p in _PRIORITIES),
+    *(("columns_in_both", c) for c in ("c_acctbal", "c_acctbal_missing", "o_totalprice")),
+    *(("decision_diff", c) for c in ("c_acctbal", "o_orderpriority")),
+]))
 def compare_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = _prepare_input(spark, sf_dir)
     a, b = (api.prepare(df, "o_totalprice", "regression", hint) for hint in ("tree", "linear"))
@@ -580,6 +593,142 @@ def compare_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows(spark, listed, "kind string, column_name string")
 
 
+# What the API refuses, logs and repeats
+
+
+def _outcome(call) -> str:
+    """How a call ends: the name of the exception, or that there is none."""
+    try:
+        return "warning" if call() else "none"
+    except Exception as e:  # noqa: BLE001
+        return type(e).__name__
+
+
+_TARGETS = (
+    ("orders", "o_totalprice", "classification"), ("orders", "o_totalprice", "regression"), ("orders", "o_orderpriority", "regression"),
+    ("orders", "o_orderstatus", "classification"), ("lineitem", "l_linenumber", "regression"), ("lineitem", "l_linenumber", "classification"),
+    ("customer", "c_nationkey", "classification"),
+)
+
+
+def _target_sql(source: str, column: str, task: str) -> str:
+    text = column in ("o_orderpriority", "o_orderstatus")
+    many = f"count(DISTINCT {column}) > 20"
+    if task == "classification":
+        case = "CASE WHEN count(*) > 0 THEN 'none' END" if text else f"CASE WHEN {many} AND count(DISTINCT {column}) > 0.05 * count(*) THEN 'ValueError' ELSE 'none' END"
+    else:
+        case = "CASE WHEN count(*) > 0 THEN 'warning' END" if text else f"CASE WHEN {many} THEN 'none' ELSE 'warning' END"
+    return f"SELECT '{column}' AS target, '{task}' AS task, {case} AS outcome FROM {source}"
+
+
+@query(" UNION ALL ".join(_target_sql(*t) for t in _TARGETS))
+def validate_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = [(c, task, _outcome(lambda: check_target(table(spark, sf_dir, t), c, task))) for t, c, task in _TARGETS]
+    return rows(spark, found, "target string, task string, outcome string")
+
+
+@query(_values("input, outcome", [
+    ("no table", "TypeError"), ("no rows", "ValueError"), ("no such target", "ValueError"), ("one column", "ValueError"),
+    ("names twice", "ValueError"), ("task", "ValueError"), ("model hint", "ValueError"), ("type of the target", "ValueError"),
+    ("type of no column", "ValueError"), ("no type", "ValueError"), ("preset", "ValueError"), ("dry run", "TypeError"), ("nothing wrong", "none"),
+]))
+def validate_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df, y = table(spark, sf_dir, "orders").select("o_custkey", "o_orderstatus"), "o_orderstatus"
+    check = lambda *a, **k: lambda: check_inputs(*a, **k)
+    of = SemanticType.TEXT
+    cases = {
+        "no table": check([1], y, "classification"), "no rows": check(df.limit(0), y, "classification"),
+        "no such target": check(df, "absent", "classification"), "one column": check(df.select(y), y, "classification"),
+        "names twice": check(df.select("*", "o_custkey"), y, "classification"), "task": check(df, y, "ranking"),
+        "model hint": check(df, y, "classification", "forest"), "type of the target": check(df, y, "classification", None, {y: of}),
+        "type of no column": check(df, y, "classification", None, {"absent": of}),
+        "no type": check(df, y, "classification", None, {"o_custkey": "text"}),
+        "preset": lambda: api.prepare(df, y, preset="slow"), "dry run": lambda: api.prepare(df, y, dry_run="yes"),
+        "nothing wrong": check(df, y, "classification", "tree", {"o_custkey": SemanticType.CATEGORICAL_HIGH}),
+    }
+    return rows(spark, [(name, _outcome(call)) for name, call in cases.items()], "input string, outcome string")
+
+
+@query("SELECT lower(o_orderpriority) AS o_orderpriority, o_totalprice FROM orders")
+def clean_drop_useless(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns that identify rows or never vary go; the types are those the profiler finds."""
+    df = table(spark, sf_dir, "orders").select("o_orderkey", F.lit("x").alias("same"), "o_orderpriority", "o_totalprice")
+    return api.clean(df, "o_totalprice", "regression").df
+
+
+@query("""SELECT 'o_custkey' AS column_name, 'categorical_high' AS semantic_type UNION ALL SELECT 'o_orderdate', 'datetime_native'
+ UNION ALL SELECT 'o_orderpriority', 'text' UNION ALL SELECT 'listed', NULL""")
+def profile_override_and_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Types that the user sets, and a column of arrays, which is logged and not profiled."""
+    df = table(spark, sf_dir, "orders").select("o_custkey", "o_orderdate", "o_orderpriority", "o_totalprice", F.array("o_orderkey").alias("listed"))
+    types = {"o_custkey": SemanticType.CATEGORICAL_HIGH, "o_orderpriority": SemanticType.TEXT}
+    profiles, entries = profiling.run_profiler(df, "o_totalprice", "regression", 20, types)
+    flagged = [(e.column, None) for e in entries if e.action == "flagged_mixed_types"]
+    return rows(spark, [(p.name, p.semantic_type.value) for p in profiles] + flagged, "column_name string, semantic_type string")
+
+
+@query("""SELECT 'nation' AS column_name, 'coerce_numeric' AS action, 'info' AS severity FROM customer HAVING count(DISTINCT c_nationkey) < 0.95 * count(*)""")
+def report_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    report = api.profile(_small_orders(spark, sf_dir), "o_totalprice", "regression").report
+    return report.to_dataframe(spark).select(F.col("column").alias("column_name"), "action", "severity")
+
+
+@query("""WITH d AS (SELECT CASE WHEN o_orderkey % 2 = 0 THEN NULL ELSE o_totalprice END AS half FROM orders)
+ SELECT 'summary_info' AS name, 0 AS n UNION ALL SELECT 'summary_warning', 2 UNION ALL SELECT 'summary_critical', 0 UNION ALL SELECT 'total_entries', 2
+ UNION ALL SELECT 'by_column', 1 UNION ALL SELECT 'by_stage', 2 UNION ALL SELECT 'in_html', 1 FROM d HAVING avg(CASE WHEN half IS NULL THEN 1.0 ELSE 0.0 END) > 0.3""")
+def report_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders, half = table(spark, sf_dir, "orders"), F.when(F.col("o_orderkey") % 2 != 0, F.col("o_totalprice")).alias("half")
+    df = orders.select(half, F.concat(F.lit("g"), F.col("o_custkey") % 30).alias("group"), "o_orderstatus")
+    report = api.profile(df, "o_orderstatus").report
+    held = report.to_dict()
+    found = {f"summary_{k}": v for k, v in held["summary"].items()} | {
+        "total_entries": held["total_entries"], "by_column": len(report.filter_by_column("half")),
+        "by_stage": len(report.filter_by_stage("profiler")), "in_html": int("flagged_high_missingness" in report.to_html(False)),
+    }
+    return rows(spark, list(found.items()), "name string, n int")
+
+
+@query(_values("column_name, action", [("note_char_length", "skipped_duplicate_feature"), ("note", "generate_text_features")]))
+def feature_collision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    note = F.concat(F.lit("this order was placed by the customer with the number "), F.col("o_custkey").cast("string"))
+    df = table(spark, sf_dir, "orders").select(note.alias("note"), (F.col("o_custkey") % 7).alias("note_char_length"), "o_totalprice")
+    entries = api.engineer(df, "o_totalprice", "regression", feature_config=FeatureConfig(text_features=True)).report.entries
+    return rows(spark, [(e.column, e.action) for e in entries if e.action in ("skipped_duplicate_feature", "generate_text_features")], "column_name string, action string")
+
+
+def _differing(a: DataFrame, b: DataFrame) -> int:
+    """How many rows of two tables with the same columns are in one of them only."""
+    b = b.select(*(fc.named(c) for c in a.columns))
+    return a.exceptAll(b).count() + b.exceptAll(a).count()
+
+
+@query("SELECT count(*) AS n_rows, 0 AS n_differ, 4 AS n_added FROM orders JOIN customer ON o_custkey = c_custkey")
+def add_features_and_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features added to a prepared table, and the same from the pipeline on the raw one. Of the five columns of cycles one
+    has a name that the expanded date has taken."""
+    df = _small_orders(spark, sf_dir).select("c_acctbal", "o_orderpriority", "o_orderdate", "o_totalprice")
+    result = api.prepare(df, "o_totalprice", "regression")
+    more = api.add_features(result, FeatureConfig(datetime_cyclical=True))
+    n = more.df.count()
+    return rows(spark, [(n, _differing(more.df, more.pipeline.transform(df)), len(more.df.columns) - len(result.df.columns))], "n_rows long, n_differ int, n_added int")
+
+
+@query("SELECT count(*) AS n_rows, 0 AS n_differ, 'NotFittedError' AS unfitted FROM orders JOIN customer ON o_custkey = c_custkey")
+def pipeline_json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _prepare_input(spark, sf_dir)
+    model = api.prepare(df, "o_totalprice", "regression", "linear").pipeline
+    again, bare = PrepModel.from_json(model.to_json()).transform(df), df.drop("o_totalprice")
+    differ = _differing(model.transform(df), again) + _differing(model.transform(bare), again.drop("o_totalprice"))
+    return rows(spark, [(again.count(), differ, _outcome(lambda: PrepModel().transform(df)))], "n_rows long, n_differ int, unfitted string")
+
+
+@query("SELECT count(*) AS n_rows, 0 AS n_differ, true AS no_pipeline FROM orders JOIN customer ON o_custkey = c_custkey")
+def prepare_dry_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _prepare_input(spark, sf_dir)
+    result = api.prepare(df, "o_totalprice", "regression", preset="fast", dry_run=True)
+    return rows(spark, [(result.df.count(), _differing(df, result.df), result.pipeline is None)], "n_rows long, n_differ int, no_pipeline boolean")
+
+
 @query()
 def prepare_thorough(spark: SparkSession, sf_dir: str) -> DataFrame:
     config = FeatureConfig(interactions=True, datetime_cyclical=True, clustering=True, cluster_k=3)
