@@ -323,6 +323,9 @@ def _components(docs: DataFrame, size: int, percent: int) -> DataFrame:
         )
     )
     rows = stored(rows_of_interest(gathered, classes, percent), "rows")
+    named = checkpointed(named)
+    drop_stored(gathered)
+    release(spark)
 
     # prefixes: ``at`` is a shingle's place in the whole order, ``most`` the overlap that is still possible from there
     own = F.col("n") - F.ceil(F.col("n") * percent / 100.0 - 1e-9) + 1
@@ -345,7 +348,9 @@ def _components(docs: DataFrame, size: int, percent: int) -> DataFrame:
     votes = met.groupBy("sig", F.col("c.sig").alias("centre")).agg(F.count(F.lit(1)).alias("votes"))
     best = votes.groupBy("sig").agg(F.max(F.struct("votes", "centre")).alias("b"))
     nearest = checkpointed(best.select(F.col("sig").alias("u"), F.col("b.centre").alias("v")))
+    release(spark)
     first = checkpointed(linked(nearest, rows, percent))
+    release(spark)
     group = connected_components(first)
 
     # 2. pairs across components that meet in a column, the largest component of a column on one side only
@@ -370,6 +375,8 @@ def _components(docs: DataFrame, size: int, percent: int) -> DataFrame:
             "token", "sig", "n", "most", "component", "width", (F.col("component") == F.col("top")).alias("in_top")
         )
     )
+    drop_stored(cells)
+    release(spark)
     a = alive.where("NOT in_top").select(
         "token", "width", F.col("sig").alias("u"), F.col("n").alias("nu"), F.col("most").alias("mu"),
         F.col("component").alias("cu"),
@@ -402,5 +409,5 @@ def _components(docs: DataFrame, size: int, percent: int) -> DataFrame:
         F.coalesce(F.col("head.row") == F.col("row"), F.lit(True)).alias("first"),
     )
     out = checkpointed(out)
-    drop_stored(gathered, rows, cells)
+    drop_stored(rows)
     return out
