@@ -232,13 +232,14 @@ def least_overlap(n: int, m: int, percent: int) -> int:
 
 
 def rows_of_interest(gathered: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """(sig, n, unique, tokens): the sets that share enough shingles with others for some partner, their shared
-    shingles in the common order. The block's number stands in the bits above a shingle's own."""
+    """(set, n, unique, tokens): the sets (by their number in ``classes``) that share enough shingles with others for
+    some partner, their shared shingles in the common order. The block's number stands in the bits above a shingle's
+    own."""
     parts = gathered.where("low IS NOT NULL").groupBy("sig").agg(
         F.sum(F.octet_length("high")).alias("shared"), F.collect_list(F.struct("block", "low", "high", "held")).alias("parts")
     )
-    enough = parts.join(classes.select("sig", "n"), "sig").where(F.col("shared") * 100 >= F.col("n") * percent)
-    kinds = [("sig", pa.binary()), ("n", pa.int64()), ("unique", pa.int64()), ("tokens", pa.list_(pa.int64()))]
+    enough = parts.join(classes.select("sig", "set", "n"), "sig").where(F.col("shared") * 100 >= F.col("n") * percent)
+    kinds = [("set", pa.int64()), ("n", pa.int64()), ("unique", pa.int64()), ("tokens", pa.list_(pa.int64()))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -262,14 +263,14 @@ def rows_of_interest(gathered: DataFrame, classes: DataFrame, percent: int) -> D
                 columns = (piece.column(0), piece.column(1), pa.array(unique, pa.int64()), pa.array(tokens, kinds[3][1]))
                 yield pa.RecordBatch.from_arrays(list(columns), names=[k for k, _ in kinds])
 
-    return enough.select("sig", "n", "parts").mapInArrow(run, "sig binary, n long, unique long, tokens array<long>")
+    return enough.select("set", "n", "parts").mapInArrow(run, "set long, n long, unique long, tokens array<long>")
 
 
 def linked(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (u, v) whose rows overlap enough, counted in full. A set that stands in very many pairs is
     copied to several tasks, each with a part of its pairs."""
-    left = rows.select(F.col("sig").alias("u"), F.col("n").alias("nu"), F.col("tokens").alias("tu"))
-    right = rows.select(F.col("sig").alias("v"), F.col("n").alias("nv"), F.col("tokens").alias("tv"))
+    left = rows.select(F.col("set").alias("u"), F.col("n").alias("nu"), F.col("tokens").alias("tu"))
+    right = rows.select(F.col("set").alias("v"), F.col("n").alias("nv"), F.col("tokens").alias("tv"))
     popular = checkpointed(pairs.groupBy("v").count())
     both = skewed_join(skewed_join(pairs, left, ["u"]), right, ["v"], counts=popular)
     overlap = F.size(F.array_intersect("tu", "tv"))
@@ -320,7 +321,7 @@ def _components(docs: DataFrame, size: int, percent: int) -> DataFrame:
     classes = checkpointed(
         named.where("sig IS NOT NULL").groupBy("sig").agg(
             F.min(rank).alias("least"), F.first("n").alias("n"), F.count(F.lit(1)).alias("copies")
-        )
+        ).withColumn("set", F.monotonically_increasing_id())
     )
     rows = stored(rows_of_interest(gathered, classes, percent), "rows")
     named = checkpointed(named)
@@ -330,36 +331,36 @@ def _components(docs: DataFrame, size: int, percent: int) -> DataFrame:
     # prefixes: ``at`` is a shingle's place in the whole order, ``most`` the overlap that is still possible from there
     own = F.col("n") - F.ceil(F.col("n") * percent / 100.0 - 1e-9) + 1
     prefix = F.greatest(F.lit(0), own - F.col("unique")).cast("int")
-    cells = rows.select("sig", "n", "unique", F.posexplode(F.slice("tokens", 1, prefix))).select(
-        F.col("col").alias("token"), "sig", "n", "unique", (F.col("n") - F.col("unique") - F.col("pos")).alias("most")
+    cells = rows.select("set", "n", "unique", F.posexplode(F.slice("tokens", 1, prefix))).select(
+        F.col("col").alias("token"), "set", "n", "unique", (F.col("n") - F.col("unique") - F.col("pos")).alias("most")
     )
     cells = stored(cells, "cells")
 
     # 1. every set with the most central set of its columns: the one with the fewest shingles of its own
     centre = cells.groupBy("token").agg(
-        F.min(F.struct((F.col("unique") / F.col("n")).alias("r"), "sig", "n", "most")).alias("c"),
+        F.min(F.struct((F.col("unique") / F.col("n")).alias("r"), "set", "n", "most")).alias("c"),
         F.count(F.lit(1)).alias("width"),
     ).where("width > 1")
     bound = F.col("most") * (100 + percent) >= percent * (F.col("n") + F.col("c.n"))
     widths = checkpointed(centre)
     met = skewed_join(cells, widths.drop("width"), ["token"], counts=widths, n="width").where(
-        (F.col("sig") != F.col("c.sig")) & bound
+        (F.col("set") != F.col("c.set")) & bound
     )
-    votes = met.groupBy("sig", F.col("c.sig").alias("centre")).agg(F.count(F.lit(1)).alias("votes"))
-    best = votes.groupBy("sig").agg(F.max(F.struct("votes", "centre")).alias("b"))
-    nearest = checkpointed(best.select(F.col("sig").alias("u"), F.col("b.centre").alias("v")))
+    votes = met.groupBy("set", F.col("c.set").alias("centre")).agg(F.count(F.lit(1)).alias("votes"))
+    best = votes.groupBy("set").agg(F.max(F.struct("votes", "centre")).alias("b"))
+    nearest = checkpointed(best.select(F.col("set").alias("u"), F.col("b.centre").alias("v")))
     release(spark)
     first = checkpointed(linked(nearest, rows, percent))
     release(spark)
     group = connected_components(first)
 
     # 2. pairs across components that meet in a column, the largest component of a column on one side only
-    labelled = cells.join(group.withColumnRenamed("node", "sig"), "sig", "left").withColumn(
-        "component", F.coalesce("component", "sig")
+    labelled = cells.join(group.withColumnRenamed("node", "set"), "set", "left").withColumn(
+        "component", F.coalesce("component", "set")
     )
     per = labelled.groupBy("token", "component").agg(
         F.count(F.lit(1)).alias("here"), F.sum("most").alias("most"),
-        *(F.bit_xor(F.xxhash64("sig", F.lit(i))).alias(f"h{i}") for i in range(2)),
+        *(F.bit_xor(F.xxhash64("set", F.lit(i))).alias(f"h{i}") for i in range(2)),
     )
     columns = per.groupBy("token").agg(
         F.count(F.lit(1)).alias("components"), F.max(F.struct("here", "component")).alias("top"),
@@ -372,17 +373,17 @@ def _components(docs: DataFrame, size: int, percent: int) -> DataFrame:
     wide = checkpointed(distinct)
     alive = checkpointed(
         skewed_join(labelled, wide, ["token"], counts=wide, n="width").select(
-            "token", "sig", "n", "most", "component", "width", (F.col("component") == F.col("top")).alias("in_top")
+            "token", "set", "n", "most", "component", "width", (F.col("component") == F.col("top")).alias("in_top")
         )
     )
     drop_stored(cells)
     release(spark)
     a = alive.where("NOT in_top").select(
-        "token", "width", F.col("sig").alias("u"), F.col("n").alias("nu"), F.col("most").alias("mu"),
+        "token", "width", F.col("set").alias("u"), F.col("n").alias("nu"), F.col("most").alias("mu"),
         F.col("component").alias("cu"),
     )
     b = alive.select(
-        "token", "width", F.col("sig").alias("v"), F.col("n").alias("nv"), F.col("most").alias("mv"),
+        "token", "width", F.col("set").alias("v"), F.col("n").alias("nv"), F.col("most").alias("mv"),
         F.col("component").alias("cv"), "in_top",
     )
     need = percent * (F.col("nu") + F.col("nv"))
@@ -396,10 +397,10 @@ def _components(docs: DataFrame, size: int, percent: int) -> DataFrame:
     component = connected_components(edges)
 
     heads = (
-        component.join(classes, component["node"] == classes["sig"]).groupBy("component").agg(F.min("least").alias("head"))
+        component.join(classes, component["node"] == classes["set"]).groupBy("component").agg(F.min("least").alias("head"))
     )
-    headed = skewed_join(component, heads, ["component"]).select(F.col("node").alias("sig"), "head")
-    of_class = classes.join(headed, "sig", "left").select("sig", F.coalesce("head", "least").alias("head"))
+    headed = skewed_join(component, heads, ["component"]).select(F.col("node").alias("set"), "head")
+    of_class = classes.join(headed, "set", "left").select("sig", F.coalesce("head", "least").alias("head"))
     joined = skewed_join(named, of_class, ["sig"], "left", classes.select("sig", "copies"), "copies")
     out = joined.select(
         "row",
