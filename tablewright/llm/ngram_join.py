@@ -323,7 +323,8 @@ def _components(docs: DataFrame, size: int, percent: int) -> DataFrame:
             F.min(rank).alias("least"), F.first("n").alias("n"), F.count(F.lit(1)).alias("copies")
         ).withColumn("set", F.monotonically_increasing_id())
     )
-    rows = stored(rows_of_interest(gathered, classes, percent), "rows")
+    # dealt by set once and for all: no join by set moves them again
+    rows = checkpointed(rows_of_interest(gathered, classes, percent).repartition(partitions(spark), "set"))
     named = checkpointed(named)
     drop_stored(gathered)
     release(spark)
@@ -409,6 +410,4 @@ def _components(docs: DataFrame, size: int, percent: int) -> DataFrame:
         F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("head.doc_id")).alias("component_id"),
         F.coalesce(F.col("head.row") == F.col("row"), F.lit(True)).alias("first"),
     )
-    out = checkpointed(out)
-    drop_stored(rows)
-    return out
+    return checkpointed(out)
