@@ -171,9 +171,18 @@ def shared_cells(key, row, packed: bool | None = None):
     return key[order], row[order], np.minimum(held[order], 2**32 - 1).astype("<u4")
 
 
+def in_a_byte(held):
+    """Numbers of sets in one byte each, in the same order: exact up to 64, then six steps to each doubling, which is
+    enough to put columns in order; the same for every set that stands in a column."""
+    import numpy as np
+
+    steps = 64 + np.floor(6 * np.log2(np.maximum(held, 64) / 64.0))
+    return np.where(held <= 64, held, np.minimum(steps, 255)).astype("u1")
+
+
 def gather(scattered: DataFrame) -> DataFrame:
     """Block by block: documents pass through, and each set gets back its shingles that other sets hold as well, with
-    the number of sets that hold them."""
+    the number of sets that hold them (``in_a_byte``)."""
     names = [x.split()[0] for x in GATHERED.split(", ")]
 
     def block_of(table: pa.Table) -> pa.Table:
@@ -217,7 +226,7 @@ def gather(scattered: DataFrame) -> DataFrame:
         found = pa.table(
             [
                 *[pa.nulls(n, pa.int64())] * 3, pa.array([x.tobytes() for x in sets[row[begin]]], pa.binary()),
-                pa.array(np.full(n, block, np.int32)), cut(low, 4), cut(high, 1), cut(held, 4),
+                pa.array(np.full(n, block, np.int32)), cut(low, 4), cut(high, 1), cut(in_a_byte(held), 1),
             ],
             names=names,
         )
@@ -257,7 +266,7 @@ def rows_of_interest(gathered: DataFrame, classes: DataFrame, percent: int) -> D
                         )
                         for p in parts
                     ]
-                    values, held = np.concatenate(values), np.concatenate([np.frombuffer(p["held"], "<u4") for p in parts])
+                    values, held = np.concatenate(values), np.concatenate([np.frombuffer(p["held"], "u1") for p in parts])
                     tokens.append(values[np.lexsort((values, held))])
                     unique.append(n - len(values))
                 columns = (piece.column(0), piece.column(1), pa.array(unique, pa.int64()), pa.array(tokens, kinds[3][1]))
