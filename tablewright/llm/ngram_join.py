@@ -18,7 +18,9 @@ Columns that hold the same sets lead to the same pairs, so of those one is enoug
 is one column, not one for each of its shingles. Pairs that many columns lead to are made distinct before they meet the
 rows, and a column, set or component that holds a large share of all rows is dealt out over several tasks.
 
-Equal sets are one row from the start (their 128-bit digests name it), so copies cost nothing. Shingles are 64-bit
+Equal sets are one row from the start (their 128-bit digests name it), so copies cost nothing. Between blocks only as
+many bytes of a digest travel as tell that many sets apart (``name_width``); should two sets agree in them all the same,
+which is looked for, everything is done again with whole digests. Shingles are 64-bit
 hashes within a document; between documents 40 bits and the block's number tell them apart: a wrong overlap needs two of
 the few hundred shingles of one candidate pair to agree by chance. The number of blocks follows the measured bytes of
 text (``BLOCK_BYTES``), so a block is held by a task at any size of the corpus.
@@ -51,6 +53,8 @@ SLICE, SLICE_BYTES = 2048, 4 << 20
 #: Bytes of text whose shingles one block may hold.
 BLOCK_BYTES = 64 << 20
 KEY_BITS = 40
+#: Bytes of a whole digest.
+WHOLE = 16
 #: Rows of a column that meet in one task at most on either side.
 SQUARE = 1000
 
@@ -86,9 +90,14 @@ def shingles(text: str | None, size: int = WORDS):
     return np.unique(out)
 
 
-def scatter(docs: DataFrame, blocks: int, size: int) -> DataFrame:
+def name_width(n: int) -> int:
+    """Bytes of a digest by which n sets are all different but for a chance of 1 in 2000 at most."""
+    return min(WHOLE, -(-(2 * max(1, n).bit_length() + 10) // 8))
+
+
+def scatter(docs: DataFrame, blocks: int, size: int, width: int) -> DataFrame:
     """Rows of two kinds: (block, row, doc_id, n, sig) for each document, and for each slice of documents and block the
-    shingles of that block: digests of the sets, how many each has, and the shingles' 32 low and 8 high bits."""
+    shingles of that block: the first ``width`` bytes of the sets' digests, how many each has, and the shingles' 32 low and 8 high bits."""
     names = [x.split()[0] for x in SCATTERED.split(", ")]
     kinds = [pa.int32(), *[pa.int64()] * 3, *[pa.binary()] * 5]
     schema = pa.schema(list(zip(names, kinds)))
@@ -99,7 +108,7 @@ def scatter(docs: DataFrame, blocks: int, size: int) -> DataFrame:
         sets, sigs, seen, first = [], [], set(), []
         for text in texts:
             found = shingles(text, size)
-            sig = hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None
+            sig = hashlib.blake2b(found.tobytes(), digest_size=WHOLE).digest() if len(found) else None
             sigs.append(sig)
             sets.append(len(found))
             if sig and sig not in seen:  # of equal sets in a slice one is enough
@@ -120,7 +129,7 @@ def scatter(docs: DataFrame, blocks: int, size: int) -> DataFrame:
         low = (tokens & np.uint64(0xFFFFFFFF)).astype("<u4")
         high = ((tokens >> np.uint64(32)) & np.uint64(0xFF)).astype("u1")
         ends = np.cumsum(np.bincount(block, minlength=blocks))
-        digests = np.frombuffer(b"".join(s for s, _ in first), "V16")
+        digests = np.frombuffer(b"".join(s[:width] for s, _ in first), f"V{width}")
         columns: list[list] = [[], [], [], [], []]
         begin = 0
         for b, end in enumerate(ends.tolist()):
@@ -180,7 +189,7 @@ def in_a_byte(held):
     return np.where(held <= 64, held, np.minimum(steps, 255)).astype("u1")
 
 
-def gather(scattered: DataFrame) -> DataFrame:
+def gather(scattered: DataFrame, width: int) -> DataFrame:
     """Block by block: documents pass through, and each set gets back its shingles that other sets hold as well, with
     the number of sets that hold them (``in_a_byte``)."""
     names = [x.split()[0] for x in GATHERED.split(", ")]
@@ -195,10 +204,13 @@ def gather(scattered: DataFrame) -> DataFrame:
         out = pa.table([*(docs[c] for c in names[:4]), *(none.cast(k) for k in kinds[4:])], names=names)
         if not len(rows):
             return out
-        sigs = np.concatenate([np.frombuffer(x.as_buffer(), "<u8") for x in rows["sigs"]]).reshape(-1, 2)
+        cut_names = np.concatenate([np.frombuffer(x.as_buffer(), "u1") for x in rows["sigs"]]).reshape(-1, width)
+        sigs = np.zeros((len(cut_names), WHOLE), "u1")
+        sigs[:, :width] = cut_names
+        sigs = sigs.view("<u8")
         counts = np.concatenate(
             [
-                np.frombuffer(c.as_buffer(), "u1" if len(c.as_buffer()) == len(s.as_buffer()) // 16 else "<u4").astype(np.int64)
+                np.frombuffer(c.as_buffer(), "u1" if len(c.as_buffer()) == len(s.as_buffer()) // width else "<u4").astype(np.int64)
                 for c, s in zip(rows["counts"], rows["sigs"])
             ]
         )
@@ -225,7 +237,7 @@ def gather(scattered: DataFrame) -> DataFrame:
         n = len(ends)
         found = pa.table(
             [
-                *[pa.nulls(n, pa.int64())] * 3, pa.array([x.tobytes() for x in sets[row[begin]]], pa.binary()),
+                *[pa.nulls(n, pa.int64())] * 3, pa.array([x.tobytes()[:width] for x in sets[row[begin]]], pa.binary()),
                 pa.array(np.full(n, block, np.int32)), cut(low, 4), cut(high, 1), cut(in_a_byte(held), 1),
             ],
             names=names,
@@ -240,14 +252,14 @@ def least_overlap(n: int, m: int, percent: int) -> int:
     return -(-percent * (n + m) // (100 + percent))
 
 
-def rows_of_interest(gathered: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def rows_of_interest(gathered: DataFrame, classes: DataFrame, percent: int, width: int) -> DataFrame:
     """(set, n, unique, tokens): the sets (by their number in ``classes``) that share enough shingles with others for
     some partner, their shared shingles in the common order. The block's number stands in the bits above a shingle's
     own."""
     parts = gathered.where("low IS NOT NULL").groupBy("sig").agg(
         F.sum(F.octet_length("high")).alias("shared"), F.collect_list(F.struct("block", "low", "high", "held")).alias("parts")
     )
-    enough = parts.join(classes.select("sig", "set", "n"), "sig").where(F.col("shared") * 100 >= F.col("n") * percent)
+    enough = parts.join(classes.select(F.substring("sig", 1, width).alias("sig"), "set", "n"), "sig").where(F.col("shared") * 100 >= F.col("n") * percent)
     kinds = [("set", pa.int64()), ("n", pa.int64()), ("unique", pa.int64()), ("tokens", pa.list_(pa.int64()))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -319,11 +331,11 @@ def _across(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.join(b, ["token", "r", "c"])
 
 
-def _components(docs: DataFrame, size: int, percent: int) -> DataFrame:
+def _components(docs: DataFrame, size: int, percent: int, width: int | None = None) -> DataFrame:
     spark = docs.sparkSession
-    bytes_ = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(partitions(spark), -(-bytes_ // BLOCK_BYTES))
-    gathered = stored(gather(scatter(docs, blocks, size)), "shingles")
+    n, bytes_ = docs.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
+    blocks, width = max(partitions(spark), -(-(bytes_ or 0) // BLOCK_BYTES)), width or name_width(n)
+    gathered = stored(gather(scatter(docs, blocks, size, width), width), "shingles")
     release(spark)
     named = gathered.where("low IS NULL").select("row", "doc_id", "n", "sig")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
@@ -332,8 +344,11 @@ def _components(docs: DataFrame, size: int, percent: int) -> DataFrame:
             F.min(rank).alias("least"), F.first("n").alias("n"), F.count(F.lit(1)).alias("copies")
         ).withColumn("set", F.monotonically_increasing_id())
     )
+    if width < WHOLE and classes.groupBy(F.substring("sig", 1, width)).count().where("count > 1").head(1):
+        drop_stored(gathered)
+        return _components(docs, size, percent, WHOLE)
     # dealt by set once and for all: no join by set moves them again
-    rows = checkpointed(rows_of_interest(gathered, classes, percent).repartition(partitions(spark), "set"))
+    rows = checkpointed(rows_of_interest(gathered, classes, percent, width).repartition(partitions(spark), "set"))
     named = checkpointed(named)
     drop_stored(gathered)
     release(spark)
