@@ -145,3 +145,19 @@ def test_frames_that_are_no_files(spark, docs_of):
     df = docs_of(texts).repartition(5).withColumn("order", __import__("pyspark.sql.functions", fromlist=["x"]).rand())
     want = sorted({c if n else i for i, (n, c) in brute(texts).items()})
     assert sorted(r.doc_id for r in ngram_join.deduplicate(df.orderBy("order")).collect()) == want
+
+
+def test_names_too_short_to_tell_sets_apart(spark, docs_of, table_dir, monkeypatch):
+    assert [ngram_join.name_width(n) for n in (0, 1000, 10**6, 10**11, 10**30)] == [2, 4, 7, 11, 16]
+    monkeypatch.setattr(ngram_join, "name_width", lambda n: 1)
+    texts = corpus(2) + [f"one two three four five {i}" for i in range(300)]
+    rows = op2_ngram_jaccard_join(spark, table_dir(docs_of(texts).repartition(3))).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == brute(texts)
+
+
+def test_in_a_byte():
+    import numpy as np
+
+    held = np.unique(np.concatenate([np.arange(1, 3000), 2 ** np.arange(12, 33) - 1]))
+    out = ngram_join.in_a_byte(held)
+    assert (out[:64] == held[:64]).all() and (np.diff(out.astype(int)) >= 0).all() and out[-1] < 255
