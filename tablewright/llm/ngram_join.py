@@ -347,8 +347,7 @@ def _components(docs: DataFrame, size: int, percent: int, width: int | None = No
     if width < WHOLE and classes.groupBy(F.substring("sig", 1, width)).count().where("count > 1").head(1):
         drop_stored(gathered)
         return _components(docs, size, percent, WHOLE)
-    # dealt by set once and for all: no join by set moves them again
-    rows = checkpointed(rows_of_interest(gathered, classes, percent, width).repartition(partitions(spark), "set"))
+    rows = stored(rows_of_interest(gathered, classes, percent, width), "rows")
     named = checkpointed(named)
     drop_stored(gathered)
     release(spark)
@@ -434,4 +433,6 @@ def _components(docs: DataFrame, size: int, percent: int, width: int | None = No
         F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("head.doc_id")).alias("component_id"),
         F.coalesce(F.col("head.row") == F.col("row"), F.lit(True)).alias("first"),
     )
-    return checkpointed(out)
+    out = checkpointed(out)
+    drop_stored(rows)
+    return out
