@@ -61,7 +61,10 @@ SQUARE = 1000
 SCATTERED = (
     "block int, row long, doc_id long, n long, sig binary, sigs binary, counts binary, low binary, high binary"
 )
-GATHERED = "row long, doc_id long, n long, sig binary, block int, low binary, high binary, held binary"
+GATHERED = "row long, doc_id long, n long, sig binary, cells binary"
+#: What a block sends back to a set: a cell for the block's number (in ``low``), then one for each shared shingle.
+CELL = [("low", "<u4"), ("high", "u1"), ("held", "u1")]
+CELL_BYTES = 6
 
 
 def mixed(x):
@@ -200,8 +203,7 @@ def gather(scattered: DataFrame, width: int) -> DataFrame:
         is_doc = pc.is_null(table["low"])
         docs, rows = table.filter(is_doc), table.filter(pc.invert(is_doc))
         none = pa.nulls(len(docs))
-        kinds = [*[pa.int64()] * 3, pa.binary(), pa.int32(), *[pa.binary()] * 3]
-        out = pa.table([*(docs[c] for c in names[:4]), *(none.cast(k) for k in kinds[4:])], names=names)
+        out = pa.table([*(docs[c] for c in names[:4]), none.cast(pa.binary())], names=names)
         if not len(rows):
             return out
         cut_names = np.concatenate([np.frombuffer(x.as_buffer(), "u1") for x in rows["sigs"]]).reshape(-1, width)
@@ -224,24 +226,19 @@ def gather(scattered: DataFrame, width: int) -> DataFrame:
         sets = sigs[new]
         key, row, held = shared_cells(low | high << np.uint64(32), np.repeat(number, counts))
         begin = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else np.empty(0, np.int64)
-        ends = np.concatenate([begin[1:], [len(row)]]) if len(row) else begin
-        low, high = (key & np.uint64(0xFFFFFFFF)).astype("<u4"), (key >> np.uint64(32)).astype("u1")
-        block = rows["block"][0].as_py()
-
-        def cut(values, width: int) -> pa.Array:
-            offsets = np.concatenate([begin, [len(row)]]).astype(np.int64) * width
-            return pa.LargeBinaryArray.from_buffers(
-                pa.large_binary(), len(begin), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(values.tobytes())]
-            ).cast(pa.binary())
-
-        n = len(ends)
-        found = pa.table(
-            [
-                *[pa.nulls(n, pa.int64())] * 3, pa.array([x.tobytes()[:width] for x in sets[row[begin]]], pa.binary()),
-                pa.array(np.full(n, block, np.int32)), cut(low, 4), cut(high, 1), cut(in_a_byte(held), 1),
-            ],
-            names=names,
-        )
+        cells = np.zeros(len(row), CELL)
+        cells["low"], cells["high"] = key & np.uint64(0xFFFFFFFF), key >> np.uint64(32)
+        cells["held"] = in_a_byte(held)
+        head = np.zeros(1, CELL)
+        head["low"] = rows["block"][0].as_py()
+        cells = np.insert(cells, begin, head)
+        offsets = (np.append(begin, len(row)) + np.arange(len(begin) + 1)) * CELL_BYTES
+        n = len(begin)
+        sent = pa.LargeBinaryArray.from_buffers(
+            pa.large_binary(), n, [None, pa.py_buffer(offsets.astype(np.int64).tobytes()), pa.py_buffer(cells.tobytes())]
+        ).cast(pa.binary())
+        owners = pa.array([x.tobytes()[:width] for x in sets[row[begin]]], pa.binary())
+        found = pa.table([*[pa.nulls(n, pa.int64())] * 3, owners, sent], names=names)
         return pa.concat_tables([out, found])
 
     return scattered.groupBy("block").applyInArrow(block_of, GATHERED)
@@ -256,8 +253,8 @@ def rows_of_interest(gathered: DataFrame, classes: DataFrame, percent: int, widt
     """(set, n, unique, tokens): the sets (by their number in ``classes``) that share enough shingles with others for
     some partner, their shared shingles in the common order. The block's number stands in the bits above a shingle's
     own."""
-    parts = gathered.where("low IS NOT NULL").groupBy("sig").agg(
-        F.sum(F.octet_length("high")).alias("shared"), F.collect_list(F.struct("block", "low", "high", "held")).alias("parts")
+    parts = gathered.where("cells IS NOT NULL").groupBy("sig").agg(
+        F.sum(F.expr(f"octet_length(cells) div {CELL_BYTES} - 1")).alias("shared"), F.collect_list("cells").alias("parts")
     )
     enough = parts.join(classes.select(F.substring("sig", 1, width).alias("sig"), "set", "n"), "sig").where(F.col("shared") * 100 >= F.col("n") * percent)
     kinds = [("set", pa.int64()), ("n", pa.int64()), ("unique", pa.int64()), ("tokens", pa.list_(pa.int64()))]
@@ -270,15 +267,11 @@ def rows_of_interest(gathered: DataFrame, classes: DataFrame, percent: int, widt
                 piece = batch.slice(at, 64)
                 tokens, unique = [], []
                 for n, parts in zip(piece.column(1).to_pylist(), piece.column(2).to_pylist()):
-                    values = [
-                        (
-                            np.frombuffer(p["low"], "<u4").astype(np.int64)
-                            | np.frombuffer(p["high"], "u1").astype(np.int64) << 32
-                            | p["block"] << KEY_BITS
-                        )
-                        for p in parts
-                    ]
-                    values, held = np.concatenate(values), np.concatenate([np.frombuffer(p["held"], "u1") for p in parts])
+                    parts = [np.frombuffer(p, CELL) for p in parts]
+                    block = np.repeat([int(p["low"][0]) for p in parts], [len(p) - 1 for p in parts])
+                    cells = np.concatenate([p[1:] for p in parts])
+                    values = cells["low"].astype(np.int64) | cells["high"].astype(np.int64) << 32 | block << KEY_BITS
+                    held = cells["held"]
                     tokens.append(values[np.lexsort((values, held))])
                     unique.append(n - len(values))
                 columns = (piece.column(0), piece.column(1), pa.array(unique, pa.int64()), pa.array(tokens, kinds[3][1]))
@@ -337,7 +330,7 @@ def _components(docs: DataFrame, size: int, percent: int, width: int | None = No
     blocks, width = max(partitions(spark), -(-(bytes_ or 0) // BLOCK_BYTES)), width or name_width(n)
     gathered = stored(gather(scatter(docs, blocks, size, width), width), "shingles")
     release(spark)
-    named = gathered.where("low IS NULL").select("row", "doc_id", "n", "sig")
+    named = gathered.where("cells IS NULL").select("row", "doc_id", "n", "sig")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     classes = checkpointed(
         named.where("sig IS NOT NULL").groupBy("sig").agg(
