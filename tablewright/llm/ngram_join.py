@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.skew import skewed_join
-from .common import as_table, checkpointed, drop_stored, partitions, release, stored, text_steps
+from .common import BROADCAST_BYTES, as_table, checkpointed, drop_stored, partitions, release, stored, text_steps
 from .graph import connected_components
 
 #: Words in a shingle; the least similarity, in hundredths.
@@ -53,6 +53,8 @@ SLICE, SLICE_BYTES = 2048, 4 << 20
 #: Bytes of text whose shingles one block may hold.
 BLOCK_BYTES = 64 << 20
 KEY_BITS = 40
+#: Bytes that the number of a set takes where every task knows it.
+END_BYTES = 32
 #: Bytes of a whole digest.
 WHOLE = 16
 #: Rows of a column that meet in one task at most on either side.
@@ -282,7 +284,11 @@ def rows_of_interest(gathered: DataFrame, classes: DataFrame, percent: int, widt
 
 def linked(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (u, v) whose rows overlap enough, counted in full. A set that stands in very many pairs is
-    copied to several tasks, each with a part of its pairs."""
+    copied to several tasks, each with a part of its pairs. Rows that stand in no pair stay where they are, if those
+    that do are few enough (measured) for every task to know their numbers."""
+    ends = checkpointed(pairs.select(F.explode(F.array("u", "v")).alias("set")).distinct())
+    if ends.count() * END_BYTES <= BROADCAST_BYTES:
+        rows = rows.join(F.broadcast(ends), "set", "left_semi")
     left = rows.select(F.col("set").alias("u"), F.col("n").alias("nu"), F.col("tokens").alias("tu"))
     right = rows.select(F.col("set").alias("v"), F.col("n").alias("nv"), F.col("tokens").alias("tv"))
     popular = checkpointed(pairs.groupBy("v").count())
