@@ -12,7 +12,9 @@ wording apart elsewhere in the file is in ``ELSEWHERE``.
 
 A file named like a licence file also declares for its directory. Files that declare nothing inherit from the nearest
 ancestor directory that does. This is a join of directories with their own ancestors; every directory is joined once,
-however many files it holds, and one of very many files is dealt out over several tasks.
+however many files it holds, and one of very many files is dealt out over several tasks. Where files have no names
+(``named=False``), one declares for its directory if its statement makes up nearly all of its words (``WHOLLY``); if such
+files of a directory declare different licences, which of them holds is not known, and nothing is handed down there.
 
 Defined results: null and empty texts declare nothing; texts may be of any length; of equal scores the licence first in
 the alphabet wins, of two licence files in a directory the better match, then the smaller path; a null path inherits
@@ -132,6 +134,8 @@ TERM = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
 LICENSE_FILE = re.compile(r"(^|/)(licen[cs]e|copying|notice|unlicense)([._-][^/]*)?$", re.I)
 #: The least cosine that counts.
 LEAST = 0.6
+#: The share of a file's words that its statement makes up at least if the file, without a name, is a licence file.
+WHOLLY = 0.8
 
 
 def terms(line: str) -> list[str]:
@@ -193,13 +197,17 @@ class Model:
 
     def scan(self, text: str | None) -> tuple[str | None, float | None]:
         """The licence that a text declares, and its score."""
+        return self.statement(text)[:2]
+
+    def statement(self, text: str | None) -> tuple[str | None, float | None, float]:
+        """The licence that a text declares, its score, and the share of the text's words that state it."""
         raw = [line for line in (text or "").split("\n") if TERM.search(line.lower())]
         lines = [terms(line) for line in raw]
         hit = [any(t in VOCABULARY for t in words) for words in lines]
         if not any(hit):
-            return None, None
+            return None, None, 0.0
         whole = frozenset(t for words in lines for t in words)
-        best, at = None, 0
+        best, said_in, at = None, 0, 0
         while at < len(lines):
             if not hit[at]:
                 at += 1
@@ -213,9 +221,9 @@ class Model:
             for said, words in units:
                 found = self.best(words, whole)
                 if found and not DENIED.search(said) and (best is None or (-found[0], found[1]) < (-best[0], best[1])):
-                    best = found
+                    best, said_in = found, len(words)
             at = end
-        return (best[1], round(best[0], 6)) if best else (None, None)
+        return (best[1], round(best[0], 6), said_in / sum(map(len, lines))) if best else (None, None, 0.0)
 
 
 def corpus_model(files: DataFrame, text: str = "text") -> Model:
@@ -236,8 +244,11 @@ def corpus_model(files: DataFrame, text: str = "text") -> Model:
     return Model(frequency, files.count())
 
 
-def declared(files: DataFrame, model: Model, path: str = "path", text: str = "text") -> DataFrame:
-    """files without their texts, with ``license``, ``score`` and ``is_license_file``."""
+def declared(
+    files: DataFrame, model: Model, path: str = "path", text: str = "text", named: bool = True
+) -> DataFrame:
+    """files without their texts, with ``license``, ``score`` and ``is_license_file``: by its name, or if the paths do
+    not name files, by what it holds."""
     new = ("license", "score", "is_license_file")
     names = others(files, text, *new)
     columns = [F.col(f"`{c}`") for c in names]
@@ -247,19 +258,22 @@ def declared(files: DataFrame, model: Model, path: str = "path", text: str = "te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_steps(batch, len(names)):
-                found = [model.scan(t) for t in part.column(len(names)).to_pylist()]
-                named = [bool(p and LICENSE_FILE.search(p)) for p in part.column(at_path).to_pylist()]
+                found = [model.statement(t) for t in part.column(len(names)).to_pylist()]
+                if named:
+                    files_of = [bool(p and LICENSE_FILE.search(p)) for p in part.column(at_path).to_pylist()]
+                else:
+                    files_of = [share >= WHOLLY for _, _, share in found]
                 more = [
                     pa.array([f[0] for f in found], pa.string()),
                     pa.array([f[1] for f in found], pa.float64()),
-                    pa.array([f[0] is not None and n for f, n in zip(found, named)], pa.bool_()),
+                    pa.array([f[0] is not None and n for f, n in zip(found, files_of)], pa.bool_()),
                 ]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *more], names=[*names, *new])
 
     return files.select(*columns, F.col(f"`{text}`").alias(free_name(files, "__text"))).mapInArrow(run, schema)
 
 
-def inherit(found: DataFrame, path: str = "path") -> DataFrame:
+def inherit(found: DataFrame, path: str = "path", named: bool = True) -> DataFrame:
     """Adds ``inherited_license`` and ``inherited_from`` (a directory, "" being the root) to rows of ``declared``."""
     own = others(found, "inherited_license", "inherited_from")
     own_path = F.col(f"`{path}`")
@@ -270,8 +284,9 @@ def inherit(found: DataFrame, path: str = "path") -> DataFrame:
     rows = found.select(F.struct(*(F.col(f"`{c}`") for c in own)).alias("kept"), folder.alias("dir"))
     # hashed apart first: of a directory with very many files only a few rows come together
     better = F.struct((-F.col("kept.score")).alias("s"), F.col("kept")[path].alias("p"), F.col("kept.license").alias("license"))
-    owners = rows.where("kept.is_license_file").groupBy("dir").agg(F.min(better).alias("o")).select(
-        F.col("dir").alias("owner"), F.col("o.license").alias("inherited_license")
+    agree = F.lit(True) if named else F.min("kept.license") == F.max("kept.license")
+    owners = rows.where("kept.is_license_file").groupBy("dir").agg(F.min(better).alias("o"), agree.alias("agree")).select(
+        F.col("dir").alias("owner"), F.when(F.col("agree"), F.col("o.license")).alias("inherited_license")
     )
     folders = checkpointed(rows.where("dir IS NOT NULL").groupBy("dir").count())
     steps = F.when(F.col("dir") == "", F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.size(F.split("dir", "/"))))
@@ -280,11 +295,12 @@ def inherit(found: DataFrame, path: str = "path") -> DataFrame:
     )
     nearest = ancestors.join(owners, "owner").groupBy("dir").agg(
         F.max_by(F.struct("inherited_license", F.col("owner").alias("inherited_from")), "depth").alias("n")
-    )
+    ).where("n.inherited_license IS NOT NULL")
     return skewed_join(rows, nearest, ["dir"], "left", folders).select("kept.*", "n.inherited_license", "n.inherited_from")
 
 
-def scan_licenses(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
-    """What every file declares and inherits; ``effective_license`` is its own, else the inherited one."""
-    out = inherit(checkpointed(declared(files, corpus_model(files, text), path, text)), path)
+def scan_licenses(files: DataFrame, path: str = "path", text: str = "text", named: bool = True) -> DataFrame:
+    """What every file declares and inherits; ``effective_license`` is its own, else the inherited one. ``named`` says
+    whether the last part of a path is the name of a file, which can tell a licence file."""
+    out = inherit(checkpointed(declared(files, corpus_model(files, text), path, text, named)), path, named)
     return out.withColumn("effective_license", F.coalesce("license", "inherited_license"))

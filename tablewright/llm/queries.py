@@ -70,7 +70,8 @@ def op5_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = F.concat_ws("/", F.coalesce("source", F.lit("_")), F.coalesce("lang", F.lit("_")))
     path = F.concat(folder, F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
-    return scan_licenses(table(spark, sf_dir, "documents").select("doc_id", path.alias("path"), "text"))
+    # the ids are no names of files: what a document holds decides whether it declares for its folder
+    return scan_licenses(table(spark, sf_dir, "documents").select("doc_id", path.alias("path"), "text"), named=False)
 
 
 @query
