@@ -8,6 +8,8 @@ address is stored once. Below ``path`` the store holds three Parquet tables:
 ``recipes``   in ascending doc_id order: doc_id, start, n_tokens, the document's chunk ids, their sizes, Merkle root
 ``manifest``  one row for each partition of recipes: Merkle root over its documents (a tree over the trees of blocks of
               documents), number of documents and tokens
+``layout``    into how many buckets by chunk_id the files of chunks are dealt: a reader who knows it need not move a
+              payload to find it; without this table the store reads the same, at the price of one more shuffle
 
 Reading verifies: every payload must hash to its address, every recipe (chunk ids and sizes) to its root, every partition
 (roots, starts, numbers of tokens) to the manifest; every chunk that a recipe names must be there once and as long as the
@@ -21,14 +23,16 @@ chunk is never longer than ``MOST`` ids, a recipe is as long as its document nee
 from __future__ import annotations
 
 import hashlib
+import uuid
 import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.skew import skewed_join
+from ..functions.skew import heavy_keys, skewed_join
 from . import tokens
 from .common import checkpointed, drop_stored, extended, partitions, release, sorted_with_offsets, stored
 
@@ -152,14 +156,46 @@ def _first_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield batch.filter(pa.array(new, pa.bool_()))
 
 
+def _write_buckets(chunks: DataFrame, path: str, buckets: int) -> None:
+    """Files by the hash of chunk_id, as Spark deals them out for a shuffle. Only the session's own catalogue knows the
+    table, under a name that goes again at once."""
+    name, spark = f"chunks_{uuid.uuid4().hex}", chunks.sparkSession
+    rows = chunks.write.option("compression", "zstd").option("parquet.enable.dictionary", "false").option("path", path)
+    rows.format("parquet").bucketBy(buckets, "chunk_id").saveAsTable(name)
+    spark.sql(f"DROP TABLE {name}")
+
+
+def _chunks(spark: SparkSession, path: str) -> DataFrame:
+    """chunk_id, n_ids, payload, known to Spark as dealt out by chunk_id if the store says so."""
+    plain = spark.read.schema("chunk_id binary, n_ids int, payload binary").parquet(f"{path}/chunks")
+    try:
+        buckets = spark.read.parquet(f"{path}/layout").first()[0]
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return plain
+    name, quoted = f"chunks_{uuid.uuid4().hex}", f"{path}/chunks".replace("\\", "\\\\").replace("'", "\\'")
+    spark.sql(
+        f"CREATE TABLE {name} (chunk_id BINARY, n_ids INT, payload BINARY) USING parquet "
+        f"CLUSTERED BY (chunk_id) INTO {buckets} BUCKETS LOCATION '{quoted}'"
+    )
+    out = spark.table(name)
+    out.columns  # resolved from here on
+    spark.sql(f"DROP TABLE {name}")
+    return out
+
+
 def write_store(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = 1) -> int:
     """Encodes ``doc_id, text`` and writes the store at ``path``, where nothing may be yet. Returns the ids written."""
     tokenizer = tokenizer or tokens.default_path()
     width = 2 if tokens.encoder(tokenizer).model.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else 4
     encoded = stored(_encoded(docs, tokenizer, end_id, width), "encoded", "zstd")
-    parts = encoded.select(F.inline("fresh")).repartition(partitions(docs.sparkSession), "chunk_id")
+    buckets = partitions(docs.sparkSession)
+    parts = encoded.select(F.inline("fresh")).repartition(buckets, "chunk_id")
     unique = parts.mapInArrow(_first_of_each, parts.schema)
-    unique.write.option("compression", "zstd").option("parquet.enable.dictionary", "false").parquet(f"{path}/chunks")
+    _write_buckets(unique, f"{path}/chunks", buckets)
+    docs.sparkSession.createDataFrame([(buckets,)], "buckets int").coalesce(1).write.parquet(f"{path}/layout")
+    release(docs.sparkSession)
     recipes, total = sorted_with_offsets(encoded.drop("fresh"), ["doc_id"], "n_tokens", "start")
     recipes = recipes.withColumn("part", F.spark_partition_id())
     recipes.write.option("compression", "zstd").parquet(f"{path}/recipes")
@@ -225,7 +261,7 @@ def verified_recipes(spark: SparkSession, path: str) -> DataFrame:
 def _contents(spark: SparkSession, path: str, result, ddl: str) -> DataFrame:
     """(root, *result) for each different document, put together from its chunks: ``result`` makes of its ids (their
     bytes as stored, and how many there are) what ``ddl`` names. Equal documents have one root and are put together once; chunks that very many
-    documents share are dealt out over several tasks."""
+    documents share are known to every task."""
     release(spark)  # of what wrote the store nothing is needed any more
     kinds = extended(spark.createDataFrame([], "root binary"), *((x.split()[0], x.split()[1]) for x in ddl.split(", ")))
     recipes = verified_recipes(spark, path).select("root", "chunk_ids", "sizes").dropDuplicates(["root"])
@@ -235,8 +271,17 @@ def _contents(spark: SparkSession, path: str, result, ddl: str) -> DataFrame:
     # counted over all recipes as they are: this only decides how the join is dealt out
     listed = spark.read.parquet(f"{path}/recipes").select(F.explode("chunk_ids").alias("chunk_id"))
     uses = checkpointed(listed.groupBy("chunk_id").count())
-    chunks = spark.read.parquet(f"{path}/chunks").select("chunk_id", "n_ids", "payload")
-    joined = skewed_join(parts, chunks, ["chunk_id"], "left", uses)
+    chunks = _chunks(spark, path)
+    # chunks of very many documents (a bounded number, by arithmetic) go to every task; the others' payloads stay where they lie
+    heavy = heavy_keys(uses, ["chunk_id"], "count", partitions(spark))
+    if heavy is None:
+        joined = parts.join(chunks, "chunk_id", "left")
+    else:
+        often = F.broadcast(heavy.select("chunk_id"))
+        shared = F.broadcast(chunks.join(often, "chunk_id", "left_semi"))
+        joined = parts.join(often, "chunk_id", "left_anti").join(chunks, "chunk_id", "left").unionByName(
+            parts.join(often, "chunk_id", "left_semi").join(shared, "chunk_id", "left")
+        )
     whole = joined.groupBy("root").agg(F.collect_list(F.struct("pos", "chunk_id", "n", "n_ids", "payload")).alias("parts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -105,3 +105,20 @@ def test_missing_chunks_and_changed_numbers(spark, docs_of, texts, tmp_path):
         for read in (token_store.digests, token_store.read_documents):
             with pytest.raises(Exception, match="missing|add up|as long|does not match|do not match"):
                 read(spark, f"{tmp_path}/{name}").collect()
+
+
+def test_payloads_are_not_moved_to_be_found(spark, docs_of, texts, tmp_path, monkeypatch):
+    """op3_content_store: the files of chunks lie as the join wants them, also for names with quotes and where some
+    chunks are in very many documents."""
+    path = str(tmp_path / "sto're")
+    monkeypatch.setattr("tablewright.functions.skew.LIGHT", 2)
+    monkeypatch.setattr("tablewright.functions.skew.SHARE", 20)
+    token_store.write_store(docs_of(texts), path)
+    chunks = token_store._chunks(spark, path)
+    ids = spark.read.parquet(f"{path}/recipes").select(F.explode("chunk_ids").alias("chunk_id"))
+    plan = ids.join(chunks.hint("merge"), "chunk_id", "left")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(chunk_id") == 1 and "Bucketed: true" in plan
+    assert {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in token_store.digests(spark, path).collect()} == {
+        k: v[:3] for k, v in plain(texts).items()
+    }
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("chunks_")]
