@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.skew import skewed_join
-from .common import BROADCAST_BYTES, as_table, checkpointed, drop_stored, partitions, release, stored, text_steps
+from .common import BROADCAST_BYTES, as_table, checkpointed, drop_stored, give_back, partitions, release, stored, text_steps
 from .graph import connected_components
 
 #: Words in a shingle; the least similarity, in hundredths.
@@ -154,6 +154,7 @@ def scatter(docs: DataFrame, blocks: int, size: int, width: int) -> DataFrame:
         for batch in batches:
             for part in text_steps(batch, 2, SLICE_BYTES, SLICE):
                 yield from rows_of(*(part.column(i).to_pylist() for i in range(3)))
+        give_back()
 
     return docs.select("row", F.col("doc_id").cast("long"), "text").mapInArrow(run, SCATTERED)
 
@@ -166,8 +167,17 @@ def shared_cells(key, row, packed: bool | None = None):
 
     bits = max(1, int(row.max(initial=0)).bit_length())
     if bits <= 64 - KEY_BITS if packed is None else packed:
-        cell = np.unique(key << np.uint64(bits) | row.astype(np.uint64))  # a set counts once in a column
-        key, row = cell >> np.uint64(bits), (cell & np.uint64((1 << bits) - 1)).astype(np.int64)
+        cell = key << np.uint64(bits)
+        cell |= row.astype(np.uint64, copy=False)
+        del key, row  # a block's columns are large: what is done with goes at once
+        cell.sort()
+        new = np.ones(len(cell), bool)
+        new[1:] = cell[1:] != cell[:-1]
+        cell = cell[new]  # a set counts once in a column
+        key, row = cell >> np.uint64(bits), cell
+        row &= np.uint64((1 << bits) - 1)
+        row = row.view(np.int64)
+        del cell
     else:
         order = np.lexsort((row, key))
         key, row = key[order], row[order]
@@ -176,13 +186,15 @@ def shared_cells(key, row, packed: bool | None = None):
         key, row = key[new], row[new]
     new = np.ones(len(key), bool)
     new[1:] = key[1:] != key[:-1]
+    last = np.ones(len(key), bool)
+    last[:-1] = new[1:]
+    shared = ~(new & last)
+    key, row, new = key[shared], row[shared], new[shared]
     starts = np.flatnonzero(new)
-    held = np.diff(np.concatenate([starts, [len(key)]]))
-    held = np.repeat(held, held)
-    shared = held > 1
-    key, row, held = key[shared], row[shared], held[shared]
+    held = np.diff(np.append(starts, len(key)))
+    held = np.repeat(np.minimum(held, 2**32 - 1).astype("<u4"), held)
     order = np.argsort(row, kind="stable")
-    return key[order], row[order], np.minimum(held[order], 2**32 - 1).astype("<u4")
+    return key[order], row[order], held[order]
 
 
 def in_a_byte(held):
@@ -199,16 +211,23 @@ def gather(scattered: DataFrame, width: int) -> DataFrame:
     the number of sets that hold them (``in_a_byte``)."""
     names = [x.split()[0] for x in GATHERED.split(", ")]
 
-    def block_of(table: pa.Table) -> pa.Table:
+    def joined(column: pa.ChunkedArray, kind: str):
         import numpy as np
 
-        is_doc = pc.is_null(table["low"])
-        docs, rows = table.filter(is_doc), table.filter(pc.invert(is_doc))
-        none = pa.nulls(len(docs))
-        out = pa.table([*(docs[c] for c in names[:4]), none.cast(pa.binary())], names=names)
-        if not len(rows):
-            return out
-        cut_names = np.concatenate([np.frombuffer(x.as_buffer(), "u1") for x in rows["sigs"]]).reshape(-1, width)
+        return np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in column])
+
+    def keys(rows: pa.Table):
+        import numpy as np
+
+        key = joined(rows["high"], "u1").astype(np.uint64)
+        key <<= np.uint64(32)
+        key |= joined(rows["low"], "<u4")
+        return key
+
+    def sets_of(rows: pa.Table):
+        import numpy as np
+
+        cut_names = joined(rows["sigs"], "u1").reshape(-1, width)
         sigs = np.zeros((len(cut_names), WHOLE), "u1")
         sigs[:, :width] = cut_names
         sigs = sigs.view("<u8")
@@ -218,15 +237,19 @@ def gather(scattered: DataFrame, width: int) -> DataFrame:
                 for c, s in zip(rows["counts"], rows["sigs"])
             ]
         )
-        low = np.concatenate([np.frombuffer(x.as_buffer(), "<u4") for x in rows["low"]]).astype(np.uint64)
-        high = np.concatenate([np.frombuffer(x.as_buffer(), "u1") for x in rows["high"]]).astype(np.uint64)
         order = np.lexsort((sigs[:, 1], sigs[:, 0]))
         sigs = sigs[order]
         new = np.concatenate([[True], (sigs[1:] != sigs[:-1]).any(axis=1)])
-        number = np.empty(len(order), np.int64)
+        number = np.empty(len(order), np.uint64)
         number[order] = np.cumsum(new) - 1
-        sets = sigs[new]
-        key, row, held = shared_cells(low | high << np.uint64(32), np.repeat(number, counts))
+        return sigs[new], number, counts
+
+    def found_in(rows: pa.Table) -> pa.Table:
+        import numpy as np
+
+        sets, number, counts = sets_of(rows)
+        # as arguments only, so that they can go when they are packed
+        key, row, held = shared_cells(keys(rows), np.repeat(number, counts))
         begin = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else np.empty(0, np.int64)
         cells = np.zeros(len(row), CELL)
         cells["low"], cells["high"] = key & np.uint64(0xFFFFFFFF), key >> np.uint64(32)
@@ -240,8 +263,18 @@ def gather(scattered: DataFrame, width: int) -> DataFrame:
             pa.large_binary(), n, [None, pa.py_buffer(offsets.astype(np.int64).tobytes()), pa.py_buffer(cells.tobytes())]
         ).cast(pa.binary())
         owners = pa.array([x.tobytes()[:width] for x in sets[row[begin]]], pa.binary())
-        found = pa.table([*[pa.nulls(n, pa.int64())] * 3, owners, sent], names=names)
-        return pa.concat_tables([out, found])
+        return pa.table([*[pa.nulls(n, pa.int64())] * 3, owners, sent], names=names)
+
+    def block_of(table: pa.Table) -> pa.Table:
+        is_doc = pc.is_null(table["low"])
+        docs, rows = table.filter(is_doc), table.filter(pc.invert(is_doc))
+        none = pa.nulls(len(docs))
+        out = pa.table([*(docs[c] for c in names[:4]), none.cast(pa.binary())], names=names)
+        if len(rows):
+            out = pa.concat_tables([out, found_in(rows)])
+        del rows
+        give_back()
+        return out
 
     return scattered.groupBy("block").applyInArrow(block_of, GATHERED)
 
@@ -278,6 +311,7 @@ def rows_of_interest(gathered: DataFrame, classes: DataFrame, percent: int, widt
                     unique.append(n - len(values))
                 columns = (piece.column(0), piece.column(1), pa.array(unique, pa.int64()), pa.array(tokens, kinds[3][1]))
                 yield pa.RecordBatch.from_arrays(list(columns), names=[k for k, _ in kinds])
+        give_back()
 
     return enough.select("set", "n", "parts").mapInArrow(run, "set long, n long, unique long, tokens array<long>")
 

@@ -161,3 +161,60 @@ def test_in_a_byte():
     held = np.unique(np.concatenate([np.arange(1, 3000), 2 ** np.arange(12, 33) - 1]))
     out = ngram_join.in_a_byte(held)
     assert (out[:64] == held[:64]).all() and (np.diff(out.astype(int)) >= 0).all() and out[-1] < 255
+
+
+class FunctionOf:
+    """Stands in for a DataFrame: what would be applied to each group comes back as it is."""
+
+    def groupBy(self, *columns):
+        return self
+
+    def applyInArrow(self, function, schema):
+        return function
+
+
+def one_block(sets=2000, each=500):
+    import numpy as np
+    import pyarrow as pa
+
+    rnd = np.random.default_rng(5)
+    names = [x.split()[0] for x in ngram_join.SCATTERED.split(", ")]
+    parts = []
+    for _ in range(20):  # a slice of documents each
+        n = sets // 20
+        low, high = rnd.integers(0, 2**32, n * each, np.uint32), rnd.integers(0, 256, n * each, np.uint8)
+        low[::2], high[::2] = rnd.integers(0, 5000, n * each // 2), 0  # half of them are shared
+        parts.append([0, *[None] * 4, rnd.bytes(n * 8), np.full(n, each, "<u4").tobytes(), low.tobytes(), high.tobytes()])
+    kinds = [pa.int32(), *[pa.int64()] * 3, *[pa.binary()] * 5]
+    return pa.table([pa.array(c, k) for c, k in zip(zip(*parts), kinds)], names=names), sets * each
+
+
+def test_a_block_takes_little_memory_and_gives_it_back():
+    import subprocess
+    import sys
+    import tracemalloc
+
+    function = ngram_join.gather(FunctionOf(), 8)
+    table, entries = one_block()
+    tracemalloc.start()
+    assert len(function(table)) == 2000
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 50 * entries
+
+    # what stays with a worker, in a process of its own
+    code = (
+        "import sys; sys.path[:0] = sys.argv[1:]\n"
+        "from test_ngram_join import FunctionOf, one_block, ngram_join\n"
+        "import re\n"
+        "anon = lambda: int(re.search(r'Anonymous:\\s+(\\d+)', open('/proc/self/smaps_rollup').read())[1]) >> 10\n"
+        "function, (table, entries) = ngram_join.gather(FunctionOf(), 8), one_block()\n"
+        "at = anon()\n"
+        "for _ in range(3): len(function(table))\n"
+        "print(anon() - at)"
+    )
+    root = ngram_join.__file__.rsplit("/tablewright/", 1)[0]
+    said = subprocess.run(
+        [sys.executable, "-c", code, root, f"{root}/tests/llm"], capture_output=True, text=True, check=True, timeout=100
+    )
+    assert int(said.stdout) < 30
