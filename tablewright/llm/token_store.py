@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from ..functions.skew import heavy_keys, skewed_join
 from . import tokens
-from .common import checkpointed, drop_stored, extended, partitions, release, sorted_with_offsets, stored
+from .common import checkpointed, drop_stored, extended, partitions, release, sorted_with_offsets, stored, text_steps
 
 #: Ids under the rolling window, and the least, usual and largest number of ids in a chunk.
 WINDOW, LEAST, MASK, MOST = 16, 128, 511, 2048
@@ -112,11 +112,16 @@ def _encoded(docs: DataFrame, path: str, end_id: int, width: int) -> DataFrame:
         encoder = tokens.encoder(path)
         table = gear(max(encoder.model.get_vocab_size(), end_id + 1))
         met: set[bytes] = set()
+
+        def encoded_groups(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+            for step in text_steps(batch, 1, tokens.STEP_BYTES, tokens.STEP_ROWS):
+                found = encoder.encode(step.column(1).cast(pa.binary()).to_pylist())
+                for at in range(0, step.num_rows, GROUP):
+                    yield step.slice(at, GROUP), [raw + end for raw in found[at : at + GROUP]]
+
         for batch in batches:
-            for at in range(0, batch.num_rows, GROUP):
-                part = batch.slice(at, GROUP)
+            for part, raws in encoded_groups(batch):
                 rows = []
-                raws = [raw + end for raw in encoder.encode(part.column(1).cast(pa.binary()).to_pylist())]
                 ids = np.frombuffer(b"".join(raws), "<u4")
                 stops = np.cumsum([len(raw) // 4 for raw in raws]).tolist()
                 payloads, places, seen = ids.astype(kind).tobytes(), marks(ids, table), 0

@@ -13,8 +13,13 @@ import os
 import re
 import zlib
 
+import pyarrow as pa
+import pyarrow.compute as pc
+
 #: Entries at which the dictionary is emptied: just below the number at which Python doubles its table (about 150 MB).
 MAX_WORDS = 1_390_000
+#: Texts and bytes of them that are split at a time.
+STEP_ROWS, STEP_BYTES = 2048, 8 << 20
 #: A comma or full stop between a plain letter and white space is a piece of its own; so is the word before it.
 POINT = re.compile(rb"[.,](?=[ \n])(?:(?<=[a-z].)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].))")
 #: Words of plain Latin letters with ASCII punctuation behind them fall into two independent pieces.
@@ -77,23 +82,54 @@ class Encoder:
         for word, first, marks in joined:
             words[word] = words[first] + words[marks]
 
+    def _known(self, words: list[bytes]) -> list[bytes]:
+        """The ids of different words, unseen ones learnt; none of an empty word."""
+        get = self.words.get
+        found = [get(w) for w in words]
+        if None in found:
+            missing = {w for w, x in zip(words, found) if x is None and w}
+            if missing:
+                self._learn(missing)
+            # what was found before stays, even if the dictionary was emptied since
+            found = [get(w, b"") if x is None else x for w, x in zip(words, found)]
+        return found
+
+    def _step(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each of a bounded number of texts: a word is looked up once, however often it stands in them."""
+        import numpy as np
+
+        # ASCII white space, as in bytes.split(); before the first and behind the last one stand empty words
+        split = pc.ascii_split_whitespace(pa.array(texts, pa.large_binary()).view(pa.large_string()))
+        coded = split.flatten().dictionary_encode()
+        _, offsets, letters = coded.dictionary.buffers()  # of an array of its own, so from its start
+        letters = letters.to_pybytes() if letters else b""
+        at = np.frombuffer(offsets, np.int64, len(coded.dictionary) + 1).tolist()
+        found = self._known([letters[a:b] for a, b in zip(at, at[1:])])
+        word = coded.indices.to_numpy(zero_copy_only=False)
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        pool, begins = np.frombuffer(b"".join(found), "<u4"), np.cumsum(sizes) - sizes
+        here = sizes[word]
+        ends = np.concatenate([[0], np.cumsum(here)])
+        place = np.repeat((begins[word] - ends[:-1]).astype(np.int32), here)  # of fewer than 2**31 bytes of text
+        place += np.arange(len(place), dtype=np.int32)
+        raw = pool[place].tobytes()
+        stops = (4 * ends[split.offsets.to_numpy()]).tolist()
+        return [raw[a:b] for a, b in zip(stops, stops[1:])]
+
     def encode(self, texts: list[str | bytes | None]) -> list[bytes]:
         """The ids of each text (or of its UTF-8 bytes) as little-endian unsigned 32-bit integers; a null text has
         none."""
         out: list[bytes] = []
-        for at in range(0, len(texts), 64):
+        step, total = [], 0
+        for text in texts:
             # the tokenizer lower-cases by itself; doing so for ASCII beforehand only makes the dictionary smaller
-            split = [POINT.sub(rb" \g<0> ", utf8(t).lower()).split() for t in texts[at : at + 64]]
-            get = self.words.get
-            found = [list(map(get, s)) for s in split]
-            # all() is quick, and false also for a word without ids, which is then found not to be None
-            lacking = [i for i, f in enumerate(found) if not all(f) and any(x is None for x in f)]
-            if lacking:
-                self._learn({w for i in lacking for w, x in zip(split[i], found[i]) if x is None})
-                for i in lacking:  # what was found before stays, even if the dictionary was emptied since
-                    found[i] = [get(w) if x is None else x for w, x in zip(split[i], found[i])]
-            out += map(b"".join, found)
-        return out
+            text = POINT.sub(rb" \g<0> ", utf8(text).lower())
+            if step and (total + len(text) > STEP_BYTES or len(step) == STEP_ROWS):
+                out += self._step(step)
+                step, total = [], 0
+            step.append(text)
+            total += len(text)
+        return out + self._step(step) if step else out
 
 
 _ENCODERS: dict[str, Encoder] = {}

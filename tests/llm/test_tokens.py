@@ -44,3 +44,19 @@ def test_bounded_dictionaries(monkeypatch):
     texts = [" ".join(f"word{chr(97 + (i * j) % 26)}{'xyz'[j % 3]}" for j in range(9)) for i in range(200)]
     plain = [np.array(e.model.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
     assert e.encode(texts) == plain
+
+
+def test_a_word_is_looked_up_once_for_many_texts():
+    class Counting(dict):
+        asked = 0
+
+        def get(self, *args):
+            Counting.asked += 1
+            return super().get(*args)
+
+    e = tokens.Encoder(tokens.default_path())
+    e.words = Counting()
+    texts = ["some words that come again, and again. " * 20, "", None, "and words"] * 100
+    plain = [np.array(e.model.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert e.encode(texts) == plain
+    assert Counting.asked < 100
