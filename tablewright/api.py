@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from dataclasses import asdict
 from typing import Any
 
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame
 from .functions import columns as fc
 from .operators import encoding
 from .operators import features as ft
+from .operators import stats as st
 from .operators.cleaning import METHODS, run_cleaner
 from .operators.profiling import run_profiler
 from .plans import model as pm
@@ -40,6 +42,19 @@ def _subset(df: DataFrame, profiles: list[ColumnProfile], target: str) -> DataFr
     return df.select(*(fc.named(p.name) for p in profiles), fc.named(target))
 
 
+def _read_once(f):
+    """f with its table read once for all the passes it makes; the table that it returns reads its source by itself."""
+
+    @functools.wraps(f)
+    def run(df, *args, **kwargs):
+        df = as_spark(df)
+        with st.held(df):
+            return f(df, *args, **kwargs)
+
+    return run
+
+
+@_read_once
 def prepare(
     df: DataFrame,
     target: str,
@@ -104,6 +119,7 @@ def prepare(
     return add_features(result, config) if config is not None else result
 
 
+@_read_once
 def profile(
     df: DataFrame,
     target: str,
@@ -119,6 +135,7 @@ def profile(
     return PrepResult(df, None, Report(_mismatch(target, warning) + found, df, profiles, target))
 
 
+@_read_once
 def clean(
     df: DataFrame,
     target: str,
@@ -137,6 +154,7 @@ def clean(
     return PrepResult(table, None, Report(_mismatch(target, warning) + found + cleaning, df, kept, target))
 
 
+@_read_once
 def engineer(
     df: DataFrame,
     target: str,

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as fc
 from ..types import ColumnProfile, ReportEntry, SemanticType
 from . import stats as st
-from .profiling import find_coercions
+from .profiling import find_coercions, repeats
 
 IMPUTE_BELOW, CLIP_UP_TO, CHANGED_WARNING = 0.30, 0.30, 0.10
 METHODS = ("iqr", "zscore")
@@ -129,6 +129,7 @@ def run_cleaner(
     total = df.count()
     distinct = drop_duplicates(fc.without_nan(df))
     once = distinct.persist()
+    ready = None
     try:
         rows = once.count()
         if rows < total:
@@ -151,7 +152,8 @@ def run_cleaner(
         high = [p for p in kept if p.semantic_type is SemanticType.CATEGORICAL_HIGH]
         numeric = [p for p in kept if p.semantic_type is SemanticType.NUMERIC_FEATURE]
         dates = [p for p in kept if p.semantic_type is SemanticType.DATETIME_STRING]
-        coercions = find_coercions(once, [p.name for p in numeric if fc.is_string(kinds[p.name])])
+        texts = [p for p in numeric if fc.is_string(kinds[p.name])]
+        coercions = find_coercions(once, [p.name for p in texts], [p.name for p in texts if repeats(p.cardinality, rows)])
         for p in low + high:
             if fc.is_string(kinds[p.name]):
                 steps[p.name]["normalise"] = True
@@ -166,12 +168,20 @@ def run_cleaner(
             if fc.is_string(kinds[p.name]):
                 steps[p.name]["dates"] = True
 
-        flagged = with_flags(once, steps)
-        # first pass: what is missing, and what to fill in
+        # what the passes look at, shaped once for all of them
         watched = low + high + numeric
+        listed = [shaped(fc.named(p.name), steps[p.name]).alias(p.name) for p in watched]
+        for i, p in enumerate(dates):
+            if steps[p.name].get("dates"):
+                c = fc.named(p.name)
+                listed.append((c.isNotNull() & shaped(c, steps[p.name]).isNull()).alias(f"__unread{i}"))
+        ready = with_flags(once, steps).select(*listed)
+        if listed:
+            ready.persist()
+        # first pass: what is missing, and what to fill in
         asked = []
         for i, p in enumerate(watched):
-            c = shaped(fc.named(p.name), steps[p.name])
+            c = fc.named(p.name)
             asked.append(F.avg(c.isNull().cast("double")).alias(f"m{i}"))
             if p in numeric:
                 asked.append(st.quantiles(fc.number(c), [0.5], rows).alias(f"f{i}"))
@@ -179,12 +189,11 @@ def run_cleaner(
                 asked.append(F.mode(c, deterministic=True).alias(f"f{i}"))
         for i, p in enumerate(dates):
             if steps[p.name].get("dates"):
-                c = fc.named(p.name)
-                asked.append(F.count_if(c.isNotNull() & shaped(c, steps[p.name]).isNull()).alias(f"u{i}"))
-        first = flagged.agg(*asked).first().asDict() if asked else {}
+                asked.append(F.count_if(F.col(f"__unread{i}")).alias(f"u{i}"))
+        first = ready.agg(*asked).first().asDict() if asked else {}
         of = [i for i, p in enumerate(watched) if p in numeric]
-        middles = [(fc.number(shaped(fc.named(watched[i].name), steps[watched[i].name])), [0.5]) for i in of]
-        first |= {f"f{i}": q for i, q in zip(of, st.settled(once, middles, [first[f"f{i}"] for i in of], rows))}
+        middles = [(fc.number(fc.named(watched[i].name)), [0.5]) for i in of]
+        first |= {f"f{i}": q for i, q in zip(of, st.settled(ready, middles, [first[f"f{i}"] for i in of], rows))}
         rate = {p.name: first[f"m{i}"] or 0.0 for i, p in enumerate(watched)}
         fill = {}
         for i, p in enumerate(watched):
@@ -222,12 +231,12 @@ def run_cleaner(
 
         # second pass: the spread of what is filled in; third: how many values the bounds change
         spread = [p for p in numeric if rate[p.name] <= CLIP_UP_TO]
-        value = {p.name: fc.number(filled(shaped(fc.named(p.name), steps[p.name]), steps[p.name])) for p in numeric}
+        value = {p.name: fc.number(filled(fc.named(p.name), steps[p.name])) for p in numeric}
         asked = []
         for p in spread:
             asked += [st.quantiles(value[p.name], [0.25, 0.75], rows), F.avg(value[p.name]), F.stddev_samp(value[p.name])]
-        second = once.agg(*(e.alias(f"s{i}") for i, e in enumerate(asked))).first() if asked else []
-        quarters = st.settled(once, [(value[p.name], [0.25, 0.75]) for p in spread], list(second[::3]), rows)
+        second = ready.agg(*(e.alias(f"s{i}") for i, e in enumerate(asked))).first() if asked else []
+        quarters = st.settled(ready, [(value[p.name], [0.25, 0.75]) for p in spread], list(second[::3]), rows)
         bounds = {}
         for i, p in enumerate(spread):
             q, (mean, std) = quarters[i], second[3 * i + 1 : 3 * i + 3]
@@ -238,7 +247,7 @@ def run_cleaner(
         asked = [
             F.count_if(fc.outside(value[c], *b)).alias(f"c{i}") for i, (c, b) in enumerate(bounds.items()) if b is not None
         ]
-        changes = iter(once.agg(*asked).first() if asked else [])
+        changes = iter(ready.agg(*asked).first() if asked else [])
         for p in numeric:
             if p.name not in bounds:
                 log(p.name, "skip_winsorize", f"{rate[p.name]:.2%} of the values are missing, more than 30%", "warning")
@@ -259,6 +268,8 @@ def run_cleaner(
                 more = f"; {lost} values name no date and become missing" if lost else ""
                 log(p.name, "coerce_datetime", "Text read as dates" + more, "warning" if lost > CHANGED_WARNING * rows else "info", after={"unread": lost})
     finally:
+        if ready is not None:
+            ready.unpersist()
         once.unpersist()
     return cleaned(distinct, steps), kept, entries, steps
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from contextlib import ExitStack
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -14,6 +15,7 @@ from . import stats as st
 MATCHING, COMMON_UNIT, MOST_UNITS = 0.95, 0.90, 5
 MISSING_WARNING, LEAKAGE, IMBALANCE, UNIQUE = 0.30, 0.95, 10, 0.95
 VIF_COLUMNS, SNIFFED, DATES = 50, 100, 0.90
+REPEATED = 10
 POSTAL, KEYS = ("zip", "postal", "postcode"), ("id", "pk", "index")
 
 
@@ -25,41 +27,44 @@ class Coercion:
     whole: bool
 
 
-def find_coercions(df: DataFrame, columns: list[str]) -> dict[str, Coercion]:
-    """Text columns of which 95 % of the values that say anything are numbers with at most one common unit."""
+def find_coercions(df: DataFrame, columns: list[str], repeated: list[str] = ()) -> dict[str, Coercion]:
+    """Text columns of which 95 % of the values that say anything are numbers with at most one common unit. Of columns
+    whose values are ``repeated`` each different value is looked at once, for all rows that hold it."""
     if not columns:
         return {}
-    asked = []
-    for i, c in enumerate(columns):
-        col = fc.named(c)
-        says = col.isNotNull() & ~fc.is_na_token(col)
-        value = F.when(says, fc.plain_number(col))
-        asked += [
-            F.count_if(says).alias(f"n{i}"),
-            F.count(value).alias(f"m{i}"),
-            F.coalesce(F.bool_and(value == F.floor(value)), F.lit(False)).alias(f"w{i}"),
-        ]
-    row = df.agg(*asked).first()
-    likely = [i for i in range(len(columns)) if row[f"n{i}"] and row[f"m{i}"] >= MATCHING * row[f"n{i}"]]
-    units: dict[int, list[tuple[str, int]]] = {i: [] for i in likely}
+    many = [c for c in columns if c in repeated]
+    single = [c for c in columns if c not in many]
+    values = st.frequencies(df, many) if many else None
+    if single:
+        own = [F.struct(F.lit(c).alias("name"), fc.named(c).alias("value"), F.lit(1).cast("long").alias("n")) for c in single]
+        rest = df.select(F.explode(F.array(*own)).alias("x")).select("x.*").where("value IS NOT NULL")
+        values = values.unionAll(rest) if many else rest
+    text, n = F.col("value"), F.col("n")
+    read = values.select("name", "n", "value", fc.is_na_token(text).alias("na"), fc.plain_number(text).alias("v"))
+    says = ~F.col("na")
+    value = F.when(says, F.col("v"))
+    found = {r["name"]: r for r in read.groupBy("name").agg(
+        F.sum(F.when(says, n).otherwise(0)).alias("says"),
+        F.sum(F.when(value.isNotNull(), n).otherwise(0)).alias("numbers"),
+        F.coalesce(F.bool_and(value == F.floor(value)), F.lit(False)).alias("whole"),
+    ).collect()}
+    likely = [c for c in columns if c in found and found[c]["says"] and found[c]["numbers"] >= MATCHING * found[c]["says"]]
+    units: dict[str, list[tuple[str, int, int]]] = {c: [] for c in likely}
     if likely:
-        listed = [
-            F.struct(F.lit(i).alias("i"), F.lower(fc.part(fc.named(columns[i]), 2)).alias("u"), fc.plain_number(fc.named(columns[i])).alias("v"))
-            for i in likely
-        ]
-        counted = df.select(F.explode(F.array(*listed)).alias("x")).select("x.*").where("v IS NOT NULL AND u <> ''")
+        unit = F.lower(fc.part(text, 2)).alias("u")
+        counted = read.where(F.col("name").isin(*likely)).select("name", "n", unit, "v").where("v IS NOT NULL AND u <> ''")
         # of each column the most frequent units, one more than may be
-        for r in counted.groupBy("i", "u").count().groupBy("i").agg(
+        for r in counted.groupBy("name", "u").agg(F.sum("n").alias("count")).groupBy("name").agg(
             F.slice(F.sort_array(F.collect_list(F.struct("count", "u")), asc=False), 1, MOST_UNITS + 1).alias("top"),
             F.sum("count").alias("all"),
         ).collect():
-            units[r["i"]] = [(t["u"], t["count"], r["all"]) for t in r["top"]]
+            units[r["name"]] = [(t["u"], t["count"], r["all"]) for t in r["top"]]
     out = {}
-    for i in likely:
-        top = units[i]
+    for c in likely:
+        top = units[c]
         if top and (len(top) > MOST_UNITS or top[0][1] < COMMON_UNIT * top[0][2]):
             continue
-        out[columns[i]] = Coercion(top[0][0] if top else None, row[f"w{i}"])
+        out[c] = Coercion(top[0][0] if top else None, found[c]["whole"])
     return out
 
 
@@ -132,6 +137,11 @@ def infer_types(df: DataFrame, stats: dict[str, st.ColumnStats], threshold: int)
     return {c: infer_type(s, threshold, c in dates, rising.get(c, False)) for c, s in stats.items()}
 
 
+def repeats(distinct: int | None, rows: int) -> bool:
+    """Whether the values of a column stand often enough to be counted before they are looked at."""
+    return distinct is not None and REPEATED * distinct <= rows
+
+
 def run_profiler(
     df: DataFrame,
     target: str,
@@ -140,6 +150,13 @@ def run_profiler(
     column_types: dict[str, SemanticType] | None = None,
 ) -> tuple[list[ColumnProfile], list[ReportEntry]]:
     """The profiles of all columns but the target, in order, and the decisions taken."""
+    with ExitStack() as stack:
+        return _profiled(stack, stack.enter_context(st.held(df)), target, task, cardinality_threshold, column_types)
+
+
+def _profiled(
+    stack: ExitStack, df: DataFrame, target: str, task: str, cardinality_threshold: int, column_types: dict[str, SemanticType] | None
+) -> tuple[list[ColumnProfile], list[ReportEntry]]:
     entries: list[ReportEntry] = []
 
     def log(column: str, action: str, rationale: str, severity: str = "info", **after) -> None:
@@ -154,7 +171,8 @@ def run_profiler(
     stats = st.column_stats(df, [*features, target])
 
     # texts that are numbers
-    coercions = find_coercions(df, [c for c in features if fc.is_string(kinds[c])])
+    texts = [c for c in features if fc.is_string(kinds[c])]
+    coercions = find_coercions(df, texts, [c for c in texts if repeats(stats[c].distinct, stats[c].present)])
     accepted, forced_ids = {}, set()
     unique = [c for c in coercions if stats[c].distinct >= UNIQUE * max(1, stats[c].present)]
     as_numbers = df.select(*(fc.coerced(fc.named(c), coercions[c].unit).alias(c) for c in unique)) if unique else None
@@ -174,6 +192,7 @@ def run_profiler(
         df = df.select(
             *((fc.coerced(fc.named(c), accepted[c].unit) if c in accepted else fc.named(c)).alias(c) for c in df.columns)
         )
+        stack.enter_context(st.held(df))  # texts are made numbers once, not in each pass
         stats |= st.column_stats(df, list(accepted))
 
     types = infer_types(df, {c: stats[c] for c in features}, cardinality_threshold)
@@ -186,10 +205,7 @@ def run_profiler(
     numeric = [c for c in features if fc.is_numeric(stats[c].kind)]
     outliers = st.outlier_rates(df, {c: stats[c] for c in numeric})
     categorical = [c for c in features if types[c] in (SemanticType.CATEGORICAL_LOW, SemanticType.CATEGORICAL_HIGH)]
-    folded = df.select(
-        *((fc.normalised(fc.named(c)) if fc.is_string(stats[c].kind) else fc.named(c)).alias(c) for c in categorical)
-    )
-    rare = st.rare_values(folded, categorical)
+    rare = st.rare_values(df, categorical, fold=[c for c in categorical if fc.is_string(stats[c].kind)])
     target_is_number = fc.is_numeric(kinds[target]) or fc.is_bool(kinds[target])
     related = [c for c in features if types[c] in (SemanticType.NUMERIC_FEATURE, SemanticType.NUMERIC_ID) and c in numeric]
     r = st.correlations(df, related, target) if target_is_number else {}

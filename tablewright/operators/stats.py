@@ -9,6 +9,7 @@ which values a quantile lies; those are counted and ranked in passes of their ow
 from __future__ import annotations
 
 import math
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,11 +20,11 @@ from pyspark.sql import types as T
 from ..functions import columns as fc
 
 #: More rows change how quantiles are found, not what they are.
-EXACT_ROWS = 10_000_000
+EXACT_ROWS = 1_000_000
 #: Up to so many rows one pass counts distinct values at once; up to so many distinct values are collected as a set.
 SMALL_ROWS, FEW = 50_000, 5_000
 #: Relative error of the sketches that say how to count and where to look.
-ERROR = 0.01
+ERROR = 0.05
 ACCURACY = 10_000
 
 
@@ -45,6 +46,21 @@ class ColumnStats:
         return (self.rows - self.present) / self.rows if self.rows else 0.0
 
 
+@contextmanager
+def held(df):
+    """The table, read and joined once for all passes inside; what is kept of it is let go at the end. A table that its
+    owner has persisted stays as it is."""
+    own = isinstance(df, DataFrame) and not df.isStreaming
+    own = own and not (df.storageLevel.useMemory or df.storageLevel.useDisk)
+    if own:
+        df.persist()
+    try:
+        yield df
+    finally:
+        if own:
+            df.unpersist()
+
+
 def quantiles(c: Column, points: list[float], rows: int) -> Column:
     """Part of an aggregate; beyond ``EXACT_ROWS`` NULL, for ``settled`` to fill in."""
     if rows > EXACT_ROWS:
@@ -100,7 +116,7 @@ def _ranked(
     df: DataFrame, xs: list[Column], todo: dict[tuple[int, int], tuple[float, float | None, float | None]]
 ) -> dict[tuple[int, int, int], float]:
     """The values at the ranks on both sides of a place, for each (place, low, high): those that lie in its range."""
-    keys, below, cells = list(todo), [], []
+    keys, below, cells, any_inside = list(todo), [], [], F.lit(False)
     for k, (key, (_, low, high)) in enumerate(todo.items()):
         x = xs[key[0]]
         inside = x.isNotNull()
@@ -110,8 +126,10 @@ def _ranked(
             inside = inside & (x <= high)
         below.append((F.count_if(x < low) if low is not None else F.max(F.lit(0))).alias(f"b{k}"))
         cells.append(F.when(inside, F.struct(F.lit(k).alias("k"), x.alias("x"))))
+        any_inside = any_inside | inside
     before = df.agg(*below).first()
-    counted = df.select(F.explode(F.array_compact(F.array(*cells))).alias("c")).groupBy("c.k", "c.x").count()
+    near = df.where(any_inside)  # few rows, before arrays are made of them
+    counted = near.select(F.explode(F.array_compact(F.array(*cells))).alias("c")).groupBy("c.k", "c.x").count()
     upto = F.sum("count").over(Window.partitionBy("k").orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
     ranked = counted.withColumn("upto", upto)
     ends = []
@@ -203,11 +221,15 @@ def frequencies(df: DataFrame, columns: list[str]) -> DataFrame:
     return long.groupBy("name", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
-def rare_values(df: DataFrame, columns: list[str], share: float = 0.01) -> dict[str, list[str]]:
-    """The values of each column that make up less than a share of its present rows."""
+def rare_values(df: DataFrame, columns: list[str], share: float = 0.01, fold: list[str] = ()) -> dict[str, list[str]]:
+    """The values of each column that make up less than a share of its present rows; texts of columns to ``fold`` are
+    normalised first, each different text once."""
     if not columns:
         return {}
     counted = frequencies(df, columns)
+    if fold:
+        value = F.when(F.col("name").isin(*fold), fc.normalised(F.col("value"))).otherwise(F.col("value"))
+        counted = counted.groupBy("name", value.alias("value")).agg(F.sum("n").alias("n"))
     # one row a column, so it is joined by broadcast whatever the number of values
     totals = F.broadcast(counted.groupBy("name").agg(F.sum("n").alias("total")))
     rare = counted.join(totals, "name").where(F.col("n") < F.lit(share) * F.col("total")).select("name", "value")
@@ -290,13 +312,16 @@ def mutual_information(
     cells = (
         df.select(F.explode(F.array(*listed)).alias("c")).select("c.*").where("x IS NOT NULL AND y IS NOT NULL")
         .groupBy("i", "x", "y").agg(F.count(F.lit(1)).alias("n"))
-    )
+    ).persist()  # else each of the four uses counts the table again
     of_x = cells.groupBy("i", "x").agg(F.sum("n").alias("nx"))
     of_y = cells.groupBy("i", "y").agg(F.sum("n").alias("ny"))
     total = cells.groupBy("i").agg(F.sum("n").alias("nn"))
     joined = cells.join(of_x, ["i", "x"]).join(of_y, ["i", "y"]).join(total, "i")
     term = F.col("n") / F.col("nn") * F.log(F.col("n") * F.col("nn") / (F.col("nx") * F.col("ny")))
-    found = {r["i"]: max(0.0, r["mi"]) for r in joined.groupBy("i").agg(F.sum(term).alias("mi")).collect()}
+    try:
+        found = {r["i"]: max(0.0, r["mi"]) for r in joined.groupBy("i").agg(F.sum(term).alias("mi")).collect()}
+    finally:
+        cells.unpersist()
     return {c: found.get(i) for i, c in enumerate(columns)}
 
 

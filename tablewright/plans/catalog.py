@@ -587,8 +587,9 @@ _PRIORITIES = ("1-urgent", "2-high", "3-medium", "4-not specified", "5-low")
 ]))
 def compare_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = _prepare_input(spark, sf_dir)
-    a, b = (api.prepare(df, "o_totalprice", "regression", hint) for hint in ("tree", "linear"))
-    found = api.compare(a, b)
+    with st.held(df):
+        a, b = (api.prepare(df, "o_totalprice", "regression", hint) for hint in ("tree", "linear"))
+        found = api.compare(a, b)
     listed = [(k, c) for k in ("columns_only_in_a", "columns_only_in_b", "columns_in_both", "decision_diff") for c in found[k]]
     return rows(spark, listed, "kind string, column_name string")
 
@@ -697,9 +698,12 @@ def feature_collision(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _differing(a: DataFrame, b: DataFrame) -> int:
-    """How many rows of two tables with the same columns are in one of them only."""
+    """How many rows of two tables with the same columns are in one of them only; both are counted in one shuffle."""
     b = b.select(*(fc.named(c) for c in a.columns))
-    return a.exceptAll(b).count() + b.exceptAll(a).count()
+    own = [fc.named(c) for c in a.columns]
+    both = a.select(*own, F.lit(1).alias("__side")).unionAll(b.select(*own, F.lit(-1).alias("__side")))
+    more = both.groupBy(*own).agg(F.abs(F.sum("__side")).alias("n"))
+    return more.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
 @query("SELECT count(*) AS n_rows, 0 AS n_differ, 4 AS n_added FROM orders JOIN customer ON o_custkey = c_custkey")
@@ -707,26 +711,31 @@ def add_features_and_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Features added to a prepared table, and the same from the pipeline on the raw one. Of the five columns of cycles one
     has a name that the expanded date has taken."""
     df = _small_orders(spark, sf_dir).select("c_acctbal", "o_orderpriority", "o_orderdate", "o_totalprice")
-    result = api.prepare(df, "o_totalprice", "regression")
-    more = api.add_features(result, FeatureConfig(datetime_cyclical=True))
-    n = more.df.count()
-    return rows(spark, [(n, _differing(more.df, more.pipeline.transform(df)), len(more.df.columns) - len(result.df.columns))], "n_rows long, n_differ int, n_added int")
+    with st.held(df):
+        result = api.prepare(df, "o_totalprice", "regression")
+        more = api.add_features(result, FeatureConfig(datetime_cyclical=True))
+        n, differ = more.df.count(), _differing(more.df, more.pipeline.transform(df))
+    return rows(spark, [(n, differ, len(more.df.columns) - len(result.df.columns))], "n_rows long, n_differ int, n_added int")
 
 
 @query("SELECT count(*) AS n_rows, 0 AS n_differ, 'NotFittedError' AS unfitted FROM orders JOIN customer ON o_custkey = c_custkey")
 def pipeline_json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = _prepare_input(spark, sf_dir)
-    model = api.prepare(df, "o_totalprice", "regression", "linear").pipeline
-    again, bare = PrepModel.from_json(model.to_json()).transform(df), df.drop("o_totalprice")
-    differ = _differing(model.transform(df), again) + _differing(model.transform(bare), again.drop("o_totalprice"))
-    return rows(spark, [(again.count(), differ, _outcome(lambda: PrepModel().transform(df)))], "n_rows long, n_differ int, unfitted string")
+    with st.held(df):
+        model = api.prepare(df, "o_totalprice", "regression", "linear").pipeline
+        again, bare = PrepModel.from_json(model.to_json()).transform(df), df.drop("o_totalprice")
+        differ = _differing(model.transform(df), again) + _differing(model.transform(bare), again.drop("o_totalprice"))
+        n = again.count()
+    return rows(spark, [(n, differ, _outcome(lambda: PrepModel().transform(df)))], "n_rows long, n_differ int, unfitted string")
 
 
 @query("SELECT count(*) AS n_rows, 0 AS n_differ, true AS no_pipeline FROM orders JOIN customer ON o_custkey = c_custkey")
 def prepare_dry_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = _prepare_input(spark, sf_dir)
-    result = api.prepare(df, "o_totalprice", "regression", preset="fast", dry_run=True)
-    return rows(spark, [(result.df.count(), _differing(df, result.df), result.pipeline is None)], "n_rows long, n_differ int, no_pipeline boolean")
+    with st.held(df):
+        result = api.prepare(df, "o_totalprice", "regression", preset="fast", dry_run=True)
+        n, differ = result.df.count(), _differing(df, result.df)
+    return rows(spark, [(n, differ, result.pipeline is None)], "n_rows long, n_differ int, no_pipeline boolean")
 
 
 @query()
