@@ -18,6 +18,8 @@ from ..types import ColumnProfile, FeatureConfig, SemanticType
 #: Tokens of two or more letters, digits or underscores, in any script.
 TOKEN = r"[\p{L}\p{N}_]{2,}"
 MOST_CLUSTERS, FALLBACK_CLUSTERS, SEED = 10, 2, 42
+#: Up to so many rows are clustered as they lie; beyond so many distinct points a sketch is enough to tell.
+SPREAD_ROWS, MANY_POINTS = 50_000, 1_000
 NAMES = {"ratio": "div", "product": "times", "difference": "minus"}
 
 Feature = dict[str, Any]
@@ -87,10 +89,17 @@ def fit_clusters(df: DataFrame, columns: list[str], k: int | str) -> Feature | N
     if not columns:
         return None
     filled = df.select(*(F.coalesce(fc.number(fc.named(c)), F.lit(0.0)).alias(f"c{i}") for i, c in enumerate(columns)))
-    points = VectorAssembler(inputCols=filled.columns, outputCol="features").transform(filled).select("features").persist()
+    filled = filled.persist()
+    points = VectorAssembler(inputCols=filled.columns, outputCol="features").transform(filled).select("features")
     try:
-        n = points.count()
-        distinct = points.distinct().limit(MOST_CLUSTERS + 1).count()
+        sizes = [r["count"] for r in filled.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+        n, cores = sum(sizes), df.sparkSession.sparkContext.defaultParallelism
+        # the sketch only tells whether the distinct points are few; those are counted
+        many = filled.agg(F.approx_count_distinct(F.struct(*filled.columns))).first()[0] > MANY_POINTS
+        distinct = MOST_CLUSTERS + 1 if many else filled.distinct().limit(MOST_CLUSTERS + 1).count()
+        if n > SPREAD_ROWS and max(sizes) * cores > 2 * n:  # as the rows lie, few tasks would hold most of them
+            points = points.repartition(2 * cores)
+        points = points.persist()
         fit = lambda k: KMeans(k=k, seed=SEED).fit(points)
         if n < 2 or distinct < 2:
             return None
@@ -109,6 +118,7 @@ def fit_clusters(df: DataFrame, columns: list[str], k: int | str) -> Feature | N
         centres = [[float(x) for x in c] for c in chosen.clusterCenters()] if chosen else [_means(points, len(columns))]
     finally:
         points.unpersist()
+        filled.unpersist()
     return {"kind": "cluster", "columns": list(columns), "centres": centres, "names": ["cluster_label", "cluster_dist_to_centroid"]}
 
 
