@@ -313,6 +313,7 @@ def mutual_information(
         df.select(F.explode(F.array(*listed)).alias("c")).select("c.*").where("x IS NOT NULL AND y IS NOT NULL")
         .groupBy("i", "x", "y").agg(F.count(F.lit(1)).alias("n"))
     ).persist()  # else each of the four uses counts the table again
+    cells.count()  # now, or the uses that run side by side each count it before it is there
     of_x = cells.groupBy("i", "x").agg(F.sum("n").alias("nx"))
     of_y = cells.groupBy("i", "y").agg(F.sum("n").alias("ny"))
     total = cells.groupBy("i").agg(F.sum("n").alias("nn"))
